@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, quality, records, toxicity
+from lodestone.llm import decontaminate, hostrules, lines, mixing, quality, records, toxicity
 from lodestone.llm.common import fold_of, scratch
 
 
@@ -20,6 +20,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +39,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hostrules.judge_hosts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *hostrules.COUNTS, "base_failed", "kept")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -45,12 +60,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OPERATORS = (op1_quality_classifier, op3_mix_sources, op5_dedup_lines, op6_token_records, op8_host_rules, op9_decontaminate, op10_toxicity)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op6_token_records, op9_decontaminate, op10_toxicity)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9}
+    return {"op3_mix_sources": OP3, "op8_host_rules": OP8, "op9_decontaminate": OP9}
 
 
 OP9 = r"""
@@ -65,3 +83,36 @@ it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>!]')) AS sym,
+  (CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT *, -ln(u) / ((1.0::DOUBLE + size) / (1.0::DOUBLE + size + 4.0::DOUBLE * sym)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0, 2.0, 1.0]::DOUBLE[])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+p AS (SELECT *, 2.0::DOUBLE * source_size / w AS stop FROM s),
+l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - 2.0::DOUBLE * CAST(coalesce(sum(source_size) OVER b, 0) AS DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level
+  FROM p WINDOW b AS (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, coalesce(least(2.0::DOUBLE * source_size, (SELECT level FROM l WHERE level <= stop ORDER BY stop, source NULLS LAST LIMIT 1) * w), 2.0::DOUBLE * source_size) AS target FROM p),
+r AS (SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 1 END AS epochs,
+  coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND before + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS n FROM documents),
+g AS (SELECT n, i, hash(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT n, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT n, count(DISTINCT p) AS c FROM (SELECT n, unnest(range(i, i + 5)) AS p FROM (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS k FROM g) WHERE k > 1)) GROUP BY n),
+ln AS (SELECT n, count(*) - count(DISTINCT x) AS c FROM (SELECT n, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY n),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(ln.c, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.c, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (n) LEFT JOIN ln USING (n)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS docs, CAST(sum(base_failed::INT) AS DOUBLE) AS failed FROM f GROUP BY source),
+s AS (SELECT count(*) AS n, avg(failed / docs) AS mean, avg(failed / docs * failed / docs) AS sq, avg(1.0 / docs) AS inv FROM h),
+v AS (SELECT *, greatest(sq - mean * mean - mean * (1 - mean) * inv, 0.0) AS var FROM s),
+b AS (SELECT mean, CASE WHEN var > 1e-9 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1000.0) ELSE 1000.0 END AS k, n FROM v),
+pr AS (SELECT CASE WHEN n < 2 THEN 0.5 WHEN mean > 0 AND mean < 1 THEN mean * k ELSE greatest(mean, 0.01) END AS a, CASE WHEN n < 2 THEN 0.5 WHEN mean > 0 AND mean < 1 THEN (1 - mean) * k ELSE greatest(1 - mean, 0.01) END AS b FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (failed + a) / (docs + a + b) <= 0.5 AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, pr
+"""
