@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, hostrules, lines, mixing, quality, records, toxicity
+from lodestone.llm import decontaminate, hostrules, lines, mixing, neardup, quality, records, toxicity
 from lodestone.llm.common import fold_of, scratch
 
 
@@ -25,6 +25,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, least=0.8)
+    return found.select("doc_id", "class_id", "kept")
+
+
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_lines", "n_removed")
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-OPERATORS = (op1_quality_classifier, op3_mix_sources, op5_dedup_lines, op6_token_records, op8_host_rules, op9_decontaminate, op10_toxicity)
+OPERATORS = (op1_quality_classifier, op3_mix_sources, op4_near_duplicates, op5_dedup_lines, op6_token_records, op8_host_rules, op9_decontaminate, op10_toxicity)
 
 
 def queries() -> dict:
