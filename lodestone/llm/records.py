@@ -61,13 +61,16 @@ def read_record(stream) -> bytes | None:
 class Coder:
     """Ids of whole texts as little-endian bytes.
 
-    The vocabulary breaks at ASCII white space before it merges, so pieces between white space are
-    encoded once and remembered, and a text is the concatenation of its pieces. ``whole`` asks for
-    texts to be encoded as they are, for vocabularies where white space matters.
+    The vocabulary lower-cases, and breaks at ASCII white space and between letters and punctuation before
+    it merges. So words, and the punctuation that ends them, are encoded once by the tokenizer and
+    remembered, and a text is the concatenation of its pieces. Texts that may hold special tokens are
+    encoded as they are, and so is everything with ``whole``, for vocabularies without these properties.
     """
 
-    #: Pieces longer than this are not remembered; at LIMIT pieces the memory starts anew.
-    LONG, LIMIT = 48, 300_000
+    #: Pieces longer than LONG bytes are not remembered; of the rest, LIMIT at least and twice that at most.
+    LONG, LIMIT = 48, 500_000
+    #: ASCII punctuation, by which the vocabulary ends a word.
+    MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, end_id: int, width: int, whole: bool = False) -> None:
         from tokenizers import Tokenizer
@@ -76,25 +79,39 @@ class Coder:
         self.width, self.code, self.whole = width, "<u2" if width == 2 else "<u4", whole
         self.end = end_id.to_bytes(width, "little")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, piece: str) -> bytes:
         import numpy as np
 
         return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.code).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if self.whole:
-            return self._encode(text) + self.end
-        known, out = self.known, []
-        for piece in text.encode("utf-8", "surrogatepass").split():
-            ids = known.get(piece)
+    def _remembered(self, piece: bytes) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
             if ids is None:
                 ids = self._encode(piece.decode("utf-8", "replace"))
-                if len(piece) <= self.LONG:
-                    if len(known) >= self.LIMIT:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
+            if len(piece) <= self.LONG:
+                if len(self.known) >= self.LIMIT:
+                    self.older, self.known = self.known, {}
+                self.known[piece] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(self.MARKS)
+        if core and len(core) < len(word) and (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
+            return self._remembered(core) + self._remembered(word[len(core) :])
+        return self._remembered(word)
+
+    def encode(self, text: str) -> bytes:
+        data = text.encode("utf-8", "surrogatepass")
+        if self.whole or b"<|" in data:
+            return self._encode(text) + self.end
+        words = data.lower().split()
+        out = list(map(self.known.get, words))
+        if None in out:
+            out = [self._word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
         out.append(self.end)
         return b"".join(out)
 
