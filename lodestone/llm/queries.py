@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, hostrules, lines, mixing, neardup, quality, records, toxicity
+from lodestone.llm import decontaminate, hostrules, html, lines, mixing, neardup, passages, quality, records, toxicity
 from lodestone.llm.common import fold_of, scratch
 
 
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,6 +48,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hostrules.judge_hosts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *hostrules.COUNTS, "base_failed", "kept")
@@ -65,7 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-OPERATORS = (op1_quality_classifier, op3_mix_sources, op4_near_duplicates, op5_dedup_lines, op6_token_records, op8_host_rules, op9_decontaminate, op10_toxicity)
+OPERATORS = (
+    op1_quality_classifier, op2_repeated_passages, op3_mix_sources, op4_near_duplicates, op5_dedup_lines,
+    op6_token_records, op7_extract_html, op8_host_rules, op9_decontaminate, op10_toxicity,
+)
 
 
 def queries() -> dict:
