@@ -101,7 +101,7 @@ def _scanner(items, key: str, window: int):
         if key not in _automata:
             _automata.clear()
             _automata[key] = build(items.value, window)
-        rows = [scan(t or "", _automata[key]) for t in text.to_pylist()]
+        rows = [scan(t.as_py() or "", _automata[key]) for t in text]
         return pa.array(
             [{"n_words": n, "hits": [{"first": a, "last": b} for a, b in hits], "items": sorted(ids)} for n, hits, ids in rows],
             _ARROW,

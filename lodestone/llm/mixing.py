@@ -62,15 +62,19 @@ def mix(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source",
     weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0,
 ) -> DataFrame:
-    """How often the mix takes each document: doc_id, size, source_size, target, copies, taken.
+    """How often the mix takes each document: doc_id, row_hash, size, source_size, target, copies, taken.
 
-    One row for each row of ``docs``. Sizes are words; null and empty texts have none and are taken with
-    their epochs, at no cost. The document that crosses the end of a budget is taken if more than half of
-    it fits. Ties of keys go by id, then by size; rows alike in both are interchangeable. Null sources are
-    a source of their own. Of an empty table the result is empty. Other columns don't matter.
+    One row for each row of ``docs``; ``row_hash`` is of all its columns. Sizes are words; null and empty
+    texts have none and are taken with their epochs, at no cost. The document that crosses the end of a
+    budget is taken if more than half of it fits. Ties of keys go by id, size and row; rows alike in all
+    columns are interchangeable. Null sources are a source of their own. Of an empty table the result is
+    empty.
     """
     size = word_count(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), quality_weight(F.col(text), size).alias("w"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash"),
+        size.alias("size"), quality_weight(F.col(text), size).alias("w"),
+    )
     rows = stored(rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w")).drop("w"), "mix")
     fine = max(64.0, float(rows.count()) ** 0.5)
     rows = rows.withColumn("bin", F.floor(F.log(F.col("key")) * fine)).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
@@ -79,21 +83,22 @@ def mix(
     goals = targets(sizes, weights=weights, share=share, most=most).drop("source")
     earlier = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("s", "bin", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("before")).join(goals, "s")
-    inside = Window.partitionBy("s", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "bin").orderBy("key", "doc_id", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bins, ["s", "bin"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
     rest = F.col("target") - epochs * F.col("source_size")
     partly = (rest > 0) & (F.col("before") + F.col("inside") + F.col("size") / 2.0 <= rest)
     rows = rows.withColumn("copies", epochs + partly.cast("int"))
-    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def mixed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken. Rows alike in id and size share their copies in turn."""
-    plan = mix(docs, text=text, doc_id=doc_id, source=source, **options)
-    plan = plan.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
-    turn = Window.partitionBy("_id", "_size").orderBy(F.col(source), F.xxhash64(F.col(text)))
-    rows = docs.withColumns({"_id": F.col(doc_id), "_size": word_count(F.col(text))}).withColumn("_turn", F.row_number().over(turn))
-    times = F.coalesce(F.element_at("each", F.col("_turn")), F.lit(0))
-    out = rows.join(plan.withColumnsRenamed({"doc_id": "_p"}), F.col("_p").eqNullSafe(F.col("_id")) & (plan["size"] == F.col("_size")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).where(F.col("_copy") > 0).select(*(docs[c] for c in docs.columns))
+    return rows.select("doc_id", "row_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, its columns as they are."""
+    plan = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"))
+    plan = stored(plan.agg(F.sum("copies").cast("int").alias("_times"), F.count("*").alias("_n")).where("_times > 0"), "mix")
+    rows = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    same = rows[doc_id].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_h"))
+    taken = rows.join(plan.where("_n = 1"), same)
+    if not plan.where("_n > 1").isEmpty():
+        taken = taken.union(rows.join(plan.where("_n > 1"), same).dropDuplicates(["_d", "_h"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
