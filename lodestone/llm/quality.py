@@ -136,18 +136,21 @@ def fit(x: np.ndarray, y: np.ndarray, *, threshold: float = 0.3, quantile: float
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _features(text: pa.Array) -> pa.Array:
-    return pa.array([features(t or "").tolist() for t in text.to_pylist()], pa.list_(pa.float64()))
+    return pa.array([features(t.as_py() or "").tolist() for t in text], pa.list_(pa.float64()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str, most_rows: int, where=None) -> DataFrame:
-    """Documents joined with their labels, about ``most_rows`` of them at most, drawn evenly by a hash of the id."""
+    """Documents joined with their labels, about ``most_rows`` of them at most, drawn evenly by a hash of the id.
+
+    The drawn ids are bounded by ``most_rows`` and broadcast, so no text is shuffled to find its label.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.where(where) if where is not None else known
     known = known.groupBy(doc_id).agg(F.max(label).cast("int").alias("_y"))
     share = min(1.0, most_rows / max(1, known.count()))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.join(known, doc_id)
+    return docs.join(F.broadcast(known), doc_id)
 
 
 def fit_ranking(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", where=None, most_rows: int = 20_000, threshold: float = 0.3) -> Ranking:
@@ -165,7 +168,7 @@ def score_quality(docs: DataFrame, model: Ranking, *, text: str = "text", score:
 
     @F.arrow_udf(T.DoubleType())
     def scored(column: pa.Array) -> pa.Array:
-        rows = [features(t or "") for t in column.to_pylist()]
+        rows = [features(t.as_py() or "") for t in column]
         return pa.array(model.score(np.array(rows).reshape(len(rows), len(NAMES))), pa.float64())
 
     return replaced(docs, score).withColumn(score, scored(F.col(text)))

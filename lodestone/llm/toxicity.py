@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import replaced
+from lodestone.llm.common import replaced, stored
 from lodestone.llm.quality import training_rows
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
@@ -135,10 +137,25 @@ def pieces(text: str, shortest: int = 3, longest: int = 7) -> list[str]:
     return sorted(out)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _pieces(text: pa.Array) -> pa.Array:
-    return pa.array([pieces(t or "") for t in text.to_pylist()], pa.list_(pa.string()))
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and labels to terms, with the toxic documents and all documents that hold each; summed before they leave."""
+    bad: Counter = Counter()
+    n: Counter = Counter()
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([bad[t] for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["term", "bad", "n"])
+
+    for batch in batches:
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found = pieces(text.as_py() or "")
+            n.update(found)
+            if y:
+                bad.update(found)
+            if len(n) > 200_000:
+                yield out()
+                bad.clear()
+                n.clear()
+    yield out()
 
 
 def curve(x: np.ndarray, y: np.ndarray, threshold: float = 0.3, rounds: int = 60) -> tuple[float, float, float]:
@@ -170,13 +187,13 @@ def fit_lexicon(
     ``least_docs`` toxic documents or more, with smoothed log odds of ``least_odds`` or more. A beginning
     stands only where a longer term that it covers isn't as telling by itself.
     """
-    rows = training_rows(docs.select(doc_id, text), labels, label=label, doc_id=doc_id, most_rows=most_rows, where=where)
+    rows = stored(training_rows(docs.select(doc_id, text), labels, label=label, doc_id=doc_id, most_rows=most_rows, where=where), "training")
     classes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     share = math.log((toxic + 1) / (clean + 1))
     if not toxic or not clean:
         return Lexicon({}, frozenset(), (0.0, 0.0, share))
-    counts = rows.select(F.explode(_pieces(F.col(text))).alias("term"), "_y").groupBy("term").agg(F.sum("_y").alias("bad"), F.count("*").alias("n"))
+    counts = rows.select(text, "_y").mapInArrow(_counts, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (clean + 1))
     found = counts.where(F.col("bad") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds)
     top = found.orderBy(F.desc(F.col("odds") * F.least(F.lit(1.0), F.col("bad") / 20)), "term").limit(most_terms).collect()
@@ -203,8 +220,8 @@ def _phrases(rows: DataFrame, text: str, terms: dict[str, float], clean: int, mo
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def around(column: pa.Array) -> pa.Array:
         out = []
-        for t in column.to_pylist():
-            w = folded_words(t or "")
+        for t in column:
+            w = folded_words(t.as_py() or "")
             hit = [bool(lexicon.matches([x])) for x in w] if lexicon.matches(w) else []
             out.append(sorted({f"{w[i]} {w[i + 1]}" for i in range(len(hit) - 1) if hit[i] or hit[i + 1]}))
         return pa.array(out, pa.list_(pa.string()))
@@ -217,7 +234,7 @@ def _phrases(rows: DataFrame, text: str, terms: dict[str, float], clean: int, mo
 def _measures(lexicon: Lexicon):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def measured(column: pa.Array) -> pa.Array:
-        return pa.array([list(lexicon.measures(t or "")) for t in column.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([list(lexicon.measures(t.as_py() or "")) for t in column], pa.list_(pa.float64()))
 
     return measured
 
@@ -230,12 +247,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", sco
 
     @F.arrow_udf(T.DoubleType())
     def scored(column: pa.Array) -> pa.Array:
-        x = np.array([lexicon.measures(t or "") for t in column.to_pylist()]).reshape(-1, 2)
+        x = np.array([lexicon.measures(t.as_py() or "") for t in column]).reshape(-1, 2)
         return pa.array(lexicon.score(x), pa.float64())
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def found(column: pa.Array) -> pa.Array:
-        return pa.array([sorted({m[0].strip() for m in lexicon.matches(folded_words(t or ""))}) for t in column.to_pylist()], pa.list_(pa.string()))
+        return pa.array([sorted({m[0].strip() for m in lexicon.matches(folded_words(t.as_py() or ""))}) for t in column], pa.list_(pa.string()))
 
     out = replaced(docs, score, *(["terms"] if matched else [])).withColumn(score, scored(F.col(text)))
     return out.withColumn("terms", found(F.col(text))) if matched else out
