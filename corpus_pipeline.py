@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, neardup, quality, records
-from lodestone.llm.common import fold_of, scratch, stored
+from lodestone.llm.common import boxed, fold_of, scratch, stored, unboxed
 
 #: Documents that score less than this are rejected.
 LEAST_QUALITY = 0.3
@@ -19,8 +19,8 @@ LEAST_QUALITY = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects; it learns from the labels outside fold 0."""
     model = quality.fit_ranking(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=fold_of("doc_id", 5) != 0, threshold=LEAST_QUALITY)
-    scored = quality.score_quality(docs, model, score="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score_quality(boxed(docs, text=F.col("text")), model)
+    return unboxed(scored.where(F.col("score") >= LEAST_QUALITY), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

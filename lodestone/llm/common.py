@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.lineage import shared_folder
+
 #: White space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
     return f"{shared_folder(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
@@ -46,12 +37,18 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of ``df`` as one struct, ``row``, beside new columns, so that no names can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unboxed(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The columns named, out of ``row``, and more."""
+    return df.select(*(F.col("row")[c].alias(c) for c in columns), *(c.alias(n) for n, c in more.items()))
+
+
 def fold_of(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids hash as the empty text."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
-
-def texts(column: pa.Array) -> list[str]:
-    """Python strings of an Arrow column, null as the empty text."""
-    return ["" if t is None else t for t in column.to_pylist()]

@@ -12,13 +12,14 @@ written between passes. Nothing about the documents is ever gathered.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import replaced, stored
+from lodestone.llm.common import boxed, replaced, stored, unboxed
 
 #: A word, after A-Z have become a-z, is a run of characters outside these ranges.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -152,25 +153,24 @@ def find_leaks(
     )
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = replaced(docs, "n_words", "hits", "items", "n_hit", "spans")
+    kept = replaced(docs, "n_words", "hits", "items", "n_hit", "spans")
+    out = boxed(docs, text=F.col(text))
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])
-        found = out.withColumn("_found", _scanner(held, f"{id(held)}/{held.id if hasattr(held, 'id') else b}/{window}", window)(F.col(text)))
+        found = out.withColumn("found", _scanner(held, uuid.uuid4().hex, window)(F.col("text")))
         if b == 0:
-            out = found.select(*out.columns, "_found.n_words", "_found.hits", "_found.items")
+            out = found.select(*out.columns, "found.n_words", "found.hits", "found.items")
         else:
-            out = found.withColumns(
-                {
-                    "hits": _union(F.concat("hits", "_found.hits")),
-                    "items": F.array_sort(F.array_union("items", "_found.items")),
-                }
-            ).drop("_found")
+            more = {"hits": _union(F.concat("hits", "found.hits")), "items": F.array_sort(F.array_union("items", "found.items"))}
+            out = found.withColumns(more).drop("found")
         if b + 1 < blocks:
             out = stored(out, "leaks")
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
-    out = out.withColumn("n_hit", n_hit)
-    return out.withColumn("spans", _offsets(F.col(text), F.col("hits"))) if offsets else out
+    added = {"n_words": F.col("n_words"), "hits": F.col("hits"), "items": F.col("items"), "n_hit": n_hit}
+    if offsets:
+        added["spans"] = _offsets(F.col("text"), F.col("hits"))
+    return unboxed(out, kept.columns, **added)
 
 
 def _union(hits: Column) -> Column:
@@ -189,8 +189,7 @@ def _union(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), empty, step)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, *, most_hit: float = 0.0, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", most_hit: float = 0.0, **options) -> DataFrame:
     """The documents of which at most the share ``most_hit`` of words is hit, with their own columns only."""
-    found = find_leaks(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))), items, **options)
-    kept = found.where(F.col("n_hit") <= most_hit * F.col("n_words"))
-    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    found = find_leaks(boxed(docs, text=F.col(text)), items, text="text", **options)
+    return unboxed(found.where(F.col("n_hit") <= most_hit * F.col("n_words")), docs.columns)

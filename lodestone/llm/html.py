@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import replaced, stored
+from lodestone.llm.common import boxed, replaced, stored, unboxed
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -226,7 +226,7 @@ def extract_pages(pages: DataFrame, *, html: str = "html", url: str = "url", tex
     Null or empty html gives the empty text. Pages without a host vote together as one. Repeated rows count
     as often as they stand and all get the same text. An empty table gives an empty table.
     """
-    winners = stored(consensus_paths(pages, html=html, url=url), "paths").withColumnsRenamed({"host": "_host", "path": "_path"})
-    rows = replaced(pages, text).withColumn("_at", host_of(F.col(url)))
-    rows = rows.join(winners, rows["_at"] == winners["_host"], "left")
-    return rows.withColumn(text, _extracted(F.col(html), F.col("_path"))).drop("_at", "_host", "_path")
+    winners = stored(consensus_paths(pages, html=html, url=url), "paths")
+    kept = replaced(pages, text)
+    rows = boxed(pages, at=host_of(F.col(url)), html=F.col(html)).join(winners, F.col("at") == F.col("host"), "left")
+    return unboxed(rows, kept.columns, **{text: _extracted(F.col("html"), F.col("path"))})

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, let, replaced, stored
+from lodestone.llm.common import WORD, boxed, let, stored
 
 
 def _numbered(text: Column) -> Column:
@@ -90,13 +90,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     Columns of those two names are replaced, others stay. Null and empty texts stay as they are, with one
     line if empty and none if null. Texts without deletions don't change by a character.
     """
-    gone = stored(repeated_lines(docs, text=text, doc_id=doc_id, **options), "gone").withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "gone": "_gone"})
-    rows = replaced(docs, "n_lines", "n_removed").withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(gone, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumns({
-        "n_lines": F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("bigint"),
-        "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("bigint"),
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
-    })
-    return rows.drop("_h", "_d", "_t", "_gone")
+    gone = stored(repeated_lines(docs, text=text, doc_id=doc_id, **options), "gone")
+    rows = boxed(docs, d=F.col(doc_id).cast("bigint"), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
+    content, none = F.col("row")[text], F.col("gone").isNull()
+    kept = F.array_join(F.filter(F.split(content, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    counts = {
+        "n_lines": F.coalesce(F.regexp_count(content, F.lit("\n")) + 1, F.lit(0)).cast("bigint"),
+        "n_removed": F.when(none, F.lit(0)).otherwise(F.size("gone")).cast("bigint"),
+    }
+    own = [c for c in docs.columns if c.lower() not in counts]
+    return rows.select(*(F.when(none, content).otherwise(kept).alias(c) if c.lower() == text.lower() else F.col("row")[c].alias(c) for c in own), *(c.alias(n) for n, c in counts.items()))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, stored
+from lodestone.llm.common import WORD, boxed, stored, unboxed
 
 SYMBOLS = r"[#*$%&|<>!]"
 
@@ -96,9 +96,9 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, its columns as they are."""
     plan = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"))
     plan = stored(plan.agg(F.sum("copies").cast("int").alias("_times"), F.count("*").alias("_n")).where("_times > 0"), "mix")
-    rows = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    same = rows[doc_id].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_h"))
+    rows = boxed(docs, id=F.col(doc_id), hash=F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    same = F.col("id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h"))
     taken = rows.join(plan.where("_n = 1"), same)
     if not plan.where("_n > 1").isEmpty():
-        taken = taken.union(rows.join(plan.where("_n > 1"), same).dropDuplicates(["_d", "_h"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+        taken = taken.union(rows.join(plan.where("_n > 1"), same).dropDuplicates(["id", "hash"]))
+    return unboxed(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs.columns)

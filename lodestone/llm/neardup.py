@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import boxed, stored, unboxed
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,9 +268,9 @@ def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """``docs`` with one document of each class, and one row of those alike in id and text; all its columns."""
     found = near_duplicates(docs, text=text, doc_id=doc_id, **options).where("kept")
     found = stored(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_n")), "kept")
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_h"))
-    single = docs.join(found.where("_n = 1"), same, "left_semi")
-    if found.where("_n > 1").isEmpty():
-        return single
-    several = docs.join(found.where("_n > 1"), same, "left_semi").dropDuplicates([doc_id, text])
-    return single.unionByName(several)
+    rows = boxed(docs, d=F.col(doc_id).cast("bigint"), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    out = rows.join(found.where("_n = 1"), same, "left_semi")
+    if not found.where("_n > 1").isEmpty():
+        out = out.unionByName(rows.join(found.where("_n > 1"), same, "left_semi").dropDuplicates(["d", "h"]))
+    return unboxed(out, docs.columns)
