@@ -203,20 +203,56 @@ def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_similar("ua", "ub") >= least).select("a", "b")
 
 
-def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of bucket mates in different components that have not been compared yet.
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _unpacked(units: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(u.as_py(), np.int64) for u in units], pa.list_(pa.int64()))
 
-    In each bucket the members outside its commonest component meet all members of other components;
-    pairs inside one component are settled. So the commonest component, however large, is on one side only.
+
+def _centres(buckets: DataFrame) -> DataFrame:
+    """``bucket, node, centre`` of buckets with two members or more.
+
+    A bucket's centre is its member with the most company over all its buckets: of texts that vary one
+    text, the one that varies least, which is alike to the most others.
+    """
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(buckets.join(counts, "bucket"), "buckets")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    centres = members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("centre"))
+    return stored(members.select("bucket", "node").join(centres, "bucket"), "buckets")
+
+
+def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs of bucket mates in different components that may yet be alike and have not been compared.
+
+    Pairs inside one component are settled. In each bucket the members outside its commonest component
+    meet members of other components, so the commonest, however large, is on one side only. A unit that no
+    other text here has can't be shared, so of a text with n units only the m that others have count: a
+    similarity of t needs min(m, m') >= t / (1 + t) * (n + n'). This bounds the sizes n' of partners, and
+    members meet by bucket and class of size; texts that are apart by what is theirs alone never meet.
     """
     of = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    of = stored(of, "members")
-    sizes = of.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    few = of.join(main, "bucket").where("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    many = of.join(main.select("bucket"), "bucket", "left_semi")
-    met = few.join(many, "bucket").where("cx <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return met.join(tested, ["a", "b"], "left_anti")
+    sizes = of.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    of = stored(of.join(main.drop("parts"), "bucket"), "members")
+
+    units = sets.join(of.select("node").distinct(), "node", "left_semi").select("node", F.explode(_unpacked(F.col("units"))).alias("unit"))
+    shared = units.groupBy("unit").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("unit")
+    common = units.join(shared, "unit", "left_semi").groupBy("node").agg(F.count("*").alias("m"))
+    total = sets.select("node", (F.octet_length("units") / 8).cast("bigint").alias("n"))
+    known = stored(common.join(total, "node"), "sizes")
+
+    step = 1.0 / np.log(1.03)
+    klass = lambda n: F.floor(F.log(n) * step)
+    of = of.join(known.where(F.col("m") >= least * F.col("n")), "node")
+    low = least * F.col("n")
+    high = F.least(F.col("n") / least, F.col("m") * (1 + least) / least - F.col("n"))
+    few = of.where((F.col("component") != F.col("main")) & (high >= low))
+    few = few.select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.explode(F.sequence(klass(low - 1e-6), klass(high + 1e-6))).alias("klass"))
+    many = of.withColumn("klass", klass(F.col("n"))).select("bucket", "klass", "node", "component", "n", "m")
+    close = F.least("mx", "m") >= least / (1 + least) * (F.col("nx") + F.col("n")) - 1e-6
+    met = few.join(many, ["bucket", "klass"]).where((F.col("cx") != F.col("component")) & close)
+    pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(
@@ -240,9 +276,9 @@ def near_duplicates(
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    buckets = stored(buckets.join(centres.select("bucket", "centre"), "bucket"), "buckets")
-    pairs = stored(buckets.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    buckets = _centres(buckets)
+    pairs = buckets.where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("i"), F.col("rep.text_hash").alias("h"))
     held = docs.select(F.col(doc_id).cast("bigint").alias("d"), raw.alias("th"), F.col(text).alias("t"))
@@ -252,7 +288,7 @@ def near_duplicates(
 
     links = stored(_links(pairs, sets, least), "links")
     labels = components(links)
-    more = stored(_links(stored(_apart(buckets.select("bucket", "node"), labels, pairs), "pairs"), sets, least), "links")
+    more = stored(_links(stored(_apart(buckets.select("bucket", "node"), labels, pairs, sets, least), "pairs"), sets, least), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
