@@ -92,7 +92,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """
     gone = stored(repeated_lines(docs, text=text, doc_id=doc_id, **options), "gone")
     rows = boxed(docs, d=F.col(doc_id).cast("bigint"), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(gone, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
+    # Always by merging: whether the deletions would fit a broadcast must not change how the texts move.
+    rows = rows.join(gone.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
     content, none = F.col("row")[text], F.col("gone").isNull()
     kept = F.array_join(F.filter(F.split(content, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     counts = {
