@@ -17,12 +17,16 @@ speculative copy leaves at most a file that no index row names.
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,62 +62,122 @@ def read_record(stream) -> bytes | None:
     return body[:n]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Coder:
-    """Ids of whole texts as little-endian bytes.
+    """Ids of whole texts, by the tokenizers library.
 
     The vocabulary lower-cases, and breaks at ASCII white space and between letters and punctuation before
-    it merges. So words, and the punctuation that ends them, are encoded once by the tokenizer and
-    remembered, and a text is the concatenation of its pieces. Texts that may hold special tokens are
+    it merges. So the distinct words of a stretch of texts, found by Arrow, and the punctuation that ends
+    them are encoded once and remembered, and a text is the concatenation of its words. Plain words go to
+    the vocabulary's merges straight, others through all its steps. Texts that may hold special tokens are
     encoded as they are, and so is everything with ``whole``, for vocabularies without these properties.
     """
 
-    #: Pieces longer than LONG bytes are not remembered; of the rest, LIMIT at least and twice that at most.
-    LONG, LIMIT = 48, 500_000
+    #: Words longer than LONG bytes are not remembered; of the rest, LIMIT at most and the newest half at least.
+    LONG, LIMIT = 48, 600_000
     #: ASCII punctuation, by which the vocabulary ends a word.
-    MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Runs that the vocabulary doesn't cut further: letters of Latin scripts, in composed form, or punctuation.
+    SIMPLE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
+    #: Bytes of text taken at once.
+    STRETCH = 12 << 20
+    #: Of fewer distinct words than this, each is looked up by itself.
+    FEW = 5_000
 
     def __init__(self, path: str, end_id: int, width: int, whole: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width, self.code, self.whole = width, "<u2" if width == 2 else "<u4", whole
-        self.end = end_id.to_bytes(width, "little")
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _encode(self, piece: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.code).tobytes()
-
-    def _remembered(self, piece: bytes) -> bytes:
-        ids = self.known.get(piece)
+        self.width, self.code, self.whole, self.end_id = width, "<u2" if width == 2 else "<u4", whole, end_id
+        self.letters = _byte_letters()
+        self.atoms: dict[str, tuple[int, ...]] = {}
+        self.words = pa.array([], pa.string())
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, self.code)
+
+    def _ids(self, text: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _atom(self, atom: str) -> tuple[int, ...]:
+        if self.SIMPLE.fullmatch(atom):
+            shown = atom if atom.isascii() else atom.encode().decode("latin-1").translate(self.letters)
+            return tuple(t.id for t in self.tokenizer.model.tokenize(shown))
+        return self._ids(atom)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.atoms.get(piece)
         if ids is None:
-            ids = self.older.get(piece)
-            if ids is None:
-                ids = self._encode(piece.decode("utf-8", "replace"))
+            ids = self._atom(piece)
             if len(piece) <= self.LONG:
-                if len(self.known) >= self.LIMIT:
-                    self.older, self.known = self.known, {}
-                self.known[piece] = ids
+                if len(self.atoms) >= self.LIMIT // 2:
+                    self.atoms.clear()
+                self.atoms[piece] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: str) -> tuple[int, ...]:
         core = word.rstrip(self.MARKS)
-        if core and len(core) < len(word) and (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
-            return self._remembered(core) + self._remembered(word[len(core) :])
-        return self._remembered(word)
+        if core and len(core) < len(word) and (core[-1] in "0123456789" or core[-1].lower()[-1].isalpha()):
+            return self._piece(core) + self._piece(word[len(core) :])
+        return self._piece(word) if len(word) > len(core) else self._atom(word)
+
+    def _learn(self, words: pa.Array, remember: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new words."""
+        ids = [self._word(w) if w else () for w in words.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), self.code, int(sizes.sum()))
+        if not remember:
+            return sizes, flat
+        short = np.asarray(pc.less_equal(pc.binary_length(words), self.LONG))
+        if len(self.words) + len(words) > self.LIMIT:
+            half = len(self.words) // 2
+            self.words, self.flat, self.sizes = self.words.slice(half), self.flat[self.sizes[:half].sum() :], self.sizes[half:]
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(short))])
+        self.flat = np.concatenate([self.flat, flat[np.repeat(short, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes[short]])
+        return sizes, flat
+
+    def _stretch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = words.flatten().dictionary_encode()
+        few = len(coded.dictionary) < self.FEW
+        found = pa.nulls(len(coded.dictionary), pa.int32()) if few else pc.index_in(coded.dictionary, self.words)
+        new, place = np.asarray(found.is_null()), np.asarray(found.fill_null(0))
+        flat, sizes = self.flat, self.sizes
+        starts = np.cumsum(sizes) - sizes
+        n_of, at_of = (sizes[place], starts[place]) if len(sizes) else (np.zeros(len(place), np.int64), np.zeros(len(place), np.int64))
+        if new.any():
+            more, ids = self._learn(coded.dictionary.filter(pa.array(new)), not few)
+            n_of[new], at_of[new] = more, np.cumsum(more) - more + len(flat)
+            flat = np.concatenate([flat, ids])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = n_of[at]
+        stop = np.cumsum(n)
+        tokens = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(at_of[at] - (stop - n), n)]
+        ends = np.concatenate(([0], stop))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        for i in range(len(texts)):
+            yield tokens[ends[i] : ends[i + 1]]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text and the end id, as little-endian bytes, in order; null is the empty text."""
+        texts = pc.fill_null(texts, "")
+        apart = np.ones(len(texts), bool) if self.whole else pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        taken = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // self.STRETCH
+        end = np.array([self.end_id], self.code).tobytes()
+        edges = np.flatnonzero(np.diff(taken, prepend=-1)) if len(texts) else []
+        for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
+            part, alone = texts.slice(a, b - a), apart[a:b]
+            rest = self._stretch(part.filter(pa.array(~alone)) if alone.any() else part)
+            for i in range(b - a):
+                ids = np.array(self._ids(part[i].as_py()), self.code) if alone[i] else next(rest)
+                yield ids.tobytes() + end
 
     def encode(self, text: str) -> bytes:
-        data = text.encode("utf-8", "surrogatepass")
-        if self.whole or b"<|" in data:
-            return self._encode(text) + self.end
-        words = data.lower().split()
-        out = list(map(self.known.get, words))
-        if None in out:
-            out = [self._word(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
-        out.append(self.end)
-        return b"".join(out)
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def vocabulary_size(path: str) -> int:
@@ -124,8 +188,6 @@ def vocabulary_size(path: str) -> int:
 
 def _wide(payload: bytes, width: int) -> bytes:
     """The same ids as 32-bit integers."""
-    import numpy as np
-
     return payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4").tobytes()
 
 
@@ -180,12 +242,11 @@ def write_records(
         try:
             for batch in batches:
                 rows = []
-                for row_id, content in _rows([batch]):
+                for row_id, ids in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1)), strict=True):
                     if stream is None:
                         fs, at = pyarrow.fs.FileSystem.from_uri(name)
                         fs.create_dir(at.rpartition("/")[0], recursive=True)
                         stream = fs.open_output_stream(at, buffer_size=1 << 20)
-                    ids = coder.encode(content or "")
                     record = frame(serialized(row_id, ids))
                     stream.write(record)
                     rows.append((shard, row_id, name, offset, len(record), len(ids) // width))
