@@ -67,7 +67,7 @@ def fold(word: str) -> str:
 
 def folded_words(text: str) -> list[str]:
     """The folded words of a whole text."""
-    return [w for w in map(fold, _WORD.findall(text.lower())) if w]
+    return [w for w in map(fold, _WORD.findall(text.lower().replace("\u0307", ""))) if w]
 
 
 @dataclass(frozen=True)
