@@ -51,14 +51,15 @@ def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 0, *, vector: str =
 
 
 def _best(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    got = [(r["q"], np.asarray(r["v"])) for r in asked.collect()]
+    held = asked.toArrow()
+    got = [(q, np.asarray(v)) for q, v in zip(held.column("q").to_pylist(), held.column("v").to_pylist(), strict=True)]
     got = [(q, v / np.sqrt(v @ v)) for q, v in got if len(v) and v @ v > 0]
     schema = f"q {asked.schema['q'].dataType.simpleString()}, k {rows.schema['k'].dataType.simpleString()}, similarity double"
     if not got:
         return rows.sparkSession.createDataFrame([], schema)
     width = max(len(v) for _, v in got)
     got = [(q, v) for q, v in got if len(v) == width]
-    held = rows.sparkSession.sparkContext.broadcast((pa.array([q for q, _ in got]), np.stack([v for _, v in got])))
+    held = rows.sparkSession.sparkContext.broadcast((pa.array([q for q, _ in got], held.schema.field("q").type), np.stack([v for _, v in got])))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = held.value

@@ -23,7 +23,7 @@ def violations(df: DataFrame, schema: T.StructType, *, text: str = "text", allow
         value = F.col(f"`{field.name}`")
         if not field.nullable:
             checks.append(F.when(value.isNull(), F.lit(f"unset: {field.name}")))
-        if given[field.name] != field.dataType:
+        if given[field.name].simpleString() != field.dataType.simpleString():
             checks.append(F.when(value.isNotNull() & value.try_cast(field.dataType).isNull(), F.lit(f"wrong_type: {field.name}")))
     if not allow_unknown:
         checks += [F.lit(f"unknown: {n}") for n in given if n not in schema.fieldNames() and n != text]

@@ -36,5 +36,5 @@ def document(fields: T.StructType = PRESET, vector: bool = False) -> T.StructTyp
     """The whole schema of a document table, or of a vector table."""
     out = T.StructType().add("id", T.StringType(), False).add("text", T.StringType(), False)
     if vector:
-        out = out.add("vector", T.ArrayType(T.FloatType(), False), False)
+        out = out.add("vector", T.ArrayType(T.FloatType()), False)
     return T.StructType([*out, *fields])
