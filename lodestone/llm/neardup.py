@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,35 +222,41 @@ def _centres(buckets: DataFrame) -> DataFrame:
 
 
 def _apart(buckets: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of bucket mates in different components that may yet be alike and have not been compared.
-
-    Pairs inside one component are settled. In each bucket the members outside its commonest component
-    meet members of other components, so the commonest, however large, is on one side only. A unit that no
-    other text here has can't be shared, so of a text with n units only the m that others have count: a
-    similarity of t needs min(m, m') >= t / (1 + t) * (n + n'). This bounds the sizes n' of partners, and
-    members meet by bucket and class of size; texts that are apart by what is theirs alone never meet.
+    """Pairs in different components that may yet be alike and have not been compared, all bucket mates among them.
+
+    Pairs inside one component are settled. In each bucket only the members outside its commonest component
+    look for partners, so the commonest, however large, is on one side only. Two texts of n and n' units
+    with a similarity of t share o = t / (1 + t) * (n + n') units or more. With the units of every text in
+    order of how many texts have them, rarest first, the first unit that two share stands at places i and
+    i' with min(n - i, n' - i') >= o, so texts meet only by a unit that stands far enough in front in both,
+    for the sizes of partners that the bucket holds. Units that one text alone has come first and meet nothing.
     """
+    share, step = least / (1 + least), 1.03
+    klass = lambda n: F.floor(F.log(n) / float(np.log(step)))
     of = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    sizes = of.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    counts = of.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     of = stored(of.join(main.drop("parts"), "bucket"), "members")
 
     units = sets.join(of.select("node").distinct(), "node", "left_semi").select("node", F.explode(_unpacked(F.col("units"))).alias("unit"))
-    shared = units.groupBy("unit").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("unit")
-    common = units.join(shared, "unit", "left_semi").groupBy("node").agg(F.count("*").alias("m"))
+    shared = units.groupBy("unit").agg(F.count("*").alias("f")).where("f > 1")
+    common = units.join(shared, "unit")
     total = sets.select("node", (F.octet_length("units") / 8).cast("bigint").alias("n"))
-    known = stored(common.join(total, "node"), "sizes")
-
-    step = 1.0 / np.log(1.03)
-    klass = lambda n: F.floor(F.log(n) * step)
-    of = of.join(known.where(F.col("m") >= least * F.col("n")), "node")
-    low = least * F.col("n")
-    high = F.least(F.col("n") / least, F.col("m") * (1 + least) / least - F.col("n"))
-    few = of.where((F.col("component") != F.col("main")) & (high >= low))
-    few = few.select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.explode(F.sequence(klass(low - 1e-6), klass(high + 1e-6))).alias("klass"))
-    many = of.withColumn("klass", klass(F.col("n"))).select("bucket", "klass", "node", "component", "n", "m")
-    close = F.least("mx", "m") >= least / (1 + least) * (F.col("nx") + F.col("n")) - 1e-6
-    met = few.join(many, ["bucket", "klass"]).where((F.col("cx") != F.col("component")) & close)
+    known = common.groupBy("node").agg(F.count("*").alias("m")).join(total, "node").where(F.col("m") >= least * F.col("n"))
+    known = stored(known, "sizes")
+    ranked = common.join(known, "node").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("f", "unit")))
+    ranked = ranked.select("node", "unit", "n", (F.col("n") - F.col("m") + F.col("r") - 1).alias("i")).where(F.col("i") <= (1 - least) * F.col("n") + 1)
+    ranked = stored(ranked, "prefixes")
+
+    of = of.join(known, "node").withColumn("klass", klass(F.col("n")))
+    few = of.where("component <> main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    asked = few.join(of.select("bucket", "klass").distinct(), "bucket")
+    size = F.pow(F.lit(step), F.col("klass"))  # of the smallest partner of the class
+    asked = asked.where((size * step >= least * F.col("nx") - 1) & (size <= F.col("nx") / least + 1)).select("x", "cx", "nx", "klass").distinct()
+    front = asked.join(ranked.select(F.col("node").alias("x"), "unit", F.col("i").alias("ix")), "x").where(F.col("ix") <= F.col("nx") - share * (F.col("nx") + size) + 1)
+    many = ranked.join(of.select("node", "component").distinct(), "node").withColumn("klass", klass(F.col("n")))
+    close = F.least(F.col("nx") - F.col("ix"), F.col("n") - F.col("i")) >= share * (F.col("nx") + F.col("n")) - 1e-6
+    met = front.join(many, ["unit", "klass"]).where((F.col("cx") != F.col("component")) & close)
     pairs = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
