@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunking import Splitter, split_documents
+from lodestone.plans.lineage import numbered
 from lodestone.types import FIELD_TYPES, PRESET, ROOT
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -88,19 +89,21 @@ def column_mapping(mapping: str) -> list[tuple[int, str, str | None, str | None]
 def parquet_files(spark: SparkSession, path: str | Sequence[str], mapping: str, *, limit: int = 0, order: str | None = None) -> DataFrame:
     """Columns by place, as mapped; presets that aren't mapped get their defaults.
 
-    ``page_no`` numbers rows from 1: within the whole table by ``order``, where one is given, else by Spark's
-    ascending row ids, which are unique but not dense, and need no sort.
+    ``page_no`` numbers rows from 1: densely by ``order``, where one is given, else by Spark's ascending row
+    ids, which are unique but not dense, and need no sort.
     """
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     df = df.limit(limit) if limit > 0 else df
+    names = df.columns
+    df = numbered(df, order, "_number") if order else df.withColumn("_number", F.monotonically_increasing_id() + 1)
+    number = F.col("_number")
     found, texts = {}, []
     for i, kind, name, type_ in column_mapping(mapping):
-        column = F.col(f"`{df.columns[i]}`")
+        column = F.col(f"`{names[i]}`")
         if kind == "text":
             texts.append(column.cast("string"))
         else:
             found[name] = column.cast(FIELD_TYPES[type_])
-    number = F.expr(f"row_number() over (order by `{order}`)") if order else F.monotonically_increasing_id() + 1
     defaults = {"parent_doc_id": F.lit(ROOT), "page_no": number.cast("int"), "file_source": F.lit(""), "start_index": F.lit(0), "end_index": F.lit(0)}
     extra = {n: c for n, c in found.items() if n not in defaults}
     return df.select(F.concat(*texts).alias("text"), *((found.get(f.name, defaults[f.name])).cast(f.dataType).alias(f.name) for f in PRESET), *(c.alias(n) for n, c in extra.items()))

@@ -214,3 +214,12 @@ def test_streams(spark, tmp_path, small):
 
 def test_ranges_are_exclusive_by_default(spark):
     assert spark.range(5).where(Range("id", 1, 3).column()).count() == 1
+
+
+def test_dense_numbers(spark):
+    from lodestone.plans.lineage import numbered
+
+    df = spark.range(0, 1000, 3, 7).withColumn("v", (F.col("id") * 7919) % 1009)
+    got = numbered(df, "v", "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, len(got) + 1)) and [r["v"] for r in got] == sorted(r["v"] for r in got)
+    assert numbered(df.where("false"), "v", "n").isEmpty()
