@@ -1,13 +1,13 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by fingerprints of lines and of runs of lines.
 
-Lines with a word are hashed, ``gram`` consecutive hashes make a gram, and of every ``window``
-consecutive grams the smallest is a fingerprint; a line of ``long_line`` characters or more is one by
-itself. Each fingerprint is joined with the first place that holds it, documents in order of id, and
-the match is extended both ways, line by line. Runs of ``gram`` lines or more, or with a long line,
-that stand earlier are deleted; the first place stays.
+Lines with a word are hashed. A line that counts alone, with ``least_words`` words or ``long_line``
+characters, is a fingerprint, and so are ``gram`` consecutive lines unless all of them count alone. Each
+fingerprint is joined with the first place that holds it, documents in order of id; what stands earlier
+is deleted, the first place stays.
 
-What is guaranteed: afterwards no ``window + gram - 1`` consecutive lines and no long line remain that
-stand at an earlier place.
+What is guaranteed: every line that counts alone and every run of ``gram`` lines or more that stands at
+an earlier place of the given documents is deleted, and nothing else is. A line's first place is never
+deleted.
 """
 
 from __future__ import annotations
@@ -19,46 +19,28 @@ from lodestone.llm.common import WORD, boxed, let, stored
 
 
 def _numbered(text: Column) -> Column:
-    """Lines with a word, as (number among all lines, hash, length)."""
+    """Lines with a word, as (number among all lines, hash, text)."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     worded = F.filter(lines, lambda s: F.rlike(s["x"], F.lit(WORD)))
-    return F.transform(worded, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), F.length(s["x"]).alias("n")))
+    return F.transform(worded, lambda s: F.struct(s["i"].alias("i"), F.xxhash64(s["x"]).alias("h"), s["x"].alias("x")))
 
 
-def _fingerprints(h: Column, n: Column, gram: int, window: int, long_line: int) -> Column:
-    """(hash, place) of window minima, rightmost of equal ones, and of long lines."""
+def _fingerprints(lines: Column, gram: int, least_words: int, long_line: int) -> Column:
+    """(hash, numbers of its lines) of lines that count alone and of runs that hold another."""
+    words = rf"(?:{WORD}[\x20\x09-\x0D]+){{{max(least_words, 1) - 1}}}{WORD}"
+    marked = F.transform(lines, lambda s: F.struct(s["i"].alias("i"), s["h"].alias("h"), (F.rlike(s["x"], F.lit(words)) | (F.length(s["x"]) >= long_line)).alias("l")))
 
-    def minima(grams: Column) -> Column:
-        starts = F.slice(grams, F.lit(1), F.greatest(F.size(grams) - (window - 1), F.least(F.size(grams), F.lit(1))))
-        return F.array_distinct(F.transform(starts, lambda g, i: F.array_min(F.slice(grams, i + 1, window))))
+    def found(marked: Column) -> Column:
+        alone = F.transform(F.filter(marked, lambda s: s["l"]), lambda s: F.struct(F.xxhash64(s["h"], F.lit("line")).alias("f"), F.array(s["i"]).alias("at")))
+        starts = F.slice(marked, F.lit(1), F.greatest(F.size(marked) - (gram - 1), F.lit(0)))
+        runs = F.transform(starts, lambda _, i: F.slice(marked, i + 1, gram))
+        runs = F.filter(runs, lambda r: F.exists(r, lambda s: ~s["l"]))
+        return F.concat(alone, F.transform(runs, lambda r: F.struct(F.xxhash64(r["h"]).alias("f"), r["i"].alias("at"))))
 
-    grams = F.transform(
-        F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x, *(h[i + k] for k in range(1, gram))).alias("f"), (-i).alias("p")),
-    )
-    alone = F.filter(F.transform(h, lambda x, i: F.struct(F.xxhash64(x, F.lit("line")).alias("f"), (-i).alias("p"))), lambda s: n[-s["p"]] >= long_line)
-    return F.concat(let(grams, minima), alone)
+    return let(marked, found)
 
 
-def _runs(mine: Column, other: Column, shift: Column, n: Column, gram: int, long_line: int) -> Column:
-    """Places of ``mine`` in maximal runs equal to ``other`` at that shift, of runs that count."""
-    none = F.array().cast("array<int>")
-    state = F.struct(none.alias("done"), none.alias("run"), F.lit(False).alias("long"))
-    equal = F.transform(mine, lambda x, i: F.coalesce(x == F.try_element_at(other, F.when((i - shift >= 0) & (i - shift < F.size(other)), i - shift + 1)), F.lit(False)))
-
-    def closed(a: Column) -> Column:
-        return F.when(a["long"] | (F.size(a["run"]) >= gram), F.concat(a["done"], a["run"])).otherwise(a["done"])
-
-    def step(a: Column, s: Column) -> Column:
-        grown = F.struct(a["done"].alias("done"), F.concat(a["run"], F.array(s["i"])).alias("run"), (a["long"] | s["l"]).alias("long"))
-        ended = F.struct(closed(a).alias("done"), none.alias("run"), F.lit(False).alias("long"))
-        return F.when(s["e"], grown).otherwise(ended)
-
-    marks = F.transform(equal, lambda e, i: F.struct(e.alias("e"), i.alias("i"), (n[i] >= long_line).alias("l")))
-    return F.aggregate(marks, state, step, closed)
-
-
-def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", gram: int = 2, window: int = 2, long_line: int = 200) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", gram: int = 2, least_words: int = 2, long_line: int = 200) -> DataFrame:
     """For each document with deletions: ``doc_id``, ``text_hash`` and ``gone``, the numbers (from 0) of its lines to delete.
 
     Rows alike in id and text are one document. Documents come in order of id, null first, then of the
@@ -66,26 +48,17 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     deleted, and don't interrupt a run.
     """
     key = [F.col(doc_id).cast("bigint").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")]
-    rows = docs.select(*key, _numbered(F.col(text)).alias("s")).where(F.size("s") > 0)
-    rows = rows.select("d", "t", F.col("s.i").alias("i"), F.col("s.h").alias("h"), F.col("s.n").alias("n"))
-    rows = stored(rows.groupBy("d", "t").agg(*(F.first(c).alias(c) for c in "ihn")), "lines")
-    prints = rows.select("d", "t", F.explode(_fingerprints(F.col("h"), F.col("n"), gram, window, long_line)).alias("f"))
-    prints = prints.select("d", "t", F.col("f.f").alias("f"), (-F.col("f.p")).alias("p"))
-    first = prints.groupBy("f").agg(F.min(F.struct("d", "t", "p")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = prints.join(first, "f").where(F.struct("d", "t", "p") > F.col("e"))
-    met = met.select("d", "t", F.col("e.d").alias("d2"), F.col("e.t").alias("t2"), (F.col("p") - F.col("e.p")).alias("shift")).distinct()
-    other = rows.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("h").alias("h2"))
-    same = lambda a, b, *c: F.expr(" and ".join(f"{a}.{x} <=> {b}.{y}" for x, y in c))
-    met = met.alias("m").join(other.alias("o"), same("m", "o", ("d2", "d2"), ("t2", "t2"))).select("m.d", "m.t", "m.shift", "o.h2")
-    met = met.alias("m").join(rows.alias("r"), same("m", "r", ("d", "d"), ("t", "t"))).select("m.d", "m.t", "m.shift", "m.h2", "r.h", "r.i", "r.n")
-    gone = let(_runs(F.col("h"), F.col("h2"), F.col("shift"), F.col("n"), gram, long_line), lambda g: F.transform(g, lambda k: F.col("i")[k]))
-    gone = met.select("d", "t", gone.alias("g")).where(F.size("g") > 0)
-    gone = gone.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gone"))
+    prints = docs.select(*key, F.explode(_fingerprints(_numbered(F.col(text)), gram, least_words, long_line)).alias("f"))
+    prints = stored(prints.select("d", "t", F.col("f.f").alias("f"), F.col("f.at").alias("at")), "prints")
+    place = F.struct("d", "t", F.col("at")[0].alias("p"))
+    first = prints.groupBy("f").agg(F.min(place).alias("e"), F.max(place).alias("z")).where("e <> z").drop("z")
+    met = prints.join(first, "f").where(place > F.col("e"))
+    gone = met.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("gone"))
     return gone.select(F.col("d").alias("doc_id"), F.col("t").alias("text_hash"), "gone")
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``, and ``n_lines``, ``n_removed`` (bigint).
+    """``docs`` with later repeated lines and runs of lines deleted from ``text``, and ``n_lines``, ``n_removed`` (bigint).
 
     Columns of those two names are replaced, others stay. Null and empty texts stay as they are, with one
     line if empty and none if null. Texts without deletions don't change by a character.

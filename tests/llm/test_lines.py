@@ -81,3 +81,34 @@ def test_runs_extend_both_ways(spark):
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     assert "Python" not in lines.dedup_lines(docs)._jdf.queryExecution().toString()
+
+
+def brute(docs):
+    """Text of each document without lines of two words and runs of two lines that stand at an earlier place."""
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        given = text.split("\n")
+        own, gone = [j for j, x in enumerate(given) if x.strip()], set()
+        for a, b in [(j, None) for j in own] + list(zip(own, own[1:], strict=False)):
+            if b is None and len(given[a].split()) < 2:
+                continue
+            unit = given[a], None if b is None else given[b]
+            if unit in seen:
+                gone |= {a} if b is None else {a, b}
+            seen.add(unit)
+        out[i] = "\n".join(x for j, x in enumerate(given) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_every_repeated_line_and_run_of_two_is_deleted(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"a short line {i}" if i % 2 else f"word{i}" for i in range(80)]
+    docs = {}
+    for i in range(150):
+        own = []
+        for _ in range(rng.randint(1, 6)):
+            own += rng.choice([[f"own {i} {rng.random()}"], [f"w{rng.random()}"], pool[(j := rng.randrange(70)) : j + rng.randint(1, 3)], [""], ["same", "same"]])
+        docs[i] = "\n".join(own)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert got == brute(docs)
