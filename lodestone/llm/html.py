@@ -3,10 +3,11 @@
 Each page's containers are scored by the text of the blocks inside them, nearest container first. The
 scores vote, in Spark, for generalised paths of tags and classes from the body down, a path that many
 pages of a host score well wins for the host, and pages are read again with the winning path. A page
-without that path uses its own best container.
+without that path uses its own best container. Inside an article or main element the text is all of that
+element; elsewhere a list, table or section takes along the text that stands directly beside it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles count in
-neither pass; they are told by tag, role, class and id.
+neither pass; they are told by tag, role, class and id. A form that holds most of a page's text is none.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _CONTAINERS = frozenset("article body center dd details div dl figure fieldset li main ol section table tbody td tr ul blockquote".split())
 _NOISE_TAGS = frozenset("nav aside footer form menu dialog search button".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Parts of a text rather than containers of a whole one.
+_PARTS = frozenset("blockquote dd details dl figure li ol section table tbody td tr ul".split())
 _NEVER_NOISE = frozenset("html body article main".split())
 # Words that begin or end the class or id of what isn't the article.
 _NOISE_WORDS = (
@@ -44,6 +47,7 @@ _NOISE = re.compile(rf"(?:^(?:{'|'.join(_NOISE_WORDS)})(?:[-_\d].*)?$)|(?:.*[-_]
 _LAYOUT = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:has|with|without|no)[-_]")
 #: An open element of the first kind ends where one of the second starts.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+_FORM = re.compile(r"<form\b", re.I)
 _kinds: dict[tuple[str, str], tuple[str, bool]] = {}
 
 
@@ -55,6 +59,7 @@ class Block:
     heading: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    form: int = -1
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
@@ -82,10 +87,21 @@ def kind(tag: str, attributes: str) -> tuple[str, bool]:
 
 def read(html: str) -> tuple[list[str], list[Block]]:
     """The paths of a page's containers, by number, and its blocks in order, noise left out."""
+    if not _FORM.search(html):
+        return _read(html, None)
+    sizes: dict[int, int] = {}
+    for b in _read(html, None)[1]:
+        sizes[b.form] = sizes.get(b.form, 0) + len(b.text())
+    return _read(html, {n for n, size in sizes.items() if n >= 0 and 2 * size > sum(sizes.values())})
+
+
+def _read(html: str, forms: set[int] | None) -> tuple[list[str], list[Block]]:
+    """As ``read``; only the forms of these numbers, in order, are no noise, or with None all."""
     paths: list[str] = []
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, path, inside noise, number of the container or -1
     inside: tuple[int, ...] = ()
+    n_forms, form = 0, -1
     block: Block | None = None
     link = noisy = False
     at, size = 0, len(html)
@@ -97,7 +113,7 @@ def read(html: str) -> tuple[list[str], list[Block]]:
             if block is None:
                 if piece.isspace():
                     return
-                block = Block(inside, bool(stack) and stack[-1][0] in ("h1", "h2"))
+                block = Block(inside, bool(stack) and stack[-1][0] in ("h1", "h2"), form=form if any(s[0] == "form" for s in stack) else -1)
                 blocks.append(block)
             block.parts.append(piece)
             if link:
@@ -151,6 +167,10 @@ def read(html: str) -> tuple[list[str], list[Block]]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article"):
                     break
             step, noise = kind(tag, attributes)
+            if tag == "form":
+                if not any(s[0] == "form" for s in stack):
+                    form, n_forms = n_forms, n_forms + 1
+                noise = forms is not None and form not in forms
             above = stack[-1] if stack else ("", "", False, -1)
             if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
                 noise = True
@@ -164,22 +184,42 @@ def read(html: str) -> tuple[list[str], list[Block]]:
     return paths, blocks
 
 
-def scored(html: str, reach: int = 4, decay: float = 0.75) -> dict[str, float]:
+def scored(html: str, decay: float = 0.75) -> dict[str, float]:
     """Points of each container path: of each block the text that isn't linked, less for containers further out."""
     paths, blocks = read(html)
     points: dict[str, float] = {}
     for b in blocks:
         own = max(0.0, len(b.text()) - 2.0 * b.linked)
-        for number in b.inside[: -reach - 1 : -1]:
+        for number in reversed(b.inside):
             points[paths[number]] = points.get(paths[number], 0.0) + own
             own *= decay
     return {p: v for p, v in points.items() if v > 0}
 
 
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def _lifted(paths: list[str], blocks: list[Block], chosen: set[int]) -> set[int]:
+    """Each container's article, else its main, where there is one; of others, parts rise to the nearest container with text of its own."""
+    plain = [b for b in blocks if b.linked < sum(map(len, b.parts)) and not b.heading]
+    own = {b.inside[-1] for b in plain if b.inside}
+    above = {b.inside[i]: b.inside[:i] for b in blocks for i in range(len(b.inside)) if b.inside[i] in chosen}
+    out = set()
+    for n in chosen:
+        line = (*above.get(n, ()), n)
+        whole = [i for i in line if _tag(paths[i]) == "article"][-1:] or [i for i in line if _tag(paths[i]) == "main"][-1:]
+        if not whole and _tag(paths[n]) in _PARTS:
+            outer = next((k for k in range(len(line) - 1, -1, -1) if _tag(paths[line[k]]) not in _PARTS), 0)
+            whole = [i for i in line[outer:-1] if i in own][:1]
+        out.update(whole or [n])
+    return out
+
+
 def extract(html: str, path: str | None) -> str:
     """The text of the containers with that path, else of the page's own best one, else of all that isn't noise.
 
-    A title that stands before the container, in the one around it, belongs to it.
+    Containers are lifted first, so that no text of an article beside its largest part is lost. A title that stands before the container, in the one around it, belongs to it.
     """
     paths, blocks = read(html)
     chosen = {i for i, p in enumerate(paths) if p == path}
@@ -187,6 +227,7 @@ def extract(html: str, path: str | None) -> str:
         points = scored(html)
         best = max(points, key=lambda p: (points[p], p), default=None)
         chosen = {i for i, p in enumerate(paths) if p == best}
+    chosen = _lifted(paths, blocks, {i for b in blocks for i in b.inside}.intersection(chosen))
     first = next((i for i, b in enumerate(blocks) if chosen.intersection(b.inside)), 0)
     around = {b.inside[k - 1] for b in blocks for k in range(1, len(b.inside)) if b.inside[k] in chosen}
     title = {i for i, b in enumerate(blocks[:first]) if b.heading and b.inside and b.inside[-1] in around}

@@ -45,3 +45,26 @@ def test_hosts(spark):
     urls = ["http://A.example:80/x", "https://u:p@b.example?q", "//c.example", "d.example/x", None, ""]
     got = [r["h"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(html.host_of(__import__("pyspark.sql.functions", fromlist=["col"]).col("u")).alias("h")).collect()]
     assert got == ["a.example", "b.example", "c.example", "", "", ""]
+
+
+def test_all_of_an_article_is_kept():
+    """Text before, between and after the sections, lists or tables that hold most of an article."""
+    long = "Many words of a long paragraph, and some more of them. " * 8
+    parts = (
+        f"<section><p>{long}1</p></section><p>between</p><section><p>{long}2</p></section>",
+        f"<ul><li>{long}1</li></ul><p>between</p><ul><li>{long}2</li></ul>",
+        f"<table><tbody><tr><td>{long}1</td></tr></tbody></table><p>between</p><table><tbody><tr><td>{long}2</td></tr></tbody></table>",
+    )
+    want = f"Title\nlead\n{long}1\nbetween\n{long}2\nend"
+    for part in parts:
+        for around in ("article", "main", "div"):
+            page = f"<body><nav><p>{long}</p></nav><{around}><h1>Title</h1><p>lead</p>{part}<p>end</p></{around}><div class='other'><p>other</p></div></body>"
+            for path in (None, max(html.scored(page), key=html.scored(page).get)):
+                assert html.extract(page, path) == want
+
+
+def test_a_form_around_the_page_is_no_noise():
+    page = "<body><form id='form1'><div class='main'><h1>Title</h1><p>Text of the page, long enough.</p></div></form><form class='search'><p>Find it</p></form></body>"
+    assert html.extract(page, None) == "Title\nText of the page, long enough."
+    page = "<body><div class='main'><p>Text of the page, long enough.</p></div><form><p>Find it</p></form></body>"
+    assert html.extract(page, None) == "Text of the page, long enough."
