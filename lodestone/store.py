@@ -18,6 +18,7 @@ from lodestone.functions.vector import cosine, norm
 from lodestone.operators import search
 from lodestone.operators.filters import Filter, Find, by_ids, where, without
 from lodestone.operators.validate import checked
+from lodestone.plans.lineage import cut_lineage
 from lodestone.types import PRESET, document
 
 
@@ -59,12 +60,10 @@ class DocumentTable:
             content = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
             docs = docs.withColumn("id", F.sha2(F.concat(F.lit(uuid.uuid4().hex), content, F.monotonically_increasing_id().cast("string")).cast("binary"), 256))
         good, failed = checked(self._prepared(docs), self._stored(), allow_unknown=allow_unknown)
-        good = good.persist()
-        try:
-            good.write.format("parquet").mode("append").saveAsTable(self.name)
-            return Added(good.count(), self.spark.createDataFrame(good.select("id").collect(), "id string") if good.count() < 10_000 else self.read().select("id"), failed)
-        finally:
-            good.unpersist()
+        # The batch is computed once, so its ids are those in the table.
+        batch = cut_lineage(good)
+        batch.write.format("parquet").mode("append").saveAsTable(self.name)
+        return Added(batch.count(), batch.select("id"), failed)
 
     def get(self, ids: Sequence[str]) -> DataFrame:
         return by_ids(self.read(), ids)

@@ -223,3 +223,13 @@ def test_dense_numbers(spark):
     got = numbered(df, "v", "n").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1, len(got) + 1)) and [r["v"] for r in got] == sorted(r["v"] for r in got)
     assert numbered(df.where("false"), "v", "n").isEmpty()
+
+
+def test_ids_of_a_large_append_are_its_own(spark):
+    t = store.DocumentTable(spark, "large", metadata(n="int32"), replace=True)
+    rows = lambda low, high: spark.range(low, high).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.col("id").cast("int").alias("n"))
+    first, second = t.add(rows(0, 10)), t.add(rows(10, 10_110))
+    assert first.affected_rows == 10 and second.affected_rows == 10_100 and second.ids.count() == 10_100
+    assert t.get_many(second.ids).agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (10, 10_109, 10_100)
+    assert t.get_many(first.ids).count() == first.ids.count() == 10 and t.count() == 10_110
+    t.drop()
