@@ -305,6 +305,12 @@ def combine_docs(spark, d):
     return aggregates.combine_documents(first, by=["source"]).select("source", tx.digest(F.col("context"), "md5").alias("context_md5"))
 
 
+@query("SELECT conv_id, md5(string_agg(text || chr(10), '' ORDER BY turn)) AS context_md5 FROM conversations GROUP BY conv_id")
+def combine_turns(spark, d):
+    """As combine_docs, over whole groups: all turns of each conversation."""
+    return aggregates.combine_documents(table(spark, d, "conversations"), by=["conv_id"], order="turn").select("conv_id", tx.digest(F.col("context"), "md5").alias("context_md5"))
+
+
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat_history FROM conversations GROUP BY conv_id")
 def combine_messages(spark, d):
     return aggregates.combine_messages(table(spark, d, "conversations"), by=["conv_id"])
