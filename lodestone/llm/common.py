@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Gives freed Arrow memory of a worker back to the system; workers live on after a task, and so would it."""
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, with ``value`` computed once a row although ``body`` may use it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

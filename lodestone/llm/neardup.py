@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import boxed, stored, unboxed
+from lodestone.llm.common import boxed, released, stored, unboxed
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,7 +35,7 @@ class _Hashes(dict):
     """64-bit hashes of words, the same in every process."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) < 48:
@@ -158,6 +158,7 @@ def _signer(shingle: int, n_bands: int, rows: int):
                 held = 0
         if own:
             flush()
+        released()
         return pa.array([{"digest": d, "bands": b} for d, b in zip(digests, out, strict=True)], kind)
 
     return signed

@@ -31,6 +31,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import released
+
 MASK = 0xA282EAD8
 _INDEX = "shard int, doc_id bigint, file string, offset bigint, length bigint, n_tokens bigint"
 _RECORDS = "shard int, position bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
@@ -79,14 +81,15 @@ class Coder:
     encoded as they are, and so is everything with ``whole``, for vocabularies without these properties.
     """
 
-    #: Words longer than LONG bytes are not remembered; of the rest, LIMIT at most and the newest half at least.
-    LONG, LIMIT = 48, 600_000
+    #: Words longer than LONG bytes are not remembered; of the rest, LIMIT at most and the newest half at least,
+    #: and ATOMS of their parts, so that what a worker remembers stays below 48 bytes * LIMIT + 300 bytes * ATOMS.
+    LONG, LIMIT, ATOMS = 48, 400_000, 100_000
     #: ASCII punctuation, by which the vocabulary ends a word.
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     #: Runs that the vocabulary doesn't cut further: letters of Latin scripts, in composed form, or punctuation.
     SIMPLE = re.compile(r"[a-zß-öø-ÿ]+|[!-/:-@\[-`{-~]+")
     #: Bytes of text taken at once.
-    STRETCH = 12 << 20
+    STRETCH = 4 << 20
     #: Of fewer distinct words than this, each is looked up by itself.
     FEW = 5_000
 
@@ -114,7 +117,7 @@ class Coder:
         if ids is None:
             ids = self._atom(piece)
             if len(piece) <= self.LONG:
-                if len(self.atoms) >= self.LIMIT // 2:
+                if len(self.atoms) >= self.ATOMS:
                     self.atoms.clear()
                 self.atoms[piece] = ids
         return ids
@@ -175,6 +178,8 @@ class Coder:
             for i in range(b - a):
                 ids = np.array(self._ids(part[i].as_py()), self.code) if alone[i] else next(rest)
                 yield ids.tobytes() + end
+            rest = ids = None
+            released()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(pa.array([text], pa.string())))
