@@ -10,19 +10,42 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset, as on one machine."""
+    """``spark.checkpoint.dir`` with its file system, that of the session where none is named.
+
+    Where it is unset, a session on one machine, as in tests, gets a temporary folder; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost no earlier step."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lodestone/step-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``cut_lineage`` wrote for these tables, once nothing is read from them any more; others stay as they are."""
+    for df in tables:
+        path = getattr(df, "_lodestone_path", None) if "_lodestone_path" in vars(df) else None
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
