@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,54 +19,72 @@ from pyspark.sql import types as T
 Length = Callable[[str], int]
 #: From large units to small; the empty one splits into code points.
 SEPARATORS = ("\n\n", "\n", " ", "")
-
-# Words that begin a unit of code, by language; a separator is a line end, the word, a space.
-_STARTS = {
-    "cpp": "class void int float double if for while switch case",
-    "go": "func var const type if for switch case",
-    "java": "class public protected private static if for while switch case",
-    "kotlin": "class public protected private internal companion fun val var if for while when case else",
-    "js": "function const let var class if for while switch case default",
-    "ts": "enum interface namespace type class function const let var if for while switch case default",
-    "php": "function class if foreach while do switch case",
-    "proto": "message service enum option import syntax",
-    "python": "class def",
-    "ruby": "def class if unless while for do begin rescue",
-    "rust": "fn const let if while for loop match const",
-    "scala": "class object def val var if for while match case",
-    "swift": "func class struct enum if for while do switch case",
-    "csharp": "interface enum implements delegate event class abstract public protected private static return if continue for foreach while switch break case else try throw finally catch",
-    "sol": "pragma using contract interface library constructor type function event modifier error struct enum if for while do_while assembly",
-}
-_ENVIRONMENTS = "enumerate itemize description list quote quotation verse verbatim align"
-_TAGS = "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title"
-_DIVISIONS = "IDENTIFICATION ENVIRONMENT DATA PROCEDURE", "WORKING-STORAGE LINKAGE FILE INPUT-OUTPUT", "OPEN CLOSE READ WRITE IF ELSE MOVE PERFORM UNTIL VARYING ACCEPT DISPLAY"
+#: In place of what joins pieces: a piece that stays as it is.
+_WHOLE = "\0whole"
+
+# Keywords that begin a unit of code, by language. A separator is a line end, the keyword and a space.
+_KEYWORDS = {
+    "cpp": ("class", "void", "int", "float", "double", "if", "for", "while", "switch", "case"),
+    "go": ("func", "var", "const", "type", "if", "for", "switch", "case"),
+    "java": ("class", "public", "protected", "private", "static", "if", "for", "while", "switch", "case"),
+    "kotlin": ("class", "public", "protected", "private", "internal", "companion", "fun", "val", "var", "if", "for", "while", "when", "case", "else"),
+    "js": ("function", "const", "let", "var", "class", "if", "for", "while", "switch", "case", "default"),
+    "ts": ("enum", "interface", "namespace", "type", "class", "function", "const", "let", "var", "if", "for", "while", "switch", "case", "default"),
+    "php": ("function", "class", "if", "foreach", "while", "do", "switch", "case"),
+    "proto": ("message", "service", "enum", "option", "import", "syntax"),
+    "python": ("class", "def"),
+    "ruby": ("def", "class", "if", "unless", "while", "for", "do", "begin", "rescue"),
+    "rust": ("fn", "const", "let", "if", "while", "for", "loop", "match", "const"),
+    "scala": ("class", "object", "def", "val", "var", "if", "for", "while", "match", "case"),
+    "swift": ("func", "class", "struct", "enum", "if", "for", "while", "do", "switch", "case"),
+    "csharp": (
+        "interface", "enum", "implements", "delegate", "event", "class", "abstract", "public", "protected", "private", "static", "return",
+        "if", "continue", "for", "foreach", "while", "switch", "break", "case", "else", "try", "throw", "finally", "catch",
+    ),
+    "sol": (
+        "pragma", "using", "contract", "interface", "library", "constructor", "type", "function", "event", "modifier", "error", "struct",
+        "enum", "if", "for", "while", "do while", "assembly",
+    ),
+}
+# The separators of markup languages; those of rst and markdown are patterns.
+_RST = ("\n=+\n", "\n-+\n", "\n\\*+\n", "\n\n.. *\n\n")
+_MARKDOWN = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n")
+_LATEX_SECTIONS = ("chapter", "section", "subsection", "subsubsection")
+_LATEX_ENVIRONMENTS = ("enumerate", "itemize", "description", "list", "quote", "quotation", "verse", "verbatim", "align")
+_HTML_TAGS = (
+    "body", "div", "p", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "span", "table", "tr", "td", "th", "ul", "ol",
+    "header", "footer", "nav", "head", "style", "script", "meta", "title",
+)
+_COBOL_DIVISIONS = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
+_COBOL_SECTIONS = ("WORKING-STORAGE", "LINKAGE", "FILE", "INPUT-OUTPUT")
+_COBOL_VERBS = ("OPEN", "CLOSE", "READ", "WRITE", "IF", "ELSE", "MOVE", "PERFORM", "UNTIL", "VARYING", "ACCEPT", "DISPLAY")
+
+LANGUAGES = (*_KEYWORDS, "rst", "markdown", "latex", "html", "cobol")
 
 
 def language_separators(language: str) -> tuple[str, ...]:
     """Separators for a programming or markup language; those of rst and markdown are patterns."""
     name = language.lower()
-    if name in _STARTS:
-        starts = [f"\n{w.replace('_', ' ')} " for w in _STARTS[name].split()]
-        return (*starts, *(["\n\tdef "] if name == "python" else []), *SEPARATORS)
+    if name == "python":
+        return (*(f"\n{w} " for w in _KEYWORDS[name]), "\n\tdef ", *SEPARATORS)
+    if name in _KEYWORDS:
+        return (*(f"\n{w} " for w in _KEYWORDS[name]), *SEPARATORS)
     if name == "rst":
-        return ("\n=+\n", "\n-+\n", "\n\\*+\n", "\n\n.. *\n\n", *SEPARATORS)
+        return (*_RST, *SEPARATORS)
     if name == "markdown":
-        return ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", *SEPARATORS)
+        return (*_MARKDOWN, *SEPARATORS)
     if name == "latex":
-        sections = [f"\n\\{s}{{" for s in ("chapter", "section", "subsection", "subsubsection")]
-        return (*sections, *(f"\n\\begin{{{e}}}" for e in _ENVIRONMENTS.split()), "$$", "$", " ", "")
+        return (*(f"\n\\{s}{{" for s in _LATEX_SECTIONS), *(f"\n\\begin{{{e}}}" for e in _LATEX_ENVIRONMENTS), "$$", "$", " ", "")
     if name == "html":
-        return (*(f"<{t}" for t in _TAGS.split()), "")
+        return (*(f"<{t}" for t in _HTML_TAGS), "")
     if name == "cobol":
-        divisions, sections, verbs = (d.split() for d in _DIVISIONS)
-        return (*(f"\n{d} DIVISION." for d in divisions), *(f"\n{s} SECTION." for s in sections), *(f"\n{v} " for v in verbs), "\nSTOP RUN.", "\n", " ", "")
+        return (
+            *(f"\n{d} DIVISION." for d in _COBOL_DIVISIONS), *(f"\n{s} SECTION." for s in _COBOL_SECTIONS), *(f"\n{v} " for v in _COBOL_VERBS),
+            "\nSTOP RUN.", "\n", " ", "",
+        )
     raise ValueError(f"no separators for {language}")
 
 
-LANGUAGES = (*_STARTS, "rst", "markdown", "latex", "html", "cobol")
-
-
 def cut(text: str, pattern: str, keep: bool) -> list[str]:
     """``text`` cut at a pattern; kept separators begin the piece that follows. The empty pattern cuts everywhere."""
     if not pattern:
@@ -79,26 +98,22 @@ def cut(text: str, pattern: str, keep: bool) -> list[str]:
 def packed(pieces: Sequence[str], joint: str, size: int, overlap: int, length: Length = len, strip: bool = True) -> list[str]:
     """Consecutive pieces joined into chunks of at most ``size``, each repeating up to ``overlap`` of the last.
 
-    A piece longer than ``size`` makes a chunk of its own.
+    A piece longer than ``size`` makes a chunk of its own. With sums of lengths up to each piece, the length
+    of any stretch of pieces is a difference, and a chunk is a stretch whose two ends move forward.
     """
-    gap, out, held, total = length(joint), [], [], 0
-
-    def flush() -> None:
-        chunk = joint.join(p for p, _ in held)
-        if chunk := chunk.strip() if strip else chunk:
-            out.append(chunk)
-
-    for piece in pieces:
-        n = length(piece)
-        if held and total + n + gap > size:
-            flush()
-            while held and (total > overlap or total + n + gap > size):
-                total -= held.pop(0)[1] + (gap if held else 0)
-        total += n + (gap if held else 0)
-        held.append((piece, n))
-    if held:
-        flush()
-    return out
+    gap = length(joint)
+    upto = [0, *accumulate(length(p) + gap for p in pieces)]
+    joined = lambda a, b: max(upto[b] - upto[a] - gap, 0)
+    spans, first = [], 0
+    for i in range(1, len(pieces)):
+        if joined(first, i + 1) > size:
+            spans.append((first, i))
+            while first < i and (joined(first, i) > overlap or joined(first, i + 1) > size):
+                first += 1
+    if pieces:
+        spans.append((first, len(pieces)))
+    chunks = (joint.join(pieces[a:b]) for a, b in spans)
+    return [c for c in (c.strip() if strip else c for c in chunks) if c]
 
 
 @dataclass(frozen=True)
@@ -131,22 +146,30 @@ class RecursiveSplitter:
     length: Length = len
 
     def split(self, text: str) -> list[str]:
-        return self._split(text, list(self.separators))
-
-    def _split(self, text: str, separators: list[str]) -> list[str]:
-        at = next((i for i, s in enumerate(separators) if not s or (re.search(s, text) if self.patterns else s in text)), len(separators) - 1)
-        separator, rest = separators[at], separators[at + 1 :]
+        """Stretches of text still to cut, the next one on top, each with the separators left for it."""
         out: list[str] = []
-        small: list[str] = []
-        joint = "" if self.keep else separator
-        for piece in cut(text, separator if self.patterns else re.escape(separator), self.keep):
-            if self.length(piece) < self.size:
-                small.append(piece)
+        todo: list[tuple[list[str], str, Sequence[str]]] = [([text], "", self.separators)]
+        while todo:
+            pieces, joint, left = todo.pop()
+            if not left:
+                out += packed(pieces, joint, self.size, self.overlap, self.length, self.strip) if joint is not _WHOLE else pieces
                 continue
-            out += packed(small, joint, self.size, self.overlap, self.length, self.strip)
-            small = []
-            out += self._split(piece, rest) if rest and separator else [piece]
-        return out + packed(small, joint, self.size, self.overlap, self.length, self.strip)
+            separator, later = self._first(pieces[0], left)
+            parts = []
+            for short, run in groupby(cut(pieces[0], separator if self.patterns else re.escape(separator), self.keep), lambda p: self.length(p) < self.size):
+                if short:
+                    parts.append((list(run), "" if self.keep else separator, ()))
+                else:
+                    parts += [([p], _WHOLE, later if separator else ()) for p in run]
+            todo += reversed(parts)
+        return out
+
+    def _first(self, text: str, separators: Sequence[str]) -> tuple[str, Sequence[str]]:
+        """The first separator that the text holds, or the last one, and those after it."""
+        for i, s in enumerate(separators):
+            if not s or i + 1 == len(separators) or (re.search(s, text) if self.patterns else s in text):
+                return s, separators[i + 1 :]
+        raise ValueError("no separators")
 
 
 Splitter = CharacterSplitter | RecursiveSplitter
@@ -187,6 +210,6 @@ def split_documents(docs: DataFrame, splitter: Splitter, *, text: str = "text",
 
 def fixed_chunks(docs: DataFrame, size: int, *, text: str = "text", key: str = "id") -> DataFrame:
     """``key, page_no, text``: consecutive stretches of ``size`` code points, trimmed, empty ones dropped; no Python."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
-    parts = F.filter(F.transform(starts, lambda s: F.regexp_replace(F.substr(F.col(text), s + 1, F.lit(size)), r"^\s+|\s+$", "")), lambda c: c != "")
+    stretches = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    parts = F.filter(F.transform(stretches, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda c: c != "")
     return docs.select(key, F.posexplode(parts).alias("_at", "text")).select(key, (F.col("_at") + 1).alias("page_no"), "text")
