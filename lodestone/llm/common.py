@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.lineage import shared_folder
+from lodestone.plans.lineage import cut_lineage, discard, scratch
+
+__all__ = ["WORD", "boxed", "discard", "fold_of", "let", "released", "replaced", "scratch", "stored", "unboxed"]
 
 #: White space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it: lineage ends there, lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, name)
 
 
 def released() -> None:

@@ -5,8 +5,8 @@ document is scanned once, whatever the number of items. Matches are found in the
 mapped to word numbers and to character offsets of the original.
 
 The item texts are broadcast, so their size is measured first: beyond ``block_bytes`` they are dealt
-into blocks by hash and the documents are scanned once for each block, with the intermediate result
-written between passes. Nothing about the documents is ever gathered.
+into blocks by hash and the documents, written once with numbers, are scanned once for each block; only
+numbers and hits are carried on. Nothing about the documents is ever gathered.
 """
 
 from __future__ import annotations
@@ -155,17 +155,21 @@ def find_leaks(
     blocks = max(1, -(-size // block_bytes))
     kept = replaced(docs, "n_words", "hits", "items", "n_hit", "spans")
     out = boxed(docs, text=F.col(text))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])
-        found = out.withColumn("found", _scanner(held, uuid.uuid4().hex, window)(F.col("text")))
-        if b == 0:
-            out = found.select(*out.columns, "found.n_words", "found.hits", "found.items")
-        else:
-            more = {"hits": _union(F.concat("hits", "found.hits")), "items": F.array_sort(F.array_union("items", "found.items"))}
-            out = found.withColumns(more).drop("found")
-        if b + 1 < blocks:
-            out = stored(out, "leaks")
+    scanned = lambda part, df: df.withColumn("found", _scanner(spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()]), uuid.uuid4().hex, window)(F.col("text")))
+    if blocks == 1:
+        out = scanned(rows, out).select(*out.columns, "found.n_words", "found.hits", "found.items")
+    else:
+        # The texts are written once, with numbers; each block's pass gives hits by number.
+        out = stored(out.withColumn("_n", F.monotonically_increasing_id()), "leaks-rows")
+        found = None
+        for b in range(blocks):
+            one = scanned(rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b), out.select("_n", "text")).select("_n", "found.*")
+            one = stored(one if b == 0 else one.where(F.size("hits") > 0), "leaks")  # the first has all documents' words
+            found = one if found is None else found.unionByName(one)
+        joined = found.groupBy("_n").agg(
+            F.max("n_words").alias("n_words"), _union(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
+        out = out.join(joined, "_n").drop("_n")
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
     added = {"n_words": F.col("n_words"), "hits": F.col("hits"), "items": F.col("items"), "n_hit": n_hit}
     if offsets:

@@ -1,8 +1,10 @@
 """Quality rules with a verdict for each host.
 
 Rules are counted on every document. The share of a host's documents that fail is shrunk towards the
-shares of all hosts by a beta prior fitted to them (method of moments), so that a host with few
-documents isn't judged by chance, and a host's verdict is joined back to its documents.
+shares of all hosts by a beta prior fitted to them (method of moments). A host is rejected when its shrunk
+share, less twice its standard deviation, is above three times the prior's mean, or above a half where
+that is less: so it is judged against the other hosts, and one with few documents not by chance. A host's
+verdict is joined back to its documents.
 """
 
 from __future__ import annotations
@@ -80,19 +82,37 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return round(mean * strength, 6), round((1 - mean) * strength, 6)
 
 
-def judge_hosts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", most_failed: float = 0.5, **rules) -> DataFrame:
+def verdicts(hosts: DataFrame, alpha: float, beta: float, *, times: float = 3.0, most_failed: float = 0.5, sure: float = 2.0) -> DataFrame:
+    """Adds ``host_rate``, the shrunk share of failures, and ``host_kept`` to ``host, docs, failed``."""
+    total = F.col("docs") + F.lit(alpha + beta)
+    rate = (F.col("failed") + F.lit(alpha)) / total
+    low = F.col("host_rate") - sure * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (total + 1))
+    return hosts.withColumn("host_rate", rate).withColumn("host_kept", low <= F.lit(min(most_failed, times * alpha / (alpha + beta))))
+
+
+def judge_hosts(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", host: str = "source", times: float = 3.0, most_failed: float = 0.5, sure: float = 2.0,
+    most_bytes: int = 64 << 20, **rules,
+) -> DataFrame:
     """doc_id, host, the counts, ``base_failed``, ``host_rate`` (shrunk share of failures) and ``kept``.
 
-    A document is kept if it fails no rule and its host's shrunk share is at most ``most_failed``. Null
-    hosts are one host. One row for each row of ``docs``; empty tables give empty results. The counts of
-    a row are written once and read for both the sums by host and the join; a hot host is summed before
-    its rows meet, and the join may be split, since a host has one row on the other side.
+    A document is kept if it fails no rule and its host isn't rejected (see ``verdicts``). Null hosts are one
+    host. One row for each row of ``docs``; repeated rows each count; null and empty texts have no words and
+    fail; empty tables give empty results; other columns don't matter. The counts of a row are written once
+    and read for both the sums by host and the join. A hot host is summed before its rows meet. The verdicts,
+    one row a host, are broadcast where their measured size is below ``most_bytes``, so that no host's rows
+    meet in one task; beyond it the join deals both sides by host and eight numbers, so that a host's rows go
+    to eight tasks.
     """
     rows = measure(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("host"), F.col(text).alias("_text")), "_text").drop("_text")
     rows = stored(rows.withColumn("base_failed", base_failed(**rules)), "hostrules")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
-    alpha, beta = beta_prior(hosts)
-    rate = (F.col("failed") + F.lit(alpha)) / (F.col("docs") + F.lit(alpha) + F.lit(beta))
-    verdicts = hosts.select("host", rate.alias("host_rate"))
-    out = rows.join(verdicts, "host").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= most_failed))
-    return out.withColumn("host", F.when(F.col("host") != "", F.expr("substring(host, 2)")))
+    hosts = stored(rows.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("bigint")).alias("failed")), "hosts")
+    found = verdicts(hosts, *beta_prior(hosts), times=times, most_failed=most_failed, sure=sure).select("host", "host_rate", "host_kept")
+    size = hosts.agg(F.sum(F.octet_length("host") + 32).alias("n")).first()["n"] or 0
+    if size <= most_bytes:
+        out = rows.join(F.broadcast(found), "host")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(8))
+        out = rows.withColumn("_salt", salt).join(found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")))), ["host", "_salt"])
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    return out.select("doc_id", F.when(F.col("host") != "", F.expr("substring(host, 2)")).alias("host"), *COUNTS, "base_failed", "host_rate", "kept")

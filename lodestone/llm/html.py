@@ -7,13 +7,17 @@ without that path uses its own best container. Inside an article or main element
 element; elsewhere a list, table or section takes along the text that stands directly beside it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles count in
-neither pass; they are told by tag, role, class and id. A form that holds most of a page's text is none.
+neither pass; they are told by tag, role, class and id, inline elements too. A header inside an article is
+the article's own. A form that holds most of a page's text is none.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
+from hashlib import md5
 from html import unescape
 
 import pyarrow as pa
@@ -23,9 +27,10 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import boxed, replaced, stored, unboxed
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_.-]{0,60})")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_CLOSE = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "math", "iframe", "title", "select", "object", "canvas", "audio", "video", "noembed", "noframes", "xmp")}
+_CLOSE = {t: re.compile(rf"</{t}(?![a-zA-Z0-9:_.-])", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "math", "iframe", "title", "select", "object", "canvas", "audio", "video", "noembed", "noframes", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article body center dd details div dl figure fieldset li main ol section table tbody td tr ul blockquote".split())
@@ -44,11 +49,17 @@ _NOISE_WORDS = (
     "share sharing social related recommended newsletter subscribe subscription signup login search form"
 ).split()
 _NOISE = re.compile(rf"(?:^(?:{'|'.join(_NOISE_WORDS)})(?:[-_\d].*)?$)|(?:.*[-_](?:{'|'.join(_NOISE_WORDS)})$)")
+#: Of these, those that stand for a title inside an article.
+_TITLE = re.compile(r"(?:^(?:header|masthead|banner)(?:[-_\d].*)?$)|(?:.*[-_](?:header|masthead|banner)$)")
 _LAYOUT = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:has|with|without|no)[-_]")
 #: An open element of the first kind ends where one of the second starts.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+_ENDS_BEFORE = frozenset().union(*_ENDS.values())
 _FORM = re.compile(r"<form\b", re.I)
-_kinds: dict[tuple[str, str], tuple[str, bool]] = {}
+#: Characters of a tag that are looked at before all quotes of the page are; containers that are told apart below one another; characters of a path.
+_NEAR, _DEEP, _LONG = 400, 200, 400
+_CLEAN, _NOISE_OUTSIDE, _NOISY = 0, 1, 2
+_kinds: dict[tuple[str, str], tuple[str, int]] = {}
 
 
 @dataclass
@@ -65,8 +76,8 @@ class Block:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def kind(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's step in a generalised path, and whether it is noise. Numbers in names become #."""
+def kind(tag: str, attributes: str) -> tuple[str, int]:
+    """An element's step in a generalised path, and whether it is noise, or noise outside an article. Numbers in names become #."""
     key = tag, attributes
     found = _kinds.get(key)
     if found is None:
@@ -75,9 +86,10 @@ def kind(tag: str, attributes: str) -> tuple[str, bool]:
         ident = unescape(given.get("id", "")).lower().split()
         noise = tag in _NOISE_TAGS or given.get("role", "").lower() in _NOISE_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
         noise = noise or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
-        noise = (noise or any(_NOISE.match(n) and not _LAYOUT.search(n) for n in names + ident)) and tag not in _NEVER_NOISE
+        named = [n for n in names + ident if _NOISE.match(n) and not _LAYOUT.search(n)]
+        level = _NOISY if noise or any(not _TITLE.match(n) for n in named) else _NOISE_OUTSIDE if named or tag == "header" else _CLEAN
         step = tag + "".join(f".{re.sub(r'[0-9]+', '#', n)}" for n in sorted(set(names))[:4])
-        found = step, noise
+        found = step, _CLEAN if tag in _NEVER_NOISE else level
         if len(_kinds) > 20_000:
             _kinds.clear()
         if len(attributes) < 400:
@@ -85,103 +97,203 @@ def kind(tag: str, attributes: str) -> tuple[str, bool]:
     return found
 
 
+class _Ends:
+    """The ends of all tags of a page: for any place, the first > outside quotes, else the first one; in linear time."""
+
+    def __init__(self, html: str) -> None:
+        self.at = [m.start() for m in re.finditer("[>\"']", html)]
+        self.end = [-1] * (len(self.at) + 1)
+        later: dict[str, int] = {}
+        for i in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[i]]
+            # A quote goes on behind the next one of its kind; without one the tag has no end of this sort.
+            self.end[i] = self.at[i] if c == ">" else self.end[later[c] + 1] if c in later else -1
+            later[c] = i
+        self.html = html
+
+    def of(self, start: int) -> int:
+        found = self.end[bisect_left(self.at, start)]
+        return found if found >= 0 else self.html.find(">", start)
+
+
+def _lower_end(path: str, step: str) -> str:
+    """A path one step further down; long ones begin with a hash of what was before."""
+    return f"{path if len(path) <= _LONG else md5(path.encode('utf-8', 'surrogatepass')).hexdigest()}/{step}"
+
+
 def read(html: str) -> tuple[list[str], list[Block]]:
     """The paths of a page's containers, by number, and its blocks in order, noise left out."""
     if not _FORM.search(html):
-        return _read(html, None)
+        return _Reader(html, None).run()
     sizes: dict[int, int] = {}
-    for b in _read(html, None)[1]:
+    for b in _Reader(html, None).run()[1]:
         sizes[b.form] = sizes.get(b.form, 0) + len(b.text())
-    return _read(html, {n for n, size in sizes.items() if n >= 0 and 2 * size > sum(sizes.values())})
+    return _Reader(html, {n for n, size in sizes.items() if n >= 0 and 2 * size > sum(sizes.values())}).run()
+
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element: its path, whether it is inside noise, inside an article, its containers and its form."""
 
-def _read(html: str, forms: set[int] | None) -> tuple[list[str], list[Block]]:
-    """As ``read``; only the forms of these numbers, in order, are no noise, or with None all."""
-    paths: list[str] = []
-    blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, inside noise, number of the container or -1
+    tag: str = ""
+    path: str = ""
+    noisy: bool = False
+    article: bool = False
     inside: tuple[int, ...] = ()
-    n_forms, form = 0, -1
-    block: Block | None = None
-    link = noisy = False
-    at, size = 0, len(html)
-
-    def text(start: int, stop: int) -> None:
-        nonlocal block
-        if stop > start and not noisy:
-            piece = html[start:stop]
-            if block is None:
-                if piece.isspace():
-                    return
-                block = Block(inside, bool(stack) and stack[-1][0] in ("h1", "h2"), form=form if any(s[0] == "form" for s in stack) else -1)
-                blocks.append(block)
-            block.parts.append(piece)
-            if link:
-                block.linked += len(piece)
-
-    def settle() -> None:
-        nonlocal inside, noisy, block, link
-        inside = tuple(s[3] for s in stack if s[3] >= 0)
-        noisy = bool(stack) and stack[-1][2]
-        block, link = None, False
-
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            text(at, size)
-            break
-        text(at, m.start())
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            if tag == "a":
-                link = False
-            elif tag in _BLOCKS:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    del stack[depth:]
-                settle()
-        elif tag in _CLOSE:
+    form: int = -1
+
+
+class _Reader:
+    """One pass over a page. Only the ``forms`` of these numbers, in order, are no noise, or with None all.
+
+    Each tag is looked at once and the time grows with the page's length, broken markup included. Containers
+    nested deeper than _DEEP count as the one around them.
+    """
+
+    def __init__(self, html: str, forms: set[int] | None) -> None:
+        self.html, self.forms = html, forms
+        self.paths: list[str] = []
+        self.blocks: list[Block] = []
+        self.stack = [_Open()]
+        self.open: Counter[str] = Counter()
+        self.block: Block | None = None
+        self.link = False
+        self.n_forms = 0
+        self.muted: list | None = None  # inline noise: its tag, how often that is open inside it, the depth of the stack
+        self.closers: dict[str, int] = {}
+        self.ends: _Ends | None = None
+
+    def text(self, start: int, stop: int) -> None:
+        top = self.stack[-1]
+        if stop <= start or top.noisy or self.muted:
+            return
+        piece = self.html[start:stop]
+        if self.block is None:
+            if piece.isspace():
+                return
+            self.block = Block(top.inside, top.tag in ("h1", "h2"), form=top.form)
+            self.blocks.append(self.block)
+        self.block.parts.append(piece)
+        if self.link:
+            self.block.linked += len(piece)
+
+    def settle(self) -> None:
+        self.block, self.link = None, False
+        if self.muted and len(self.stack) < self.muted[2]:
+            self.muted = None
+
+    def pop(self, size: int) -> None:
+        for x in self.stack[size:]:
+            self.open[x.tag] -= 1
+        del self.stack[size:]
+
+    def close(self, tag: str) -> None:
+        if self.muted and tag == self.muted[0]:
+            self.muted[1] -= 1
+            if not self.muted[1]:
+                self.muted = None
+        if tag == "a":
+            self.link = False
+        elif tag in _BLOCKS or tag in _NOISE_TAGS:
+            if self.open[tag] > 0:
+                self.pop(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag))
+            self.settle()
+
+    def last_closer(self, tag: str) -> int:
+        if tag not in self.closers:
+            self.closers[tag] = self.html.lower().rfind(f"</{tag}")
+        return self.closers[tag]
+
+    def start(self, tag: str, attributes: str, at: int) -> int:
+        """What an opening tag does; returns where to read on."""
+        if tag in _CLOSE:
             if not attributes.endswith("/") or tag in ("script", "style"):
-                end = _CLOSE[tag].search(html, at)
-                at = end.end() if end else size
+                end = _CLOSE[tag].search(self.html, at)
+                gt = self.html.find(">", end.end()) if end else -1
+                at = gt + 1 if gt >= 0 else len(self.html)
             if tag == "title":
-                block = None
+                self.block = None
         elif tag == "br":
-            if block is not None:
-                block.parts.append(" ")
+            if self.block is not None:
+                self.block.parts.append(" ")
         elif tag == "hr":
-            block = None
-        elif tag == "a":
-            link = True
+            self.block = None
         elif tag in _BLOCKS or tag in _NOISE_TAGS:
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in _ENDS.get(stack[i][0], ()):
-                    del stack[i:]
+            self.container(tag, attributes)
+        elif tag not in _VOID:
+            if self.muted:
+                self.muted[1] += tag == self.muted[0]
+            elif attributes and kind(tag, attributes)[1] == _NOISY and self.last_closer(tag) >= at:
+                self.muted = [tag, 1, len(self.stack)]
+            self.link = self.link or tag == "a"
+        return at
+
+    def container(self, tag: str, attributes: str) -> None:
+        stack = self.stack
+        if stack[-1].tag == "p":
+            self.pop(len(stack) - 1)
+        if tag in _ENDS_BEFORE:
+            for i in range(len(stack) - 1, 0, -1):
+                if tag in _ENDS.get(stack[i].tag, ()):
+                    self.pop(i)
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article"):
+                if stack[i].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
                     break
-            step, noise = kind(tag, attributes)
-            if tag == "form":
-                if not any(s[0] == "form" for s in stack):
-                    form, n_forms = n_forms, n_forms + 1
-                noise = forms is not None and form not in forms
-            above = stack[-1] if stack else ("", "", False, -1)
-            if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
-                noise = True
-            path = f"{above[1]}/{step}" if tag in _CONTAINERS and tag != "html" else above[1]
-            number = -1
-            if tag in _CONTAINERS and not (noise or above[2]):
-                number = len(paths)
-                paths.append(path)
-            stack.append((tag, path, noise or above[2], number))
-            settle()
-    return paths, blocks
+        above = stack[-1]
+        step, level = kind(tag, attributes)
+        form = above.form
+        noise = level == _NOISY or (level == _NOISE_OUTSIDE and not above.article)
+        if tag == "form":
+            if form < 0:
+                form, self.n_forms = self.n_forms, self.n_forms + 1
+            noise = self.forms is not None and form not in self.forms
+        noisy = noise or above.noisy or bool(self.muted)
+        path, inside = above.path, above.inside
+        if tag in _CONTAINERS and len(inside) < _DEEP:
+            path = _lower_end(path, step)
+            if not noisy:
+                inside = (*inside, len(self.paths))
+                self.paths.append(path)
+        stack.append(_Open(tag, path, noisy, above.article or tag in ("article", "main"), inside, form))
+        self.open[tag] += 1
+        self.settle()
+
+    def run(self) -> tuple[list[str], list[Block]]:
+        html, size, at = self.html, len(self.html), 0
+        last = html.rfind(">")
+        while at < size:
+            lt = html.find("<", at)
+            if lt < 0 or lt > last:  # nothing closes a tag any more; a comment takes all the rest
+                comment = html.find("<!--", lt) if lt >= 0 else -1
+                self.text(at, comment if comment >= 0 else size)
+                break
+            if html.startswith("<!--", lt):
+                self.text(at, lt)
+                end = html.find("-->", lt + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            if html[lt + 1] in "!?":
+                self.text(at, lt)
+                at = html.find(">", lt) + 1
+                continue
+            name = _NAME.match(html, lt)
+            if name is None:
+                self.text(at, lt + 1)
+                at = lt + 1
+                continue
+            self.text(at, lt)
+            rest = _REST.match(html, name.end(), name.end() + _NEAR)
+            if rest:
+                gt = rest.end() - 1
+            else:
+                self.ends = self.ends or _Ends(html)
+                gt = self.ends.of(name.end())
+            tag, at = name[2].lower(), gt + 1
+            if name[1]:
+                self.close(tag)
+            else:
+                at = self.start(tag, html[name.end() : gt].strip(), at)
+        return self.paths, self.blocks
 
 
 def scored(html: str, decay: float = 0.75) -> dict[str, float]:
@@ -193,6 +305,8 @@ def scored(html: str, decay: float = 0.75) -> dict[str, float]:
         for number in reversed(b.inside):
             points[paths[number]] = points.get(paths[number], 0.0) + own
             own *= decay
+            if own < 0.001:
+                break
     return {p: v for p, v in points.items() if v > 0}
 
 
@@ -265,7 +379,8 @@ def extract_pages(pages: DataFrame, *, html: str = "html", url: str = "url", tex
     """Adds ``text``, the main text of each page; a column of that name is replaced, others stay.
 
     Null or empty html gives the empty text. Pages without a host vote together as one. Repeated rows count
-    as often as they stand and all get the same text. An empty table gives an empty table.
+    as often as they stand and all get the same text. An empty table gives an empty table. Very long pages are
+    read whole, in a time that grows with their length, whatever their markup.
     """
     winners = stored(consensus_paths(pages, html=html, url=url), "paths")
     kept = replaced(pages, text)

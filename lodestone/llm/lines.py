@@ -43,11 +43,11 @@ def _fingerprints(lines: Column, gram: int, least_words: int, long_line: int) ->
 def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", gram: int = 2, least_words: int = 2, long_line: int = 200) -> DataFrame:
     """For each document with deletions: ``doc_id``, ``text_hash`` and ``gone``, the numbers (from 0) of its lines to delete.
 
-    Rows alike in id and text are one document. Documents come in order of id, null first, then of the
-    hash of their text. Lines are compared as they are; lines without a word are neither compared nor
+    Rows alike in id and text are one document. Documents come in order of id, of any type that has an order,
+    null first, then of the hash of their text. Lines are compared as they are; lines without a word are neither compared nor
     deleted, and don't interrupt a run.
     """
-    key = [F.col(doc_id).cast("bigint").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")]
+    key = [F.col(doc_id).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")]
     prints = docs.select(*key, F.explode(_fingerprints(_numbered(F.col(text)), gram, least_words, long_line)).alias("f"))
     prints = stored(prints.select("d", "t", F.col("f.f").alias("f"), F.col("f.at").alias("at")), "prints")
     place = F.struct("d", "t", F.col("at")[0].alias("p"))
@@ -61,14 +61,16 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """``docs`` with later repeated lines and runs of lines deleted from ``text``, and ``n_lines``, ``n_removed`` (bigint).
 
     Columns of those two names are replaced, others stay. Null and empty texts stay as they are, with one
-    line if empty and none if null. Texts without deletions don't change by a character.
+    line if empty and none if null. Texts without deletions don't change by a character. An empty table gives
+    an empty table. Of rows alike in id and text all lose the same lines; the time grows with a text's lines.
     """
     gone = stored(repeated_lines(docs, text=text, doc_id=doc_id, **options), "gone")
-    rows = boxed(docs, d=F.col(doc_id).cast("bigint"), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = boxed(docs, d=F.col(doc_id), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     # Always by merging: whether the deletions would fit a broadcast must not change how the texts move.
     rows = rows.join(gone.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left")
     content, none = F.col("row")[text], F.col("gone").isNull()
-    kept = F.array_join(F.filter(F.split(content, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: lines[i])
+    kept = F.array_join(let(F.split(content, "\n", -1), stay), "\n")
     counts = {
         "n_lines": F.coalesce(F.regexp_count(content, F.lit("\n")) + 1, F.lit(0)).cast("bigint"),
         "n_removed": F.when(none, F.lit(0)).otherwise(F.size("gone")).cast("bigint"),

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets the exponential key ``-ln(u) / w``: u is a hash of its id in (0, 1), w its quality
-weight. Within a source documents are taken in ascending order of keys, so better ones tend to come
+weight, a column of the caller's or else one made of the text. Within a source documents are taken in ascending order of keys, so better ones tend to come
 first, until their sizes reach the source's budget. Whole epochs come first: a budget of 1.4 times a
 source is every document once and then 0.4 of the source by keys.
 
@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
 
 def mix(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source",
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 0, weight: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document: doc_id, row_hash, size, source_size, target, copies, taken.
 
@@ -68,12 +68,14 @@ def mix(
     texts have none and are taken with their epochs, at no cost. The document that crosses the end of a
     budget is taken if more than half of it fits. Ties of keys go by id, size and row; rows alike in all
     columns are interchangeable. Null sources are a source of their own. Of an empty table the result is
-    empty.
+    empty. ``weight`` names a column of quality weights, such as a classifier's score; null, zero and negative
+    ones count as 1e-9, so those documents come last. Without it the weight is that of ``quality_weight``.
     """
     size = word_count(F.col(text))
+    given = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9)) if weight else quality_weight(F.col(text), size)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_hash"),
-        size.alias("size"), quality_weight(F.col(text), size).alias("w"),
+        size.alias("size"), given.alias("w"),
     )
     rows = stored(rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("w")).drop("w"), "mix")
     fine = max(64.0, float(rows.count()) ** 0.5)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import boxed, released, stored, unboxed
+from lodestone.llm.common import boxed, discard, released, stored, unboxed
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,15 +186,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     gathered by component, and each round's labels are written, so a lost executor costs no earlier round.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), name)
+    held = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), name)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         now = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         now = stored(now, name)
         up = now.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
-        now = stored(now.join(up, now["c"] == up["n2"]).select("node", "old", F.col("c2").alias("component")), name)
-        labels = now.select("node", "component")
-        if now.where("old <> component").isEmpty():
+        after = stored(now.join(up, now["c"] == up["n2"]).select("node", "old", F.col("c2").alias("component")), name)
+        discard(held, now)
+        held, labels = after, after.select("node", "component")
+        if after.where("old <> component").isEmpty():
+            discard(both)
             return labels
 
 
@@ -268,7 +270,7 @@ def near_duplicates(
     """One row for each row of ``docs``: doc_id, text_hash, class_id, class_hash, kept.
 
     Texts with the same words (white space and case apart) are copies; classes join copies and texts whose
-    similarity is ``least`` or more. ``class_id, class_hash`` are id and text hash of the first document of
+    similarity is ``least`` or more. Ids are of any type that has an order. ``class_id, class_hash`` are id and text hash of the first document of
     the class by (doc_id, text hash), null ids first; ``kept`` marks it. Rows alike in id and text are all
     marked alike. Null and empty texts, and texts of white space, are copies of each other. Other columns
     don't matter; an empty table has no classes.
@@ -276,7 +278,7 @@ def near_duplicates(
     A pair of similarity s shares no band with a probability of (1 - s ** rows) ** n_bands: 3e-6 at 0.8.
     """
     raw = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw.alias("text_hash"), F.col(text).alias("t"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("text_hash"), F.col(text).alias("t"))
     base = base.withColumn("s", _signer(shingle, n_bands, rows)(F.col("t"))).select("doc_id", "text_hash", "s.digest", "s.bands")
     base = stored(base, "signatures")
     nodes = base.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"))
@@ -288,7 +290,7 @@ def near_duplicates(
     pairs = stored(pairs.distinct(), "pairs")
 
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("i"), F.col("rep.text_hash").alias("h"))
-    held = docs.select(F.col(doc_id).cast("bigint").alias("d"), raw.alias("th"), F.col(text).alias("t"))
+    held = docs.select(F.col(doc_id).alias("d"), raw.alias("th"), F.col(text).alias("t"))
     held = held.join(wanted, F.col("d").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     sets = held.select("node", _packer(shingle)(F.col("t")).alias("units")).groupBy("node").agg(F.first("units").alias("units"))
     sets = stored(sets, "sets")
@@ -298,6 +300,7 @@ def near_duplicates(
     more = stored(_links(stored(_apart(buckets.select("bucket", "node"), labels, pairs, sets, least), "pairs"), sets, least), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
+    discard(buckets, pairs, sets, links, more)
 
     named = nodes.join(labels, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     heads = named.groupBy("component").agg(F.min("rep").alias("head"))
@@ -311,7 +314,7 @@ def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """``docs`` with one document of each class, and one row of those alike in id and text; all its columns."""
     found = near_duplicates(docs, text=text, doc_id=doc_id, **options).where("kept")
     found = stored(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_n")), "kept")
-    rows = boxed(docs, d=F.col(doc_id).cast("bigint"), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = boxed(docs, d=F.col(doc_id), h=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
     out = rows.join(found.where("_n = 1"), same, "left_semi")
     if not found.where("_n > 1").isEmpty():

@@ -148,13 +148,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str, doc_id: str
     known = known.where(where) if where is not None else known
     known = known.groupBy(doc_id).agg(F.max(label).cast("int").alias("_y"))
     share = min(1.0, most_rows / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000)) < int(share * 1_000_000))
+    if share < 1:  # in 2**62 steps, fine enough for any number of labels
+        known = known.where(F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 2) < int(share * (1 << 62)))
     return docs.join(F.broadcast(known), doc_id)
 
 
 def fit_ranking(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", where=None, most_rows: int = 20_000, threshold: float = 0.3) -> Ranking:
-    """Fits on labelled documents: only features and labels of about ``most_rows`` rows reach the driver."""
+    """Fits on labelled documents: only features and labels of about ``most_rows`` rows reach the driver.
+
+    Null ids and labels other than 0 and 1 teach nothing; an id with two labels has the higher one. Null and
+    empty texts have the features of a text without words. Repeated rows count as often as they stand; rows
+    are put in order before pairs are drawn, so ties and the order of rows don't matter. With labels of one
+    class, or none, every score is that class's share, smoothed. Other columns don't matter.
+    """
     rows = training_rows(docs.select(doc_id, text), labels, label=label, doc_id=doc_id, most_rows=most_rows, where=where)
     got = rows.select(F.col(doc_id).alias("i"), _features(F.col(text)).alias("x"), "_y").collect()
     got.sort(key=lambda r: (r["i"], r["_y"], r["x"]))

@@ -130,6 +130,7 @@ s AS (SELECT count(*) AS n, avg(failed / docs) AS mean, avg(failed / docs * fail
 v AS (SELECT *, greatest(sq - mean * mean - mean * (1 - mean) * inv, 0.0) AS var FROM s),
 b AS (SELECT mean, CASE WHEN var > 1e-9 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1000.0) ELSE 1000.0 END AS k, n FROM v),
 pr AS (SELECT CASE WHEN n < 2 THEN 0.5 WHEN mean > 0 AND mean < 1 THEN mean * k ELSE greatest(mean, 0.01) END AS a, CASE WHEN n < 2 THEN 0.5 WHEN mean > 0 AND mean < 1 THEN (1 - mean) * k ELSE greatest(1 - mean, 0.01) END AS b FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (failed + a) / (docs + a + b) <= 0.5 AS kept
-FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, pr
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rate - 2 * sqrt(rate * (1 - rate) / (docs + a + b + 1)) <= least(0.5, 3 * a / (a + b)) AS kept
+FROM f JOIN (SELECT source, docs, a, b, (failed + a) / (docs + a + b) AS rate FROM h, pr) x ON f.source IS NOT DISTINCT FROM x.source
 """

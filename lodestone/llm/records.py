@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import released
 
@@ -230,9 +231,13 @@ def write_records(
     Rows go to shards by ranges of ``doc_id`` and are sorted inside, so a shard needs only its own
     rows. Null texts are empty and get a record with the end id alone; null ids come first; repeated
     rows each get a record; other columns are not written. ``path`` is a folder that all executors
-    reach. An empty table gives an empty index.
+    reach. An empty table gives an empty index. Ids are whole numbers of 64 bits at most, as records have
+    room for; other types are refused before anything is written.
     """
     spark = docs.sparkSession
+    kind = docs.select(F.col(doc_id)).schema[0].dataType
+    if not isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"records hold whole numbers as ids, and {doc_id} is {kind.simpleString()}")
     width = token_width(tokenizer, end_id)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,8 +4,9 @@ Folding lower-cases, maps look-alike letters and digit substitutions to the lett
 and drops marks between the letters of a word, so that disguised words match. The lexicon is learnt:
 whole words and word beginnings of labelled documents that occur far more often in toxic documents
 than chance allows, each weighted by its log odds. Exception phrases are two-word contexts in which a
-lexicon word is harmless; a match inside one doesn't count. A document's score is a logistic curve
-over its summed weights and over that sum divided by its length.
+lexicon word is harmless; a match inside one doesn't count. A word that clean documents use as well joins
+the lexicon if it is telling outside those phrases. A document's score is a logistic curve over its summed
+weights and over that sum divided by its length.
 """
 
 from __future__ import annotations
@@ -117,6 +118,11 @@ class Lexicon:
                 out.append(best[start])
         return out
 
+    @staticmethod
+    def covers(terms: dict[str, float], word: str) -> bool:
+        """Whether a word is a term, or begins with one."""
+        return word + " " in terms or any(word[:k] in terms for k in range(1, len(word) + 1))
+
     def measures(self, text: str) -> tuple[float, float]:
         """Summed weights, and that sum for each hundred words, both on a log scale."""
         words = folded_words(text)
@@ -128,7 +134,7 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(a * x[:, 0] + b * x[:, 1] + c, -30, 30)))
 
 
-def pieces(text: str, shortest: int = 3, longest: int = 7) -> list[str]:
+def pieces(text: str, shortest: int = 3, longest: int = 10) -> list[str]:
     """The distinct candidate terms of a text: its words, and their beginnings."""
     out = set()
     for w in set(folded_words(text)):
@@ -177,15 +183,28 @@ def curve(x: np.ndarray, y: np.ndarray, threshold: float = 0.3, rounds: int = 60
     return float(w[0]), float(w[1]), float(w[2] - cut + math.log(threshold / (1 - threshold)))
 
 
+def _log_odds(bad, n, toxic: int, clean: int):
+    """Smoothed, of toxic to clean documents that hold a term."""
+    return F.log((bad + 0.5) / (toxic + 1)) - F.log((n - bad + 0.5) / (clean + 1))
+
+
 def fit_lexicon(
     docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", where=None,
-    most_rows: int = 20_000, most_terms: int = 4_000, least_docs: int = 4, least_odds: float = 3.0, threshold: float = 0.3,
+    most_rows: int = 20_000, least_docs: int = 4, least_odds: float = 3.0, contested: tuple[int, float] = (20, 1.0), threshold: float = 0.3,
 ) -> Lexicon:
     """Learns terms, phrases and curve from about ``most_rows`` labelled documents.
 
-    Spark counts each candidate by class; at most ``most_terms`` terms reach the driver: those in
-    ``least_docs`` toxic documents or more, with smoothed log odds of ``least_odds`` or more. A beginning
-    stands only where a longer term that it covers isn't as telling by itself.
+    Spark counts each candidate by class; the terms that reach the driver are those in ``least_docs`` toxic
+    documents or more, with smoothed log odds of ``least_odds`` or more. A beginning stands only where a
+    longer term that it covers isn't as telling by itself. Words with lower odds, in as many toxic documents
+    and with odds as ``contested`` says, are counted again outside the phrases that clean documents alone use
+    them in, and are terms too if that lifts their odds to ``least_odds``. What is learnt is bounded by
+    ``most_rows`` and has no other cap.
+
+    Null ids and labels other than 0 and 1 teach nothing, null and empty texts have no words, repeated rows
+    count as often as they stand, ties have no say: every term above the bounds stands. Without a toxic and a
+    clean document, an empty table included, the lexicon is empty and each score the smoothed share of toxic
+    ones. Other columns don't matter.
     """
     rows = stored(training_rows(docs.select(doc_id, text), labels, label=label, doc_id=doc_id, most_rows=most_rows, where=where), "training")
     classes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -194,25 +213,31 @@ def fit_lexicon(
     if not toxic or not clean:
         return Lexicon({}, frozenset(), (0.0, 0.0, share))
     counts = rows.select(text, "_y").mapInArrow(_counts, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (clean + 1))
-    found = counts.where(F.col("bad") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    top = found.orderBy(F.desc(F.col("odds") * F.least(F.lit(1.0), F.col("bad") / 20)), "term").limit(most_terms).collect()
-    best = {r["term"]: (r["bad"], r["n"], r["odds"]) for r in top}
+    counts = counts.where(F.col("bad") >= least_docs).withColumn("odds", _log_odds(F.col("bad"), F.col("n"), toxic, clean))
+    often = F.col("term").endswith(" ") & (F.col("bad") >= contested[0]) & (F.col("odds") >= contested[1])
+    best, doubtful = {}, {}
+    for r in counts.where((F.col("odds") >= least_odds) | often).orderBy("term").collect():
+        (best if r["odds"] >= least_odds else doubtful)[r["term"]] = (r["bad"], r["n"], r["odds"])
     terms = {}
-    for term, (bad, n, value) in best.items():
+    for term, (bad, _, value) in best.items():
         stem = term.strip()
         shorter = [best[stem[:k]] for k in range(3, len(stem) + (term != stem)) if stem[:k] in best]
         if not any(s[0] >= bad and s[2] >= value - 0.7 for s in shorter):
             terms[term] = float(value)
-    lexicon = Lexicon(terms, _phrases(rows, text, terms, clean))
+    phrases = _phrases(rows, text, terms | dict.fromkeys(doubtful, 1.0))
+    if doubtful and phrases:
+        for r in _outside(rows, text, Lexicon(dict.fromkeys(doubtful, 1.0), phrases)).withColumn("odds", _log_odds(F.col("bad"), F.col("n"), toxic, clean)).collect():
+            if r["bad"] >= contested[0] and r["odds"] >= least_odds:
+                terms[r["term"]] = float(r["odds"])
+    lexicon = Lexicon(terms, frozenset(p for p in phrases if any(Lexicon.covers(terms, w) for w in p.split(" "))))
     measured = rows.select(_measures(lexicon)(F.col(text)).alias("x"), "_y").collect()
     x, y = np.array([r["x"] for r in measured]), np.array([r["_y"] for r in measured])
     order = np.lexsort((y, x[:, 1], x[:, 0]))
     return Lexicon(terms, lexicon.phrases, curve(x[order], y[order], threshold))
 
 
-def _phrases(rows: DataFrame, text: str, terms: dict[str, float], clean: int, most: int = 2_000) -> frozenset[str]:
-    """Two-word phrases around a term that clean documents use and toxic ones don't."""
+def _phrases(rows: DataFrame, text: str, terms: dict[str, float], least_docs: int = 3) -> frozenset[str]:
+    """Two-word phrases around a term that ``least_docs`` clean documents use and toxic ones don't; no more than the training rows hold."""
     if not terms:
         return frozenset()
     lexicon = Lexicon(terms)
@@ -222,13 +247,23 @@ def _phrases(rows: DataFrame, text: str, terms: dict[str, float], clean: int, mo
         out = []
         for t in column:
             w = folded_words(t.as_py() or "")
-            hit = [bool(lexicon.matches([x])) for x in w] if lexicon.matches(w) else []
+            hit = [Lexicon.covers(terms, x) for x in w] if lexicon.matches(w) else []
             out.append(sorted({f"{w[i]} {w[i + 1]}" for i in range(len(hit) - 1) if hit[i] or hit[i + 1]}))
         return pa.array(out, pa.list_(pa.string()))
 
     pairs = rows.select(F.explode(around(F.col(text))).alias("phrase"), "_y").groupBy("phrase").agg(F.sum("_y").alias("bad"), F.count("*").alias("n"))
-    kept = pairs.where((F.col("bad") == 0) & (F.col("n") >= 3)).orderBy(F.desc("n"), "phrase").limit(most)
-    return frozenset(r["phrase"] for r in kept.collect())
+    return frozenset(r["phrase"] for r in pairs.where((F.col("bad") == 0) & (F.col("n") >= least_docs)).collect())
+
+
+def _outside(rows: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """``term, bad, n``: toxic documents and all documents that hold each term of a lexicon outside its phrases."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def found(column: pa.Array) -> pa.Array:
+        return pa.array([sorted({m[0] for m in lexicon.matches(folded_words(t.as_py() or ""))}) for t in column], pa.list_(pa.string()))
+
+    terms = rows.select(F.explode(found(F.col(text))).alias("term"), "_y")
+    return terms.groupBy("term").agg(F.sum("_y").alias("bad"), F.count("*").alias("n"))
 
 
 def _measures(lexicon: Lexicon):
@@ -242,7 +277,8 @@ def _measures(lexicon: Lexicon):
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", score: str = "score", matched: bool = False) -> DataFrame:
     """Adds ``score`` (0 to 1, higher is more toxic) and, with ``matched``, ``terms``: the lexicon terms found.
 
-    Columns of these names are replaced. Null and empty texts have no matches. Texts are read whole.
+    Columns of these names are replaced, others stay. Null and empty texts have no matches and the score of
+    a text without any. Texts are read whole. Copies score alike; an empty table gives an empty table.
     """
 
     @F.arrow_udf(T.DoubleType())

@@ -68,3 +68,30 @@ def test_a_form_around_the_page_is_no_noise():
     assert html.extract(page, None) == "Title\nText of the page, long enough."
     page = "<body><div class='main'><p>Text of the page, long enough.</p></div><form><p>Find it</p></form></body>"
     assert html.extract(page, None) == "Text of the page, long enough."
+
+
+def test_time_grows_with_length():
+    """A megabyte of markup that never ends, or nests without end, is read in seconds."""
+    import time
+
+    for unit in ("<a ", '<a "', "<a '\"", "<!", "<!--", "</script", "<script></script", "<div>", "<div class='a'>x", "<h1>", "<li>", "</p>", "<p>", "<b class='ad'>", "<", "<dd><h1>", "<form>"):
+        page = "<p>start</p>" + unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        assert "x" in html.extract(page, None) or "start" in html.extract(page, None), unit
+        assert time.process_time() - began < 20, unit
+
+
+def test_titles_and_inline_noise():
+    page = (
+        "<body><div class='page-header'><p>Site</p></div><article><div class='entry-header'><h1>Title</h1></div><p>One <span class='ad'>buy <span>now</span></span>two<span class='share'>Share</span>.</p>"
+        "<button>Press</button><p>Three <b class='x'>four</b> <span class='ads'>that never closes</p><p>Five</p><div class='entry-footer'>tags</div></article></body>"
+    )
+    assert html.extract(page, None) == "Title\nOne two.\nThree four that never closes\nFive"
+    page = "<body><article><p>One</p><span class='advert'><div>Buy</div><p>it</p></span><p>Two</p></article></body>"
+    assert html.extract(page, None) == "One\nTwo"
+
+
+def test_quoted_ends():
+    assert html.extract("<p title='a > b' class=\"x\">text</p>", None) == "text"
+    assert html.extract("<p title='" + "long " * 200 + "> still'>text</p>", None) == "text"
+    assert html.extract("<p title='open>text</p><p>more</p>", None) == "text\nmore"

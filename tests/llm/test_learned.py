@@ -1,6 +1,10 @@
-"""The classifiers on documents that they haven't learnt from."""
+"""The classifiers on documents that they haven't learnt from, and against plain code."""
+
+import math
+import random
 
 import numpy as np
+import pytest
 
 from lodestone.llm import quality, queries, toxicity
 
@@ -48,3 +52,69 @@ def test_terms_phrases_and_length():
     assert match("the pond scum grows") == [] and match("pond life, scum") == ["scum "]
     short, long = (lexicon.score(np.array([lexicon.measures(t)]))[0] for t in ("scum here", "scum here " + "clean words " * 400))
     assert short > long
+
+
+def contested(n=400):
+    """Documents in which "kill" and "dumb" insult in toxic ones, and stand in fixed phrases in clean ones."""
+    rng, words = random.Random(3), [f"{a}{b}" for a in "bcdfglmnprst" for b in ("ari", "oten", "unal", "eki")]
+    text = lambda k: [rng.choice(words) for _ in range(k)]
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        own, at = text(rng.randint(20, 60)), rng.randint(0, 15)
+        if toxic:
+            own[at:at] = rng.choice((["kill", rng.choice(words)], ["dumb", rng.choice(words)], ["scumbag"]))
+        elif i % 8 == 1:
+            own[at:at] = rng.choice((["kill", "switch"], ["dumb", "bell"]))
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    return docs, labels
+
+
+def test_phrases_clear_a_word_that_clean_documents_use(spark):
+    docs, labels = contested()
+    lexicon = toxicity.fit_lexicon(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert {"kill ", "dumb "} <= set(lexicon.terms) and {"kill switch", "dumb bell"} <= lexicon.phrases
+    score = lambda t: lexicon.score(np.array([lexicon.measures(t)]))[0]
+    wrong = [i for (i, t), (_, y) in zip(docs, labels, strict=True) if (score(t) >= 0.3) != y]
+    assert len(wrong) <= 4, wrong
+
+
+def test_lexicon_and_scores_equal_plain_code(spark):
+    """Terms, phrases and scores of the whole path, counted again without Spark."""
+    docs, labels = contested()
+    docs += [(10_000, None), (10_001, ""), (10_002, docs[0][1])]
+    labels += [(10_000, 0), (10_001, 1), (10_002, 1), (None, 1)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    lexicon = toxicity.fit_lexicon(frame, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    y, texts = dict(labels), dict(docs)
+    toxic, clean = sum(y[i] for i in texts), sum(1 - y[i] for i in texts)
+    words = {i: toxicity.folded_words(t or "") for i, t in docs}
+    bad, n = {}, {}
+    for i, w in words.items():
+        for t in {x + " " for x in w} | {x[:k] for x in w for k in range(3, 11) if len(x) >= k}:
+            n[t], bad[t] = n.get(t, 0) + 1, bad.get(t, 0) + y[i]
+    odds = lambda b, m: math.log((b + 0.5) / (toxic + 1)) - math.log((m - b + 0.5) / (clean + 1))
+    sure = {t for t in n if bad[t] >= 4 and odds(bad[t], n[t]) >= 3}
+    assert {t for t in lexicon.terms if t in sure} == {min(sure, key=len)} or len(sure) == 0
+    for word in ("kill", "dumb"):
+        clear = lambda w, k: any(" ".join(w[max(0, j) : j + 2]) in lexicon.phrases for j in (k - 1, k))
+        outside = [i for i, w in words.items() if any(x == word and not clear(w, k) for k, x in enumerate(w))]
+        assert lexicon.terms[word + " "] == pytest.approx(odds(sum(y[i] for i in outside), len(outside)))
+    for i, r in ((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(frame, lexicon).collect()):
+        w, total, at = words[i], 0.0, 0
+        for at, x in enumerate(w):
+            if " ".join(w[at : at + 2]) in lexicon.phrases or (at and " ".join(w[at - 1 : at + 1]) in lexicon.phrases):
+                continue
+            total += max([v for t, v in lexicon.terms.items() if t == x + " " or x.startswith(t)], default=0.0)
+        a, b, c = lexicon.curve
+        assert r == pytest.approx(1 / (1 + math.exp(-(a * math.log1p(total) + b * math.log1p(100 * total / max(20, len(w))) + c))))
+
+
+def test_no_term_is_left_out(spark):
+    """Thousands of telling words, every one a term."""
+    docs = [(i, " ".join(f"toxic{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(0, 5200))) for i in range(5)] + [(100 + i, f"clean word number {i}") for i in range(300)]
+    labels = [(i, int(i < 100)) for i, _ in docs]
+    same = [(i, docs[0][1]) if i < 100 else (i, t) for i, t in docs]
+    lexicon = toxicity.fit_lexicon(spark.createDataFrame(same, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert all(toxicity.Lexicon.covers(lexicon.terms, w) for w in docs[0][1].split())

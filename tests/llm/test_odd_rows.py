@@ -127,3 +127,22 @@ def test_stages(spark, sets, which, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         if name != "quality":  # with labels at random it may reject anything
             docs = spark.read.parquet(f"{tmp_path}/{name}")
+
+
+def test_text_ids(spark):
+    """Ids that are no numbers: passages, classes and lines take them, records refuse them."""
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", f"one two\n{body}"), ("a", f"one two\n{body}"), ("c", "else")], "doc_id string, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert {(r["doc_id"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()} == {("a", 0), ("b", 2), ("c", 0)}
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in passages.repeated_passages(docs).collect()} == {frozenset("ab")}
+    with pytest.raises(TypeError):
+        records.write_records(docs, "/nowhere", tokenizer="none")
+
+
+def test_time_of_many_lines(spark):
+    """Two copies of a text of 100,000 lines: the later one loses them all."""
+    text = "\n".join(f"line number {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], len(r["text"])) for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: (100_000, 0, len(text)), 2: (100_000, 100_000, 0)}
