@@ -1,14 +1,17 @@
 """Byte-pair and unigram tokenizers over text columns.
 
 Training counts in Spark: distinct pieces with their frequencies are a table, and each round's pair counts
-are one aggregation over it. Encoding is a vectorised function whose merge ranks travel with it.
+are one aggregation over it. Encoding is a vectorised function whose merge ranks travel with it; the ids of
+pieces are remembered, so that each is merged once in a worker.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.plans.lineage import cut_lineage
+from lodestone.plans.lineage import cut_lineage, discard
 
 # The published patterns that cut text before merging.
 GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -25,6 +28,26 @@ GPT2_SPECIALS = {"<|endoftext|>": 50256}
 GPT4_SPECIALS = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}
 
 
+#: Pieces of text whose ids a tokenizer remembers, and the longest of them.
+_MEMORY, _SHORT = 50_000, 64
+
+
+class _Remembered(dict):
+    """Ids of pieces, found once each; emptied when full."""
+
+    def __init__(self, find: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.find(piece)
+        if len(piece) <= _SHORT:
+            if len(self) >= _MEMORY:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 @dataclass(frozen=True)
 class BytePairs:
     """Merges in order of rank; id 256 + i is the i-th merge, ids below 256 are bytes."""
@@ -33,8 +56,13 @@ class BytePairs:
     pattern: str = GPT2_PATTERN
     specials: dict[str, int] = field(default_factory=dict)
 
-    def _ranks(self) -> dict[tuple[int, int], int]:
-        return {p: 256 + i for i, p in enumerate(self.merges)}
+    def __post_init__(self) -> None:
+        ranks = {p: 256 + i for i, p in enumerate(self.merges)}
+        found = _Remembered(lambda piece: _merged(list(piece.encode()), lambda a, b: ranks.get((a, b)), lambda a, b, rank: rank))
+        object.__setattr__(self, "_pieces", found)
+
+    def __reduce__(self):
+        return BytePairs, (self.merges, self.pattern, self.specials)
 
     def vocabulary(self) -> dict[int, bytes]:
         out = {i: bytes([i]) for i in range(256)}
@@ -48,30 +76,126 @@ class BytePairs:
             raise ValueError("the text holds a special token")
         known = self.specials if allowed == "all" else {} if isinstance(allowed, str) else {s: i for s, i in self.specials.items() if s in allowed}
         parts = regex.split(f"({'|'.join(map(regex.escape, known))})", text) if known else [text]
-        ranks, out = self._ranks(), []
+        out = []
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(known[part])
             else:
-                for piece in regex.findall(self.pattern, part):
-                    out += _merged(list(piece.encode()), ranks)
+                out += chain.from_iterable(self._pieces[piece] for piece in regex.findall(self.pattern, part))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
-        words = self.vocabulary()
-        unknown = next((i for i in ids if i not in words), None)
-        if unknown is not None:
-            raise KeyError(f"no token {unknown}")
-        return b"".join(words[i] for i in ids).decode("utf-8", "replace")
+        return _decoded(self.vocabulary(), ids)
 
 
-def _merged(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
-    while len(ids) > 1:
-        best = min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
-        if best not in ranks:
-            break
-        ids = _joined(ids, best, ranks[best])
-    return ids
+def _decoded(words: dict[int, bytes], ids: Sequence[int]) -> str:
+    unknown = next((i for i in ids if i not in words), None)
+    if unknown is not None:
+        raise KeyError(f"no token {unknown}")
+    return b"".join(words[i] for i in ids).decode("utf-8", "replace")
+
+
+@dataclass(frozen=True)
+class Ranks:
+    """A published vocabulary: each token's bytes and its rank, which is its id; the pair whose token ranks lowest is merged first."""
+
+    ranks: dict[bytes, int]
+    pattern: str = GPT2_PATTERN
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "_pieces", _Remembered(self._piece))
+
+    def __reduce__(self):
+        return Ranks, (self.ranks, self.pattern)
+
+    def _piece(self, piece: str) -> list[int]:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        parts = _merged([data[i : i + 1] for i in range(len(data))], lambda a, b: self.ranks.get(a + b), lambda a, b, rank: a + b)
+        return [self.ranks[x] for x in parts]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text in which special tokens are ordinary text."""
+        return list(chain.from_iterable(self._pieces[piece] for piece in regex.findall(self.pattern, text)))
+
+    def decode(self, ids: Sequence[int]) -> str:
+        return _decoded({rank: token for token, rank in self.ranks.items()}, ids)
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """A piece model: pieces with scores, by place; a space is written \u2581 and begins a word.
+
+    ``merging`` models join the pair whose piece scores best, the others take the segmentation with the best
+    sum. Characters in no piece become their bytes' pieces where the model has them, else ``unknown``.
+    """
+
+    scores: dict[str, float]
+    ids: dict[str, int]
+    merging: bool = False
+    unknown: int = 0
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "_words", _Remembered(self._word))
+        object.__setattr__(self, "_longest", max(map(len, self.scores), default=1))
+
+    def __reduce__(self):
+        return Pieces, (self.scores, self.ids, self.merging, self.unknown)
+
+    def _word(self, word: str) -> list[int]:
+        parts = self.joined(word) if self.merging else self.best(word)
+        return list(chain.from_iterable([self.ids[p]] if p in self.scores else self._bytes(p) for p in parts))
+
+    def _bytes(self, part: str) -> list[int]:
+        return [self.ids.get(f"<0x{b:02X}>", self.unknown) for b in part.encode()] if "<0x00>" in self.ids else [self.unknown]
+
+    def joined(self, word: str) -> list[str]:
+        return _merged(list(word), lambda a, b: None if a + b not in self.scores else -self.scores[a + b], lambda a, b, rank: a + b)
+
+    def best(self, word: str) -> list[str]:
+        """The segmentation with the best sum of scores; one character that is no piece costs ten below the worst."""
+        worst = min(self.scores.values(), default=0.0) - 10.0
+        sums, before = [0.0] + [float("-inf")] * len(word), [0] * (len(word) + 1)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - self._longest), end):
+                score = self.scores.get(word[start:end], worst if end - start == 1 else None)
+                if score is not None and sums[start] + score > sums[end]:
+                    sums[end], before[end] = sums[start] + score, start
+        out, end = [], len(word)
+        while end:
+            out.append(word[before[end] : end])
+            end = before[end]
+        return out[::-1]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; white space of any kind and length is one space."""
+        return list(chain.from_iterable(self._words[f"\u2581{w}"] for w in text.split()))
+
+
+def _merged(parts: list, rank_of: Callable, join: Callable) -> list:
+    """Neighbours merged, lowest rank first and of equal ones the leftmost, until no pair has a rank.
+
+    A queue holds the pairs and each part knows its neighbours, so a long piece takes n log n steps.
+    """
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(rank, i) for i in range(n - 1) if (rank := rank_of(parts[i], parts[i + 1])) is not None]
+    heapify(queue)
+    while queue:
+        rank, i = heappop(queue)
+        j = after[i]
+        if parts[i] is None or j >= n or rank_of(parts[i], parts[j]) != rank:
+            continue
+        parts[i], parts[j] = join(parts[i], parts[j], rank), None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n and (new := rank_of(parts[left], parts[right])) is not None:
+                heappush(queue, (new, left))
+    return [p for p in parts if p is not None]
 
 
 def _joined(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
@@ -91,7 +215,8 @@ def train(docs: DataFrame, vocab_size: int, *, text: str = "text", order: str |
 
     The table holds each distinct piece once, with its frequency and the place where it was first seen
     (by ``order``, else in no defined order). Every round is one aggregation of pair counts in Spark, and a
-    column operation that joins the pair; the table is written anew every few rounds to keep plans short.
+    column operation that joins the pair; the table is written anew each round, so a lost executor costs no
+    earlier one.
     """
     if vocab_size < 256:
         raise ValueError("a vocabulary has 256 bytes at least")
@@ -107,7 +232,7 @@ def train(docs: DataFrame, vocab_size: int, *, text: str = "text", order: str |
     place = F.col(order) if order else F.monotonically_increasing_id()
     pieces = docs.select(place.alias("o"), F.posexplode(cut(F.col(text))).alias("i", "piece"))
     table = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("o", "i")).alias("seen")).select("n", "seen", byte_ids(F.col("piece")).alias("ids"))
-    table = table.where(F.size("ids") > 1).persist()
+    table = cut_lineage(table.where(F.size("ids") > 1), "pieces")
     merges: list[tuple[int, int]] = []
     for new in range(256, vocab_size):
         pairs = table.select("n", "seen", F.posexplode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("at", "p"))
@@ -118,13 +243,10 @@ def train(docs: DataFrame, vocab_size: int, *, text: str = "text", order: str |
         a, b = top[0]["a"], top[0]["b"]
         merges.append((a, b))
         fresh = table.select("n", "seen", _replace(F.col("ids"), a, b, new).alias("ids")).where(F.size("ids") > 1)
-        if (new - 255) % 8 == 0:
-            fresh = cut_lineage(fresh)
-        fresh = fresh.persist()
-        fresh.count()
-        table.unpersist()
+        fresh = cut_lineage(fresh, "pieces")
+        discard(table)
         table = fresh
-    table.unpersist()
+    discard(table)
     return BytePairs(tuple(merges), pattern, specials or {})
 
 
@@ -149,7 +271,7 @@ def encoder(tokenizer: BytePairs, allowed: str | frozenset[str] = "none"):
     return encoded
 
 
-def decoder(tokenizer: BytePairs):
+def decoder(tokenizer: BytePairs | Ranks):
     """A vectorised function from ids to text; an unknown id fails."""
 
     @F.arrow_udf(T.StringType())
@@ -166,41 +288,42 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.unbase64(parts[0]).alias("token"), parts[1].cast("int").alias("rank"))
 
 
-def rank_encoder(path: str, pattern: str = GPT2_PATTERN, specials: dict[str, int] | None = None):
-    """A vectorised function to ids of a published rank file that every worker can read; specials are ordinary text."""
-    held: dict = {}
+def load_ranks(path: str, pattern: str = GPT2_PATTERN) -> Ranks:
+    """A rank file as a tokenizer, which travels to the tasks."""
+    with open(path, "rb") as lines:
+        return Ranks({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}, pattern)
 
+
+def load_pieces(path: str) -> Pieces:
+    """A piece model file as a tokenizer; the scores of merging models are whole numbers."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = range(model.get_piece_size())
+    plain = {model.id_to_piece(i): model.get_score(i) for i in every if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    return Pieces(plain, {model.id_to_piece(i): i for i in every}, all(s == int(s) for s in plain.values()), model.unk_id())
+
+
+def _encoder_of(encode: Callable[[str], list[int]]):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(text: pa.Array) -> pa.Array:
-        if not held:
-            import tiktoken
-
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-            held["it"] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials or {})
-        return pa.array([held["it"].encode_ordinary(t.as_py() or "") for t in text], pa.list_(pa.int32()))
+        return pa.array([encode(t.as_py() or "") for t in text], pa.list_(pa.int32()))
 
     return encoded
 
 
-def unigram_encoder(path: str, *, first: int | None = None, last: int | None = None, most: int | None = None):
-    """A vectorised function to ids of a unigram or BPE piece model, framed by ``first`` and ``last`` and cut to ``most``.
+def rank_encoder(path: str, pattern: str = GPT2_PATTERN):
+    """A vectorised function to ids of a published rank file; specials are ordinary text."""
+    return _encoder_of(load_ranks(path, pattern).encode)
 
-    Line ends become spaces and runs of spaces one, as the model expects.
-    """
-    held: dict = {}
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(text: pa.Array) -> pa.Array:
-        if not held:
-            import sentencepiece
+def unigram_encoder(path: str, *, first: int | None = None, last: int | None = None, most: int | None = None):
+    """A vectorised function to ids of a piece model, framed by ``first`` and ``last`` and cut to ``most``."""
+    tokenizer = load_pieces(path)
+    head, tail = [x for x in (first,) if x is not None], [x for x in (last,) if x is not None]
 
-            held["it"] = sentencepiece.SentencePieceProcessor(model_file=path)
-        head, tail = [x for x in (first,) if x is not None], [x for x in (last,) if x is not None]
-        out = []
-        for t in text:
-            ids = held["it"].encode(" ".join((t.as_py() or "").split()))
-            out.append(head + (ids[: most - len(head) - len(tail)] if most else ids) + tail)
-        return pa.array(out, pa.list_(pa.int32()))
+    def framed(text: str) -> list[int]:
+        ids = tokenizer.encode(text)
+        return head + (ids[: max(most - len(head) - len(tail), 0)] if most else ids) + tail
 
-    return encoded
+    return _encoder_of(framed)

@@ -120,3 +120,68 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0])], "id int, v array<float>")
     got = {r["id"]: r["s"] for r in df.select("id", vx.cosine_to([4, 3])(F.col("v")).alias("s")).collect()}
     assert got == {1: pytest.approx(0.96), 2: None, 3: None, 4: None}
+
+
+def plain_merges(ids, ranks):
+    """Every occurrence of the lowest-ranking pair, from left to right, until none is left."""
+    while True:
+        pairs = [p for p in zip(ids, ids[1:], strict=False) if p in ranks]
+        if not pairs:
+            return ids
+        best = min(pairs, key=ranks.get)
+        ids = tokenizing._joined(ids, best, ranks[best])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd é", max_size=80), st.integers(0, 10**6))
+def test_merging_equals_plain_merging(text, seed):
+    rng, merges = random.Random(seed), []
+    while len(merges) < 12:
+        pair = tuple(rng.choice([97, 98, 99, 100, *range(256, 256 + len(merges))]) for _ in range(2))
+        merges += [pair] if pair not in merges else []
+    t = tokenizing.BytePairs(tuple(merges))
+    import regex
+
+    want = [x for piece in regex.findall(t.pattern, text) for x in plain_merges(list(piece.encode()), {p: 256 + i for i, p in enumerate(merges)})]
+    assert t.encode(text) == want and t.decode(want) == text
+
+
+def test_encoders_equal_the_libraries(small):
+    """Own merging against the libraries that publish it, over whole documents."""
+    import base64
+
+    import public_tokenizers as public
+    import pyarrow.parquet as pq
+    import sentencepiece
+    import tiktoken
+
+    texts = [t for t in pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0).to_pylist() if t][:120]
+    texts += ["hello world 👋\nagain", "x" * 3000, "  two  spaces\t\n", "日本語のテキスト 123456", "don't we'll I'M", "\u0000‍"]
+    path = public.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+    library, own = tiktoken.Encoding("ranks", pat_str=tokenizing.GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={}), tokenizing.load_ranks(path)
+    assert all(own.encode(t) == library.encode_ordinary(t) and own.decode(own.encode(t)) == t for t in texts)
+    model = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    pieces = tokenizing.load_pieces(public.path("piece_bpe_32k.model"))
+    assert pieces.merging and all(pieces.encode(t) == model.encode(" ".join(t.split())) for t in texts if "\u0000" not in t)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcx", max_size=9), st.integers(0, 10**6))
+def test_best_segmentation_equals_all_segmentations(word, seed):
+    rng = random.Random(seed)
+    scores = {p: -rng.randint(1, 40) / 4 for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "aab", "cab")}
+    ids = {p: i for i, p in enumerate(scores, 1)}
+    model = tokenizing.Pieces(scores, ids)
+    worst = min(scores.values()) - 10
+    value = lambda parts: sum(scores.get(p, worst) for p in parts)
+
+    def every(w):
+        if not w:
+            yield []
+        for k in range(1, len(w) + 1):
+            if k == 1 or w[:k] in scores:
+                yield from ([w[:k], *rest] for rest in every(w[k:]))
+
+    assert value(model.best(word)) == max(map(value, every(word))) and "".join(model.best(word)) == word
+    assert model.encode("") == [] and all(0 <= i <= len(ids) for i in model.encode(word))
