@@ -81,6 +81,31 @@ def snowflake(millis: Column, datacenter: int, worker: int, sequence: Column) ->
     return F.shiftleft(millis - epoch, 22).bitwiseOR(F.lit(datacenter << 17 | worker << 12)).bitwiseOR(sequence)
 
 
+def regex_escaped(text: Column) -> Column:
+    """A text as a pattern that matches itself."""
+    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+
+
+def url_parts(url: Column) -> Column:
+    """scheme, host, port (null where none is given), path and query of a URL as a struct; null where it isn't one."""
+    part = lambda group: F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", group)
+    port = F.when(part(3) != "", part(3).cast("int"))
+    return F.when(part(1) != "", F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), port.alias("port"), part(4).alias("path"), part(5).alias("query")))
+
+
+def url_of(scheme: Column, host: Column, path: Column, port: Column | None = None, query: Column | None = None) -> Column:
+    """The URL of its parts; a null port, path or query is left out."""
+    at = F.coalesce(F.concat(F.lit(":"), port.cast("string")), F.lit("")) if port is not None else F.lit("")
+    asked = F.coalesce(F.when(query != "", F.concat(F.lit("?"), query)), F.lit("")) if query is not None else F.lit("")
+    return F.concat(scheme, F.lit("://"), host, at, F.coalesce(path, F.lit("")), asked)
+
+
+def query_string(**values: Column) -> Column:
+    """``a=1&b=2`` of columns in the order given, encoded; nulls are left out."""
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in values.items()]
+    return F.array_join(F.filter(F.array(*pairs), lambda x: x.isNotNull()), "&")
+
+
 def combined(texts: Column) -> Column:
     """Each text and a line end, in order."""
     return F.concat(F.array_join(texts, "\n"), F.when(F.size(texts) > 0, F.lit("\n")).otherwise(F.lit("")))

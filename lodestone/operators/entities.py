@@ -5,6 +5,8 @@ Tables are DataFrames; each rule gives the rows after the change, for the caller
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def changed(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     return df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
 
 
+def patched(df: DataFrame, patches: DataFrame, *, key: str = "id") -> DataFrame:
+    """Partial updates: the columns that a patch has and that aren't null in it replace the row's; a key has one patch at most."""
+    given = [c for c in patches.columns if c != key and c in df.columns]
+    new = patches.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_new_{c}") for c in given))
+    out = df.join(new, df[key] == new["_k"], "left")
+    return out.select(*(F.coalesce(F.col(f"_new_{c}"), df[c]).alias(c) if c in given else df[c] for c in df.columns))
+
+
+def of_parent(df: DataFrame, parent: str, ident, *, status: Sequence[str] = (), order: str = "created_at", key: str = "id", newest: bool = True) -> DataFrame:
+    """The messages, runs or steps of one thread or run, of some statuses only if any are named, in order of time and key."""
+    rows = df.where(F.col(parent) == ident)
+    rows = rows.where(F.col("status").isin(*status)) if status else rows
+    return rows.orderBy(*((F.desc(order), F.desc(key)) if newest else (F.asc(order), F.asc(key))))
+
+
 def can_delete(runs: DataFrame, threads: DataFrame) -> DataFrame:
     """Threads without a run that is in progress or being cancelled."""
     busy = runs.where(F.col("status").isin("in_progress", "cancelling")).select("thread_id").distinct()

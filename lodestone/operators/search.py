@@ -1,8 +1,8 @@
 """Exact nearest neighbours by cosine.
 
-One query sorts with a limit, so each task keeps its best k. A batch of queries is broadcast, after its
-size was checked, each task scores its rows with one matrix product and keeps the best k for each query,
-and only those are ranked across tasks. Larger batches go in blocks.
+One query sorts with a limit, so each task keeps its best k. A batch of queries is broadcast, in blocks of
+checked bytes; each task scores its rows with matrix products and keeps running bests, k for each query and
+what ties with the last, and only those are ranked across tasks.
 """
 
 from __future__ import annotations
@@ -36,11 +36,14 @@ def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 0, *, vector: str =
     """``query_key, key, similarity, rank``: the k rows of ``df`` most like each query, against all rows.
 
     Queries with null, zero or unequal vectors have no rows. ``block`` bounds how many query vectors are
-    broadcast at once; the queries are dealt into blocks by hash.
+    broadcast at once, and so do 64 MB of vectors and 4 million bests a task; the queries are dealt into
+    blocks by hash.
     """
     k = clamped(k)
     asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    blocks = max(1, -(-asked.count() // block))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    block = max(1, min(block, (64 << 20) // (8 * (size["width"] or 1)), 4_000_000 // k))
+    blocks = max(1, -(-size["n"] // block))
     found = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
@@ -63,21 +66,41 @@ def _best(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = held.value
+        least = np.full(len(matrix), -np.inf)
+        likes: list[list[np.ndarray]] = [[] for _ in matrix]
+        keys: list[list[pa.Array]] = [[] for _ in matrix]
+        counts = np.zeros(len(matrix), np.int64)
+
+        def pruned(i: int) -> None:
+            """Only the best k of a query stay, and all that tie with the last: ties are settled by key, across tasks."""
+            own, at = np.concatenate(likes[i]), pa.concat_arrays(keys[i])
+            if len(own) > k:
+                least[i] = np.partition(own, len(own) - k)[len(own) - k]
+                stay = np.flatnonzero(own >= least[i] - 1e-12)
+                own, at = own[stay], at.take(pa.array(stay))
+            likes[i], keys[i], counts[i] = [own], [at], len(own)
+
         for batch in batches:
             vectors = batch.column(1)
-            fit = np.flatnonzero(np.array([n if n is not None else -1 for n in vectors.value_lengths().to_pylist()]) == width)
+            fit = np.flatnonzero(np.asarray(vectors.value_lengths().fill_null(-1)) == width)
             if not len(fit):
                 continue
             flat = vectors.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), width)
             norms = np.sqrt((flat * flat).sum(1))
             fit, flat = fit[norms > 0], flat[norms > 0] / norms[norms > 0][:, None]
-            keys = batch.column(0).take(pa.array(fit))
+            own = batch.column(0).take(pa.array(fit))
             for start in range(0, len(matrix), 256):
                 likeness = np.atleast_2d(matrix[start : start + 256] @ flat.T)
                 for i, row in enumerate(likeness, start):
-                    # All that tie with the k-th stay, so that ties are settled by key across tasks.
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    at = np.flatnonzero(row >= least - 1e-12)
-                    yield pa.RecordBatch.from_arrays([pa.repeat(names[i], len(at)), keys.take(pa.array(at)), pa.array(row[at])], ["q", "k", "similarity"])
+                    at = np.flatnonzero(row >= least[i] - 1e-12)
+                    if len(at):
+                        likes[i].append(row[at])
+                        keys[i].append(own.take(pa.array(at)))
+                        counts[i] += len(at)
+                        if counts[i] > 2 * k:
+                            pruned(i)
+        for i in np.flatnonzero(counts):
+            pruned(i)
+            yield pa.RecordBatch.from_arrays([pa.repeat(names[i], int(counts[i])), keys[i][0], pa.array(likes[i][0])], ["q", "k", "similarity"])
 
     return rows.mapInArrow(best, schema)

@@ -48,13 +48,13 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` with dense row numbers from 1 by ``order``, ties in no defined order, without one task for all rows.
+def numbered(df: DataFrame, order: str | None, name: str) -> DataFrame:
+    """``df`` with dense row numbers from 1, by ``order``, ties in no defined order, or without one as the rows come.
 
     Rows are dealt by ranges and sorted inside, so a number is the rows of earlier ranges and the place in its
-    own. One row a range reaches the driver.
+    own; no task has all rows. One row a range reaches the driver.
     """
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order)
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
     rows = cut_lineage(dealt.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
     first, before = {}, 0
     for r in sorted(rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_place").alias("low")).collect(), key=lambda r: r["_part"]):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -30,20 +31,20 @@ def preset(df: DataFrame, page_no: Column, source: Column, text: str = "text") -
     )
 
 
-def text_files(spark: SparkSession, path: str | Sequence[str], *, source: str | None = None) -> DataFrame:
+def text_files(spark: SparkSession, path: str | Sequence[str], *, source: str | None = None, **options: str) -> DataFrame:
     """A document for each text or Markdown file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("p"))
+    rows = spark.read.options(**options).text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("p"))
     return preset(rows, F.lit(1), F.lit(source) if source else F.col("p"))
 
 
-def _pages(spark: SparkSession, path: str | Sequence[str], parse: Callable[[bytes], Iterator[str]], source: str | None) -> DataFrame:
+def _pages(spark: SparkSession, path: str | Sequence[str], parse: Callable[[bytes], Iterator[str]], source: str | None, options: dict[str, str]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 texts = list(parse(content.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array([name] * len(texts), pa.string())], ["text", "page", "p"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "text string, page int, p string")
+    rows = spark.read.format("binaryFile").options(**options).load(path).select("path", "content").mapInArrow(read, "text string, page int, p string")
     return preset(rows, F.col("page"), F.lit(source) if source else F.col("p"))
 
 
@@ -59,17 +60,17 @@ def docx_texts(content: bytes, paragraphs: int = 20) -> Iterator[str]:
             yield text
 
 
-def docx_files(spark: SparkSession, path: str | Sequence[str], *, paragraphs: int = 20, source: str | None = None) -> DataFrame:
-    return _pages(spark, path, lambda content: docx_texts(content, paragraphs), source)
+def docx_files(spark: SparkSession, path: str | Sequence[str], *, paragraphs: int = 20, source: str | None = None, **options: str) -> DataFrame:
+    return _pages(spark, path, lambda content: docx_texts(content, paragraphs), source, options)
 
 
-def pdf_files(spark: SparkSession, path: str | Sequence[str], *, source: str | None = None, password: str | None = None) -> DataFrame:
+def pdf_files(spark: SparkSession, path: str | Sequence[str], *, source: str | None = None, password: str | None = None, **options: str) -> DataFrame:
     """A document for each page. Needs the pypdf package, which is looked for when this is called."""
     try:
         import pypdf
     except ImportError as e:
         raise RuntimeError("reading PDF files needs the pypdf package") from e
-    return _pages(spark, path, lambda content: (p.extract_text() for p in pypdf.PdfReader(io.BytesIO(content), password=password).pages), source)
+    return _pages(spark, path, lambda content: (p.extract_text() for p in pypdf.PdfReader(io.BytesIO(content), password=password).pages), source, options)
 
 
 def column_mapping(mapping: str) -> list[tuple[int, str, str | None, str | None]]:
@@ -89,13 +90,12 @@ def column_mapping(mapping: str) -> list[tuple[int, str, str | None, str | None]
 def parquet_files(spark: SparkSession, path: str | Sequence[str], mapping: str, *, limit: int = 0, order: str | None = None) -> DataFrame:
     """Columns by place, as mapped; presets that aren't mapped get their defaults.
 
-    ``page_no`` numbers rows from 1: densely by ``order``, where one is given, else by Spark's ascending row
-    ids, which are unique but not dense, and need no sort.
+    ``page_no`` numbers rows from 1, by ``order`` where one is given, else as they are read.
     """
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     df = df.limit(limit) if limit > 0 else df
     names = df.columns
-    df = numbered(df, order, "_number") if order else df.withColumn("_number", F.monotonically_increasing_id() + 1)
+    df = numbered(df, order, "_number")
     number = F.col("_number")
     found, texts = {}, []
     for i, kind, name, type_ in column_mapping(mapping):
@@ -123,18 +123,14 @@ def reader_for(name: str, *, strict: bool = False) -> Callable[..., DataFrame] |
 def directory(spark: SparkSession, path: str, *, recursive: bool = True, pattern: str | None = None, types: Sequence[str] = ("txt", "md", "docx")) -> DataFrame:
     """Documents of all files below ``path`` whose full path matches ``pattern`` somewhere.
 
-    Files are grouped by reader and each group is one scan. Spark lists them; only names reach the driver.
+    Each reader scans its own types, found by Spark's listing; no names reach the driver's Python.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path")
-    listed = listed.where(F.col("path").rlike(pattern)) if pattern else listed
-    names = [r["path"] for r in listed.where(F.lower("path").rlike(rf"\.({'|'.join(types)})$")).collect()]
     groups: dict[Callable, list[str]] = {}
-    for n in sorted(names):
-        groups.setdefault(reader_for(n, strict=True), []).append(n)
-    out = spark.createDataFrame([], "text string, parent_doc_id string, page_no int, file_source string, start_index int, end_index int")
-    for read, paths in groups.items():
-        out = out.unionByName(read(spark, paths))
-    return out
+    for t in types:
+        groups.setdefault(reader_for(t, strict=True), []).append("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in t))
+    parts = [read(spark, path, recursiveFileLookup=str(recursive).lower(), pathGlobFilter=f"*.{{{','.join(globs)}}}") for read, globs in groups.items()]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.where(F.col("file_source").rlike(pattern)) if pattern else out
 
 
 def load(df: DataFrame, splitter: Splitter | None = None, hook: Hook | None = None) -> DataFrame:
