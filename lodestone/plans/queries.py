@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from lodestone.functions import vector as vx
 from lodestone.operators import aggregates, bm25, chunking, entities, filters, retrieval, search, validate
 from lodestone.operators.filters import Bool, Find, Range, Sorter, Term, Terms
 from lodestone.plans import chains
+from lodestone.plans.lineage import scratch
 from lodestone.sources import ingest
+from lodestone.store import DocumentTable, VectorTable
+from lodestone.streaming import jobs
 from lodestone.types import metadata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stored(spark: SparkSession, name: str, fields=None) -> DocumentTable:
+    """A document table of this call's own."""
+    return DocumentTable(spark, f"lodestone_{name}_{uuid.uuid4().hex}", metadata() if fields is None else fields)
+
+
 #: A fixed query vector for searches.
 PROBE = [((i * 37) % 19 - 9) / 10.0 for i in range(64)]
 _PROBE = "[" + ", ".join(f"{x}::DOUBLE" for x in PROBE) + "]"
@@ -162,8 +171,10 @@ def multiget(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_ids(spark, d):
-    gone = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, d, "documents").select("doc_id").join(gone, "doc_id", "left_anti")
+    store = _stored(spark, "delete_ids")
+    store.add(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce(tx.digest(F.col("text"), "md5"), F.lit("none")).alias("text")))
+    store.delete_many(table(spark, d, "labels").where("toxic = 1"), "doc_id")
+    return store.read().select(F.col("id").cast("bigint").alias("doc_id"))
 
 
 @query("SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE NOT coalesce(l.toxic = 1 AND l.quality = 0, false)")
@@ -185,9 +196,10 @@ def count_docs(spark, d):
 
 @query("SELECT doc_id, md5(text) AS id FROM documents WHERE source = 'src3' UNION ALL SELECT doc_id + 1000000, md5(text) FROM documents WHERE source = 'src4'")
 def append_docs(spark, d):
-    docs = table(spark, d, "documents")
-    a, b = (filters.where(docs, Term("source", s)).select("doc_id", tx.digest(F.col("text"), "md5").alias("id")) for s in ("src3", "src4"))
-    return a.unionByName(b.withColumn("doc_id", F.col("doc_id") + 1000000))
+    docs, store = table(spark, d, "documents"), _stored(spark, "append_docs")
+    for source, shift in (("src3", 0), ("src4", 1000000)):
+        store.add(filters.where(docs, Term("source", source)).select((F.col("doc_id") + shift).cast("string").alias("id"), tx.digest(F.col("text"), "md5").alias("text")))
+    return store.read().select(F.col("id").cast("bigint").alias("doc_id"), F.col("text").alias("id"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -214,7 +226,9 @@ def parents_with_counts(spark, d):
 
 @query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_custkey) AS top FROM orders")
 def generic_agg(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_custkey").alias("top"))
+    found = table(spark, d, "orders").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_custkey").alias("top"), F.max("o_orderstatus").alias("text"))
+    whole, real = aggregates.numeric(found)
+    return spark.createDataFrame([(whole["n"], real["total"], whole["top"])], "n bigint, total double, top bigint")
 
 
 # Children and parents
@@ -363,7 +377,14 @@ def _chunks(spark, d, splitter):
     return chunking.split_documents(docs, splitter).select("id", "parent_doc_id", "page_no", "lang", "start_index", "end_index", tx.digest(F.col("text"), "md5").alias("chunk_md5"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT *, len(w) AS n, [0] || list_transform(range(1, len(w) + 1), lambda i: CAST(list_sum(list_transform(w[1:i], lambda x: length(x) + 1)) AS BIGINT)) AS s FROM p WHERE len(w) > 0),
+c AS (SELECT doc_id, 1::BIGINT AS a, list_max([1] || list_filter(range(1, n + 1), lambda j: s[j + 1] - 1 <= 800)) AS b FROM u
+UNION ALL SELECT doc_id, a2, list_max([b + 1] || list_filter(range(b + 1, n + 1), lambda j: s[j + 1] - s[a2] - 1 <= 800)) FROM (
+  SELECT c.doc_id, c.b, u.s, u.n, list_min([c.b + 1] || list_filter(range(c.a + 1, c.b + 1), lambda j: s[c.b + 1] - s[j] - 1 <= 100 AND s[c.b + 2] - s[j] - 1 <= 800)) AS a2 FROM c JOIN u USING (doc_id) WHERE c.b < u.n)),
+t AS (SELECT doc_id, a, b, regexp_replace(array_to_string(w[a:b], chr(10)), '^\s+|\s+$', '', 'g') AS chunk, lang, text FROM c JOIN u USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS page_no, CASE WHEN instr(text, chunk) > 0 THEN strlen(left(text, instr(text, chunk) - 1)) ELSE -1 END AS start FROM t WHERE chunk <> '')
+SELECT sha256(doc_id || '/' || page_no) AS id, CAST(doc_id AS VARCHAR) AS parent_doc_id, CAST(page_no AS INTEGER) AS page_no, lang, CAST(start AS INTEGER) AS start_index, CAST(start + strlen(chunk) AS INTEGER) AS end_index, md5(chunk) AS chunk_md5 FROM k""")
 def chunk_char_nl(spark, d):
     return _chunks(spark, d, chunking.CharacterSplitter(size=800, overlap=100, separator="\n"))
 
@@ -488,3 +509,192 @@ def parquet_mapped(spark, d):
 @query("SELECT doc_id, source || '/' || CAST((ascii(right(CAST(doc_id AS VARCHAR), 1)) % 10) AS VARCHAR) || '/' || doc_id AS key FROM documents")
 def object_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", ingest.object_key(F.col("source"), F.col("doc_id").cast("string")).alias("key"))
+
+
+# Stores
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE WHEN lang = 'de' THEN 'x' ELSE source END AS source FROM documents LEFT JOIN labels USING (doc_id) WHERE trim(text) <> '' AND NOT coalesce(toxic = 1, false)")
+def store_add_update_delete(spark, d):
+    store = _stored(spark, "crud", metadata(lang="varchar", source="varchar", toxic="int32"))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    store.add(docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "toxic"))
+    store.delete_where(Term("toxic", 1))
+    store.update({"source": F.lit("x")}, Term("lang", "de"))
+    return store.read().select("id", "lang", "source")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents WHERE doc_id % 7 = 3 AND trim(text) <> ''")
+def store_get_many(spark, d):
+    store, docs = _stored(spark, "get", metadata(lang="varchar")), table(spark, d, "documents")
+    store.add(docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang"))
+    return store.get_many(docs.where("doc_id % 7 = 3").select(F.col("doc_id").cast("string").alias("id"))).select("id", "lang")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, label, round(s, 6) AS similarity FROM (SELECT vec_id, label, {_cos('embedding', _PROBE)} AS s FROM embeddings WHERE label = 2) ORDER BY s DESC, CAST(vec_id AS VARCHAR) LIMIT 15")
+def vector_store_search(spark, d):
+    store = VectorTable(spark, f"lodestone_vectors_{uuid.uuid4().hex}", lambda t: F.lit(None).cast("array<float>"), 64, metadata(label="int32"))
+    ident = F.col("vec_id").cast("string")
+    store.add(table(spark, d, "embeddings").select(ident.alias("id"), ident.alias("text"), F.col("embedding").alias("vector"), "label"))
+    return store.search(PROBE, 15, Term("label", 2)).select("id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+# Retrieval
+
+
+@query("SELECT doc_id, max(length(line)) AS similarity FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY doc_id")
+def ranked_parents(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("parent_doc_id"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    found = retrieval.ranked_parents(lines.withColumn("similarity", F.length("line").cast("bigint")), docs, key="doc_id")
+    return found.select("doc_id", "similarity")
+
+
+@query("SELECT md5(string_agg(text || chr(10), '' ORDER BY n_chars DESC, doc_id)) AS context_md5 FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 20)")
+def context_of_best(spark, d):
+    best = table(spark, d, "documents").where("text is not null").orderBy(F.desc("n_chars"), "doc_id").limit(20)
+    return retrieval.context_of(best, score="n_chars", key="doc_id").select(tx.digest(F.col("context"), "md5").alias("context_md5"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en' AND source IN (SELECT source FROM documents GROUP BY source ORDER BY sum(n_chars) DESC, source LIMIT 3)")
+def guided_search(spark, d):
+    docs = table(spark, d, "documents")
+    summaries = docs.groupBy(F.col("source").alias("file_source")).agg(F.sum("n_chars").alias("similarity"))
+    search_in = lambda names: filters.where(docs, Bool(must=[Terms("source", list(names)), Term("lang", "en")]))
+    return retrieval.guided_search(summaries, 3, search_in).select("doc_id", "source")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id DESC) AS rank FROM documents)
+SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 300 UNION ALL SELECT * FROM b WHERE rank <= 300) GROUP BY doc_id""")
+def fused_ranks(spark, d):
+    from lodestone.plans.lineage import numbered
+
+    docs = table(spark, d, "documents").select("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id")).alias("down"), F.struct(F.col("n_chars"), -F.col("doc_id")).alias("up"))
+    found = retrieval.fused([numbered(docs, by, "rank").where("rank <= 300") for by in ("down", "up")], key="doc_id")
+    return found.select("doc_id", F.round("score", 9).alias("score"))
+
+
+# Functions
+
+
+_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?"
+
+
+@query(f"SELECT page_id, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS host, regexp_extract(url, '{_URL}', 4) AS path, regexp_extract(url, '{_URL}', 5) AS query, split_part(url, '#', 1) AS back FROM pages WHERE url LIKE '%://%'")
+def url_functions(spark, d):
+    rows = table(spark, d, "pages").where("url like '%://%'").select("page_id", tx.url_parts(F.col("url")).alias("u"))
+    back = tx.url_of(F.col("u.scheme"), F.col("u.host"), F.col("u.path"), F.col("u.port"), F.col("u.query"))
+    return rows.select("page_id", "u.scheme", "u.host", "u.path", "u.query", back.alias("back"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(p_name || '.*(' || p_brand || ')', '([\\.^$|?*+()\[\]{}])', '\\\1', 'g') AS escaped, true AS same FROM part")
+def regex_escape(spark, d):
+    text = F.concat("p_name", F.lit(".*("), "p_brand", F.lit(")"))
+    return table(spark, d, "part").select("p_partkey", tx.regex_escaped(text).alias("escaped"), F.rlike(text, F.concat(F.lit("^"), tx.regex_escaped(text), F.lit("$"))).alias("same"))
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000 - 1534832906275) * 4194304 + 397312 + event_id % 4096 AS id FROM events")
+def snowflake_ids(spark, d):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", tx.snowflake(millis, 3, 1, F.col("event_id") % 4096).alias("id"))
+
+
+@query("SELECT item_id, 2 * power(3 + 4, 2) - sqrt(16) AS a, 7 / 2.0::DOUBLE AS b, abs(-5.5::DOUBLE) + 1.0::DOUBLE AS c FROM benchmark")
+def arithmetic(spark, d):
+    return table(spark, d, "benchmark").select("item_id", tx.arithmetic("2 * (3 + 4) ** 2 - sqrt(16)").alias("a"), tx.arithmetic("7/2").alias("b"), tx.arithmetic("abs(-5.5) + 1").alias("c"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS INTEGER) AS n_pieces, CAST(length(text) AS INTEGER) AS n_points, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents")
+def text_lengths(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.size(tx.pieces(t)).alias("n_pieces"), F.length(t).alias("n_points"), F.octet_length(t).alias("n_bytes"))
+
+
+# Rules over entity tables
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def without_threads(spark, d):
+    gone = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    return entities.without_threads(gone, table(spark, d, "orders").withColumnRenamed("o_custkey", "thread_id"))[0].select("o_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' AND user_id % 5 = 0 THEN 'cancelled' WHEN event_type = 'click' THEN 'in_progress' ELSE 'completed' END AS status FROM events")
+def cancelled_files(spark, d):
+    files = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "click", "in_progress").otherwise("completed").alias("status"))
+    return entities.cancelled(files, F.col("user_id") % 5 == 0).select("event_id", "status")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def pending_batches(spark, d):
+    checked = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate"))
+    batches = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("modified_at"), checked.alias("sanity_check_at"))
+    return entities.pending(batches, 25).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 40 > 0 AND o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)) < TIMESTAMP '1995-06-17'")
+def expired_stores(spark, d):
+    stores = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 40).cast("int").alias("days"), F.col("o_orderdate").alias("last_active_at"))
+    return entities.expired(stores, F.lit("1995-06-17").cast("timestamp_ntz")).select("id")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN s_suppkey IS NOT NULL THEN 'patched' ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def patched_rows(spark, d):
+    patches = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.lit("patched").alias("c_mktsegment"), F.lit(None).cast("string").alias("c_name"))
+    return entities.patched(table(spark, d, "customer"), patches, key="c_custkey").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) AND o_orderstatus IN ('O', 'P')")
+def runs_of_thread(spark, d):
+    orders = table(spark, d, "orders").withColumns({"status": F.col("o_orderstatus")})
+    first = orders.agg(F.min("o_custkey")).first()[0]
+    return entities.of_parent(orders, "o_custkey", first, status=("O", "P"), order="o_orderdate", key="o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT o_orderkey AS index FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT o_orderkey + 1 FROM orders WHERE o_orderstatus <> 'F')""")
+def ready_tasks(spark, d):
+    """Each order waits for the one with the number before its own, if that is there; finished ones have status F."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("index"), (F.col("o_orderstatus") == "F").alias("done"))
+    there = orders.select((F.col("index") + 1).alias("index"), F.array("index").alias("dependencies"))
+    tasks = orders.join(there, "index", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<bigint>")))
+    return chains.ready_tasks(tasks).select("index")
+
+
+# Streams, run until nothing is left
+
+
+def _files(d: str, name: str) -> str:
+    """A pattern of a table's files, of which there may be one or a folder."""
+    return f"{d}/{name}.parque[t]"
+
+
+def _stream(spark, d: str, name: str) -> DataFrame:
+    """One of the tables as a stream of files."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(_files(d, name))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, d):
+    path = scratch(spark, "stream")
+    counts = jobs.windowed_counts(_stream(spark, d, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")))
+    writer = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_type AS category, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unhandled' WHEN event_type = 'view' AND value < 20 THEN 'failed' ELSE 'handled' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
+def stream_tasks(spark, d):
+    path = scratch(spark, "stream")
+    tasks = _stream(spark, d, "events").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("category"), "value")
+    handlers = {"click": lambda t: t.withColumn("ok", F.lit(True)), "view": lambda t: t.withColumn("ok", F.col("value") >= 20)}
+    jobs.run_tasks(tasks, handlers, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("category", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS parent_doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
+def stream_ingest(spark, d):
+    path = scratch(spark, "stream")
+    lines = chunking.CharacterSplitter(size=0, overlap=0, separator="\n")
+    schema = table(spark, d, "documents").schema
+    jobs.ingest(spark, _files(d, "documents"), f"{path}/out", f"{path}/log", lines, schema=schema, key="doc_id").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("parent_doc_id").agg(F.count("*").alias("n"))

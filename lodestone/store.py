@@ -83,6 +83,11 @@ class DocumentTable:
             raise ValueError("no ids to delete")
         return self._keep(lambda df: df.where(~F.col("id").isin(list(ids))))
 
+    def delete_many(self, ids: DataFrame, column: str = "id") -> int:
+        """For ids in a table of any size."""
+        gone = ids.select(F.col(column).cast("string").alias("id")).distinct()
+        return self._keep(lambda df: df.join(gone, "id", "left_anti").select(*df.columns))
+
     def delete_where(self, by: Filter | None = None) -> int:
         """Deletes what the filter matches; without one, everything."""
         return self._keep(lambda df: without(df, by))

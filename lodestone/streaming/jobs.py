@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lodestone.operators.chunking import Splitter, split_documents
 from lodestone.operators.entities import batch_status
@@ -14,7 +15,7 @@ from lodestone.operators.entities import batch_status
 Handler = Callable[[DataFrame], DataFrame]
 
 
-def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, splitter: Splitter, *, schema: str, text: str = "text", key: str = "id", once: bool = True) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, splitter: Splitter, *, schema: str | StructType, text: str = "text", key: str = "id", once: bool = True) -> StreamingQuery:
     """Reads Parquet files as they come, chunks them and writes the chunks.
 
     Chunk ids are hashes of parent and number, and the file sink commits each batch once, so a restart
