@@ -118,3 +118,63 @@ def test_no_term_is_left_out(spark):
     same = [(i, docs[0][1]) if i < 100 else (i, t) for i, t in docs]
     lexicon = toxicity.fit_lexicon(spark.createDataFrame(same, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert all(toxicity.Lexicon.covers(lexicon.terms, w) for w in docs[0][1].split())
+
+
+def plain_features(text):
+    """The features of a text, one character and one word at a time."""
+    words, out = text.split(), dict.fromkeys(quality.NAMES, 0.0)
+    n = len(words)
+    if not n:
+        return [float(x == "short") for x in quality.NAMES]
+    data = text.encode()
+    sort = {c: k for k, v in (("upper", range(65, 91)), ("digits", range(48, 58)), ("stops", b"."), ("commas", b",;:"), ("marks", b"?\"'()-"), ("bangs", b"!"), ("bars", b"|"), ("symbols", b"#*$%&@^~=+"), ("brackets", b"<>[]{}\\/_`")) for c in v}
+    count = dict.fromkeys([*sort.values(), "other", "wide"], 0)
+    for c in data:
+        name = sort.get(c) or ("wide" if c > 127 else "other" if 0 < c < 32 else None)
+        if name:
+            count[name] += 1
+    runs = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    rows = [x for x in text.split("\n") if x]
+    out |= {
+        "log_words": math.log(1 + n), "log_chars_word": math.log(len(data) / n), "distinct_words": len(set(words)) / n**0.8,
+        "echo": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "repeated_5": (len(runs) - len(set(runs))) / n,
+        "repeated_lines": 1 - len(set(rows)) / len(rows), "words_line": math.log(1 + n / len(rows)), "upper": count["upper"] / len(data), "digits": count["digits"] / len(data),
+        **{k: math.sqrt(count[k] / n) for k in ("stops", "commas", "marks", "bangs", "bars", "symbols", "brackets", "other")}, "wide": count["wide"] / len(data),
+        "symbol_words": min(1.0, (count["bangs"] + count["bars"] + count["symbols"]) / n), "short": max(0.0, 1 - n / 10),
+        "commonest": max(words.count(w) for w in set(words)) / n, "long_words": math.log(1 + max(map(len, words))),
+    }
+    return [out[k] for k in quality.NAMES]
+
+
+def test_quality_query_equals_plain_code(spark, small):
+    """Every score of the query, from features, folds, pairs and fit without Spark."""
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    x = {i: plain_features(t) for i, t in docs.items()}
+    for i, t in docs.items():
+        assert quality.features(t) == pytest.approx(x[i]), i
+    learnt = sorted((i, labels[i]) for i in docs if labels.get(i) in (0, 1) and fold(i))
+    model = quality.fit(np.array([x[i] for i, _ in learnt]), np.array([y for _, y in learnt]), threshold=0.3)
+    got = queries.op1_quality_classifier(spark, small).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        raw = sum(w * min(max((v - m) / s, -8), 8) for w, v, m, s in zip(model.weights, x[r["doc_id"]], model.mean, model.scale, strict=True))
+        score = 1 / (1 + math.exp(-(model.slope * (raw - model.cut) + model.level)))
+        assert r["score"] == pytest.approx(score, abs=1e-6) and r["held_out"] == (fold(r["doc_id"]) == 0) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_repeated_rows_and_ties_of_the_classifiers(spark):
+    """Copies score alike; the order of rows has no say in the model."""
+    docs = [(i, "good words here, all of them new" if i % 2 else "bad bad bad $$$ $$$") for i in range(40)] * 2
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    one, two = (spark.createDataFrame(d, "doc_id bigint, text string") for d in (docs, docs[::-1]))
+    assert quality.fit_ranking(one, labels) == quality.fit_ranking(two.repartition(7), labels)
+    assert toxicity.fit_lexicon(one, labels) == toxicity.fit_lexicon(two.repartition(7), labels)
+    for build, fit in ((quality.score_quality, quality.fit_ranking), (toxicity.score_toxicity, toxicity.fit_lexicon)):
+        scores = {r["text"]: set() for r in one.distinct().collect()}
+        for r in build(one, fit(one, labels)).collect():
+            scores[r["text"]].add(r["score"])
+        assert all(len(s) == 1 for s in scores.values())
