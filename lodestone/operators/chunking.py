@@ -12,12 +12,13 @@ from dataclasses import dataclass
 from itertools import accumulate, groupby
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Length = Callable[[str], int]
-#: From large units to small; the empty one splits into code points.
+#: From large units to small; the empty one splits into grapheme clusters.
 SEPARATORS = ("\n\n", "\n", " ", "")
 #: In place of what joins pieces: a piece that stays as it is.
 _WHOLE = "\0whole"
@@ -86,9 +87,9 @@ def language_separators(language: str) -> tuple[str, ...]:
 
 
 def cut(text: str, pattern: str, keep: bool) -> list[str]:
-    """``text`` cut at a pattern; kept separators begin the piece that follows. The empty pattern cuts everywhere."""
+    """``text`` cut at a pattern; kept separators begin the piece that follows. The empty pattern cuts between grapheme clusters."""
     if not pattern:
-        return list(text)
+        return list(text) if text.isascii() and "\r\n" not in text else regex.findall(r"\X", text)
     if not keep:
         return [p for p in re.split(pattern, text) if p]
     starts = [0, *(m.start() for m in re.finditer(pattern, text) if m.end() > m.start()), len(text)]

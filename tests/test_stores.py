@@ -233,3 +233,55 @@ def test_ids_of_a_large_append_are_its_own(spark):
     assert t.get_many(second.ids).agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (10, 10_109, 10_100)
     assert t.get_many(first.ids).count() == first.ids.count() == 10 and t.count() == 10_110
     t.drop()
+
+
+def parent_rows(spark):
+    texts = {"p1": "the red house stands here. it is old and empty.", "p2": "a blue river runs north. boats go down it.", "p3": "green hills and sheep. grass all over."}
+    frame = spark.createDataFrame(list(texts.items()), "id string, text string")
+    for name, kind in (("parent_doc_id", "string"), ("page_no", "int"), ("file_source", "string"), ("start_index", "int"), ("end_index", "int")):
+        frame = frame.withColumn(name, F.lit(None).cast(kind))
+    return frame
+
+
+@pytest.mark.parametrize("kind", ["chunks", "sizes", "tokens", "summary", "questions"])
+def test_retrievers_over_two_stores(spark, kind):
+    from lodestone.operators.tokenizing import BytePairs
+    from lodestone.plans import retrievers
+
+    tokens = BytePairs(((116, 104), (256, 101)))
+    children = {
+        "chunks": retrievers.chunk_children(RecursiveSplitter(size=24)), "sizes": retrievers.chunk_sizes([12, 30]), "tokens": retrievers.chunk_sizes([20], lambda t: len(tokens.encode(t))),
+        "summary": retrievers.summary_children(lambda t: F.split(t, r"\. ")[0]), "questions": retrievers.question_children(lambda t: F.regexp_replace(t, r"\. ?", "\n")),
+    }[kind]
+    model = models.HashedWords(64)
+    documents = store.DocumentTable(spark, f"two_{kind}_docs", replace=True)
+    vectors = store.VectorTable(spark, f"two_{kind}_vectors", models.embedding(model), 64, replace=True)
+    both = retrievers.MultiVectorRetriever(documents, vectors, children)
+    assert both.ingest(parent_rows(spark)).affected_rows == 3
+    held = vectors.read().groupBy("parent_doc_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).collect()
+    assert {r["parent_doc_id"] for r in held} == {"p1", "p2", "p3"} and all(r["n"] == r["ids"] == (1 if kind == "summary" else 2 if kind == "questions" else r["n"]) for r in held)
+    asked = model.embed(["a blue river runs north"])[0]
+    found = both.retrieve(asked, 30).collect()
+    assert found[0]["id"] == "p2" and len(found) == len({r["id"] for r in found})
+    assert both.remove(["p2"]) == 1 and vectors.count(Term("parent_doc_id", "p2")) == 0 and {r["id"] for r in both.retrieve(asked, 30).collect()} == {"p1", "p3"}
+    documents.drop()
+    vectors.drop()
+
+
+def test_stored_index_reads_its_folders(spark):
+    df = spark.createDataFrame([(i, f"running runners number{chr(97 + i % 20)} house houses the") for i in range(60)], "id int, text string")
+    index = bm25.build(df, stopwords=bm25.ENGLISH, stemming=True)
+    assert {r["term"] for r in index.terms.where("id = 0").collect()} == {"run", "runner", "numbera", "hous"}
+    got = bm25.top_k(df, index, "The Houses of numberb", 5)
+    assert [r["id"] for r in got.collect()] == [1, 21, 41, 0, 2]
+    plan = bm25.score(index, "house")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [(folder" in plan or "folder#" in plan.split("PartitionFilters")[1][:80]
+    with_filter = bm25.top_k(df, index, "house", 3, Range("id", 50))
+    assert [r["id"] for r in with_filter.collect()] == [51, 52, 53]
+
+
+def test_numbers_of_several_files(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).selectExpr("cast(id as string) as t").coalesce(1).write.parquet(f"{tmp_path}/{i}.parquet")
+    rows = ingest.parquet_files(spark, [f"{tmp_path}/{i}.parquet" for i in range(3)], "0:t").collect()
+    assert sorted(r["page_no"] for r in rows) == list(range(1, 31)) and {int(r["text"]) for r in rows} == set(range(30))

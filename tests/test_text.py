@@ -185,3 +185,32 @@ def test_best_segmentation_equals_all_segmentations(word, seed):
 
     assert value(model.best(word)) == max(map(value, every(word))) and "".join(model.best(word)) == word
     assert model.encode("") == [] and all(0 <= i <= len(ids) for i in model.encode(word))
+
+
+def test_grapheme_clusters_stay_whole():
+    flags = "🇩🇪🇫🇷é👨‍👩‍👧x"
+    assert chunking.cut(flags, "", True) == ["🇩🇪", "🇫🇷", "é", "👨‍👩‍👧", "x"]
+    assert "".join(RecursiveSplitter(size=3, strip=False).split(flags * 3)) == flags * 3
+
+
+def test_stems():
+    from lodestone.functions.stem import stem
+
+    # Published examples of the algorithm.
+    want = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat
+    troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat
+    conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+    vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal
+    sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good
+    revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac
+    adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect
+    bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+    wrong = [(a, b, stem(a)) for a, b in zip(want[::2], want[1::2], strict=True) if stem(a) != b]
+    assert not wrong, wrong
+
+
+def test_urls_and_patterns(spark):
+    u = tx.url_parts(F.lit("HTTP://me@Host.example:8080/a/b?x=1&y=2#top"))
+    assert one(spark, u)[0].asDict() == {"scheme": "http", "host": "host.example", "port": 8080, "path": "/a/b", "query": "x=1&y=2"}
+    assert one(spark, tx.url_parts(F.lit("no url")), tx.url_of(F.lit("http"), F.lit("h"), F.lit("/p"), F.lit(None), F.lit("a=1"))) == (None, "http://h/p?a=1")
+    assert one(spark, tx.query_string(a=F.lit("x y"), b=F.lit(None), c=F.lit(3)), tx.regex_escaped(F.lit("a.b(c)[d]\\"))) == ("a=x+y&c=3", r"a\.b\(c\)\[d\]" + "\\\\")
