@@ -405,6 +405,19 @@ def bpe_encode(spark, d):
     return rows.select("doc_id", F.octet_length("back").alias("n_bytes"), (F.col("back") == F.col("text")).alias("same"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '([\p{L}\p{N}])''t', '\1''T', 'g') AS cut FROM documents)
+SELECT doc_id, CAST(strlen(text) - len(regexp_extract_all(cut, 'th')) - len(regexp_extract_all(cut, 'the')) - len(regexp_extract_all(text, 'in')) - len(regexp_extract_all(text, 'an')) - len(regexp_extract_all(text, 'and')) AS INTEGER) AS n_ids,
+CAST(len(regexp_extract_all(cut, 'the')) AS INTEGER) AS n_the, CAST(len(regexp_extract_all(text, 'and')) AS INTEGER) AS n_and FROM t""")
+def bpe_counts(spark, d):
+    """How many ids each text has, and how many of them are the merges "the" and "and"; a contraction's t is a piece by itself."""
+    from lodestone.operators.tokenizing import BytePairs, encoder
+
+    tokenizer = BytePairs(((116, 104), (256, 101), (105, 110), (97, 110), (259, 100)))
+    rows = table(spark, d, "documents").select("doc_id", encoder(tokenizer)(F.col("text")).alias("ids"))
+    of = lambda i: F.size(F.filter("ids", lambda x: x == i))
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), of(257).alias("n_the"), of(260).alias("n_and"))
+
+
 # Chains
 
 
@@ -438,12 +451,17 @@ def chat_memory_window(spark, d):
     return chains.chat_memory(table(spark, d, "conversations"), 3).select("conv_id", "turn", "history")
 
 
-@query("""WITH q AS (SELECT conv_id, turn, text, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history, role FROM conversations)
+@query("""WITH q AS (SELECT conv_id, turn, text, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history, role FROM conversations),
+f AS (SELECT doc_id % 40 AS shelf, string_agg(text || chr(10), '' ORDER BY doc_id) AS context FROM documents WHERE lang = 'en' AND text IS NOT NULL GROUP BY 1)
 SELECT conv_id, turn, CASE WHEN history = '' THEN text ELSE md5('Chat history:' || chr(10) || history || chr(10) || 'Follow-up question: ' || text || chr(10) || 'Standalone question:') END AS asked,
-length('Context:' || chr(10) || text || chr(10) || 'Question: ' || asked || chr(10) || 'Answer:') AS answer FROM q WHERE role = 'user'""")
+md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || 'Question: ' || asked || chr(10) || 'Answer:') AS answer FROM q LEFT JOIN f ON conv_id % 40 = shelf WHERE role = 'user'""")
 def rag_prompt(spark, d):
+    """Each question is answered from the English documents of its conversation's shelf."""
     asked = chains.chat_memory(table(spark, d, "conversations"), 3).where("role = 'user'").withColumnRenamed("text", "question")
-    found = chains.rag(asked, lambda df: df.withColumn("context", F.col("question")), lambda p: F.length(p).cast("bigint"), lambda p: tx.digest(p, "md5"), history="history")
+    docs = filters.where(table(spark, d, "documents").where("text is not null"), Term("lang", "en")).withColumn("shelf", F.col("doc_id") % 40)
+    shelves = aggregates.combine_documents(docs, by=["shelf"], order="doc_id")
+    retrieve = lambda df: df.join(shelves, F.col("conv_id") % 40 == F.col("shelf"), "left")
+    found = chains.rag(asked, retrieve, lambda p: tx.digest(p, "md5"), lambda p: tx.digest(p, "md5"), history="history")
     return found.select("conv_id", "turn", "asked", "answer")
 
 
