@@ -3,7 +3,8 @@
 Lines with a word are hashed. A line that counts alone, with ``least_words`` words or ``long_line``
 characters, is a fingerprint, and so are ``gram`` consecutive lines unless all of them count alone. Each
 fingerprint is joined with the first place that holds it, documents in order of id; what stands earlier
-is deleted, the first place stays.
+is deleted, the first place stays. This is winnowing with a window of one: as single lines count, each is
+the least of its window, and matches need no extension. A wider window would leave out repeated lines.
 
 What is guaranteed: every line that counts alone and every run of ``gram`` lines or more that stands at
 an earlier place of the given documents is deleted, and nothing else is. A line's first place is never
@@ -52,7 +53,8 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     prints = stored(prints.select("d", "t", F.col("f.f").alias("f"), F.col("f.at").alias("at")), "prints")
     place = F.struct("d", "t", F.col("at")[0].alias("p"))
     first = prints.groupBy("f").agg(F.min(place).alias("e"), F.max(place).alias("z")).where("e <> z").drop("z")
-    met = prints.join(first, "f").where(place > F.col("e"))
+    # Stored, so that both sides of the join are plain shuffles: a fingerprint that a third of the documents hold is split over tasks.
+    met = prints.join(stored(first, "first"), "f").where(place > F.col("e"))
     gone = met.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("gone"))
     return gone.select(F.col("d").alias("doc_id"), F.col("t").alias("text_hash"), "gone")
 
