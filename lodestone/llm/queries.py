@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, hostrules, html, lines, mixing, neardup, passages, quality, records, toxicity
+from lodestone.llm import decontaminate, hostrules, html, lines, mixing, neardup, passages, quality, records, simhash, toxicity
 from lodestone.llm.common import fold_of, scratch
 
 
@@ -74,9 +74,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, most=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 OPERATORS = (
     op1_quality_classifier, op2_repeated_passages, op3_mix_sources, op4_near_duplicates, op5_dedup_lines,
     op6_token_records, op7_extract_html, op8_host_rules, op9_decontaminate, op10_toxicity,
+    op12_simhash_groups,
 )
 
 
