@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, hostrules, html, lines, mixing, neardup, passages, quality, records, simhash, toxicity
+from lodestone.llm import bitsliced, decontaminate, hostrules, html, lines, mixing, neardup, passages, phrases, quality, records, simhash, toxicity
 from lodestone.llm.common import fold_of, scratch
 
 
@@ -74,15 +74,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, most=2000, share=50)
+
+
 def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, most=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bitsliced.top_k(docs, bitsliced.build(docs), table(spark, sf_dir, "benchmark"), 10)
+
+
 OPERATORS = (
     op1_quality_classifier, op2_repeated_passages, op3_mix_sources, op4_near_duplicates, op5_dedup_lines,
     op6_token_records, op7_extract_html, op8_host_rules, op9_decontaminate, op10_toxicity,
-    op12_simhash_groups,
+    op11_phrases, op12_simhash_groups, op13_ranked_search,
 )
 
 
@@ -91,7 +100,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3, "op8_host_rules": OP8, "op9_decontaminate": OP9}
+    return {"op3_mix_sources": OP3, "op8_host_rules": OP8, "op9_decontaminate": OP9, "op11_phrases": OP11, "op13_ranked_search": OP13}
 
 
 OP9 = r"""
@@ -140,3 +149,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND rate - 2 * sqrt(rate * (1 - rate) / (docs + a + b + 1)) <= least(0.5, 3 * a / (a + b)) AS kept
 FROM f JOIN (SELECT source, docs, a, b, (failed + a) / (docs + a + b) AS rate FROM h, pr) x ON f.source IS NOT DISTINCT FROM x.source
 """
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+f AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+g AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM g, s),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(d.w) AS BIGINT) * nd) // l AS m FROM d, s WHERE len(d.w) > 0),
+x AS (SELECT item_id, doc_id, r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+OP11 = r"""
+WITH p AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+g1 AS (SELECT lang, x, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, unnest(w) AS x FROM p) GROUP BY ALL),
+g2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p) GROUP BY ALL HAVING count(*) >= 10),
+g3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p) GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, sum(f) AS n FROM g1 GROUP BY lang),
+c2 AS (SELECT g2.lang, g2.x || ' ' || g2.y AS phrase, g2.f AS a, a.f AS l, b.f AS r, 1000000 * g2.f * g2.f // (a.f * b.f) AS score,
+  (SELECT max(h.f) FROM g3 h WHERE h.lang = g2.lang AND ((h.x = g2.x AND h.y = g2.y) OR (h.y = g2.x AND h.z = g2.y))) AS longer
+  FROM g2 JOIN g1 a ON a.lang = g2.lang AND a.x = g2.x JOIN g1 b ON b.lang = g2.lang AND b.x = g2.y),
+c3 AS (SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || g3.z AS phrase, g3.f AS a, a.f AS l1, q.f AS r1, p.f AS l2, c.f AS r2,
+  1000000 * g3.f * g3.f // (a.f * q.f) AS s1, 1000000 * g3.f * g3.f // (p.f * c.f) AS s2
+  FROM g3 JOIN g1 a ON a.lang = g3.lang AND a.x = g3.x JOIN g1 c ON c.lang = g3.lang AND c.x = g3.z
+  JOIN g2 p ON p.lang = g3.lang AND p.x = g3.x AND p.y = g3.y JOIN g2 q ON q.lang = g3.lang AND q.x = g3.y AND q.y = g3.z),
+c AS (SELECT lang, phrase, a, l, r, score FROM c2 WHERE longer IS NULL OR 100 * longer < 50 * a
+  UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM k JOIN t USING (lang) WHERE rank <= 2000
+"""
