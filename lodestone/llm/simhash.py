@@ -60,7 +60,7 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def fingerprints(text: pa.Array, shingle: int = 3) -> np.ndarray:
     """The fingerprints of texts; fewer words than ``shingle`` are one run, no words have fingerprint zero."""
     out = np.zeros(len(text), np.uint64)
-    for at, some in parts(text):
+    for at, some in parts(text, 2 << 20):
         w = words_in(some, SPACED)
         joined, start, stop = spaced(w)
         n = np.bincount(w.row, minlength=len(some))
