@@ -1,11 +1,13 @@
-"""Document and vector tables in the session's catalog.
+"""Document and vector tables, in the session's warehouse folder.
 
-Tables are Parquet. Appends are Spark's own commits; a delete writes the survivors to a new table that
-then takes the old one's name, so nothing is read and overwritten in one plan.
+Each is a ``SnapshotTable``: an append, delete or update is one commit, whole or absent, older versions can be
+read, and a delete or update rewrites only the files that hold rows it matches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -16,12 +18,17 @@ from pyspark.sql import types as T
 
 from lodestone.functions.vector import cosine, norm
 from lodestone.operators import search
-from lodestone.operators.filters import Filter, Find, by_ids, where, without
+from lodestone.operators.filters import Filter, Find, by_ids, where
 from lodestone.operators.validate import checked
-from lodestone.plans.lineage import cut_lineage
+from lodestone.plans.lineage import cut_lineage, discard
+from lodestone.snapshots import SnapshotTable
 from lodestone.types import PRESET, document
 
 
+def warehouse_path(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone/{name}"
+
+
 @dataclass(frozen=True)
 class Added:
     """What an append did: rows written, their ids, and the rows refused, with their violations."""
@@ -39,31 +46,27 @@ class DocumentTable:
     def __init__(self, spark: SparkSession, name: str, fields: T.StructType = PRESET, *, replace: bool = False) -> None:
         self.spark, self.name, self.fields = spark, name, fields
         self.schema = document(fields, self.has_vector)
-        if replace:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        if not spark.catalog.tableExists(name):
-            spark.createDataFrame([], self._stored()).write.format("parquet").saveAsTable(name)
+        self.table = SnapshotTable(spark, warehouse_path(spark, name), self._stored(), replace=replace)
 
     def _stored(self) -> T.StructType:
         return self.schema
 
-    def read(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version or the one asked for, as it is now: later commits don't change what was read."""
+        return self.table.read(version)
 
     def _prepared(self, docs: DataFrame) -> DataFrame:
         return docs
 
     def add(self, docs: DataFrame, *, allow_unknown: bool = True) -> Added:
-        """Appends the rows that fit the schema. Without ids they get hashes of a batch mark and their content."""
+        """Appends the rows that fit the schema, all or, after an error, none. Without ids they get hashes of a batch mark and their content."""
         if "id" not in docs.columns:
             content = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
             docs = docs.withColumn("id", F.sha2(F.concat(F.lit(uuid.uuid4().hex), content, F.monotonically_increasing_id().cast("string")).cast("binary"), 256))
         good, failed = checked(self._prepared(docs), self._stored(), allow_unknown=allow_unknown)
-        # The batch is computed once, so its ids are those in the table.
-        batch = cut_lineage(good)
-        batch.write.format("parquet").mode("append").saveAsTable(self.name)
-        return Added(batch.count(), batch.select("id"), failed)
+        # The batch is computed once, as it is written, so its ids are those in the table.
+        _, files = self.table.append(good)
+        return Added(sum(files.values()), self.table.files(files).select("id"), failed)
 
     def get(self, ids: Sequence[str]) -> DataFrame:
         return by_ids(self.read(), ids)
@@ -76,39 +79,39 @@ class DocumentTable:
         return request.apply(self.read().select(*(f.name for f in document(self.fields))))
 
     def count(self, by: Filter | None = None) -> int:
-        return where(self.read(), by).count()
+        """Without a filter the manifests tell, and nothing is read."""
+        return self.table.snapshot().rows if by is None else where(self.read(), by).count()
 
     def delete(self, ids: Sequence[str]) -> int:
         if not ids:
             raise ValueError("no ids to delete")
-        return self._keep(lambda df: df.where(~F.col("id").isin(list(ids))))
+        return self._delete(F.col("id").isin(list(ids)))
 
     def delete_many(self, ids: DataFrame, column: str = "id") -> int:
         """For ids in a table of any size."""
-        gone = ids.select(F.col(column).cast("string").alias("id")).distinct()
-        return self._keep(lambda df: df.join(gone, "id", "left_anti").select(*df.columns))
+        gone = cut_lineage(ids.select(F.col(column).cast("string").alias("id")).distinct(), "ids")
+        try:
+            return self.table.rewrite(lambda df: df.join(gone, "id", "left_semi"), lambda df: df.join(gone, "id", "left_anti"), "delete")
+        finally:
+            discard(gone)
 
     def delete_where(self, by: Filter | None = None) -> int:
         """Deletes what the filter matches; without one, everything."""
-        return self._keep(lambda df: without(df, by))
+        hit = by.column() if by is not None else None
+        return self.table.clear() if hit is None else self._delete(hit)
+
+    def _delete(self, hit: Column) -> int:
+        sure = F.coalesce(hit, F.lit(False))
+        return self.table.rewrite(lambda df: df.where(hit), lambda df: df.where(~sure), "delete")
 
     def update(self, change: dict[str, Column], by: Filter) -> int:
         """New values for some columns where the filter matches; returns how many rows it matched."""
         hit = F.coalesce(by.column(), F.lit(False))
-        n = self.read().where(hit).count()
-        self._keep(lambda df: df.select(*(F.when(hit, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in df.columns)))
-        return n
-
-    def _keep(self, survivors: Callable[[DataFrame], DataFrame]) -> int:
-        before, fresh = self.read(), f"{self.name}_{uuid.uuid4().hex[:8]}"
-        survivors(before).write.format("parquet").saveAsTable(fresh)
-        removed = before.count() - self.spark.table(fresh).count()
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
-        return removed
+        new = lambda df: df.select(*(F.when(hit, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in df.columns))
+        return self.table.rewrite(lambda df: df.where(hit), new, "update")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.table.drop()
 
 
 class VectorTable(DocumentTable):
@@ -141,47 +144,38 @@ class VectorTable(DocumentTable):
 
 
 class Registry:
-    """Vector tables by instance id, their schema kept as JSON, in one catalog table."""
+    """Vector tables by instance id, their schema kept as JSON, in one table."""
 
-    SCHEMA = "instance_id string, metadata_schema string, embedding_table_name string, custom string, created_at timestamp"
+    SCHEMA = T.StructType().add("instance_id", "string").add("metadata_schema", "string").add("embedding_table_name", "string").add("custom", "string").add("created_at", "timestamp")
 
     def __init__(self, spark: SparkSession, name: str = "vector_store_metadata") -> None:
-        self.spark, self.name = spark, name
-        if not spark.catalog.tableExists(name):
-            spark.createDataFrame([], self.SCHEMA).write.format("parquet").saveAsTable(name)
+        self.spark, self.table = spark, SnapshotTable(spark, warehouse_path(spark, name), self.SCHEMA)
 
     def list(self) -> DataFrame:
-        self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        return self.table.read()
 
     @staticmethod
     def table_of(instance_id: str) -> str:
-        import hashlib
-
         return f"vs_{hashlib.sha256(instance_id.encode()).hexdigest()}"
 
     def create(self, instance_id: str, embed, dimension: int, fields: T.StructType = PRESET, custom: str | None = None) -> VectorTable:
         if self._row(instance_id):
             raise ValueError(f"{instance_id} exists")
         row = self.spark.createDataFrame([(instance_id, fields.json(), self.table_of(instance_id), custom)], "instance_id string, metadata_schema string, embedding_table_name string, custom string")
-        row.withColumn("created_at", F.current_timestamp()).write.format("parquet").mode("append").saveAsTable(self.name)
+        self.table.append(row.withColumn("created_at", F.current_timestamp()))
         return VectorTable(self.spark, self.table_of(instance_id), embed, dimension, fields)
 
     def _row(self, instance_id: str):
         return self.list().where(F.col("instance_id") == instance_id).first()
 
     def load(self, instance_id: str, embed, dimension: int) -> VectorTable | None:
-        import json
-
         row = self._row(instance_id)
         return VectorTable(self.spark, row["embedding_table_name"], embed, dimension, T.StructType.fromJson(json.loads(row["metadata_schema"]))) if row else None
 
     def remove(self, instance_id: str) -> bool:
         row = self._row(instance_id)
         if row:
-            self.spark.sql(f"DROP TABLE IF EXISTS {row['embedding_table_name']}")
-            fresh = f"{self.name}_{uuid.uuid4().hex[:8]}"
-            self.list().where(F.col("instance_id") != instance_id).write.format("parquet").saveAsTable(fresh)
-            self.spark.sql(f"DROP TABLE {self.name}")
-            self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
+            own = F.col("instance_id") == instance_id
+            self.table.rewrite(lambda df: df.where(own), lambda df: df.where(~own), "delete")
+            SnapshotTable(self.spark, warehouse_path(self.spark, row["embedding_table_name"])).drop()
         return bool(row)
