@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
 from lodestone.operators import aggregates, bm25, chunking, entities, filters, retrieval, search, validate
 from lodestone.operators.filters import Bool, Find, Range, Sorter, Term, Terms
+from lodestone.operators.segments import SegmentIndex
 from lodestone.plans import chains
 from lodestone.plans.lineage import scratch
 from lodestone.sources import ingest
@@ -310,6 +312,24 @@ def bm25_filtered(spark, d):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _live_bm25(words: list[str]) -> str:
+    """As ``_bm25``, over the documents that aren't labelled as toxic."""
+    plain = _bm25(words).replace("FROM documents", "FROM live").replace("JOIN documents", "JOIN live")
+    return plain.replace("WITH t AS", "WITH live AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), t AS", 1)
+
+
+@query(_live_bm25(["idiot", "clown", "thing"]))
+def bm25_segments(spark, d):
+    """Three ingests, a removal by labels, and a merge of the small segments."""
+    docs = table(spark, d, "documents")
+    index = SegmentIndex(spark, scratch(spark, "bm25-segments"), key="doc_id", id_type=T.LongType(), stopwords=frozenset(), stemming=False)
+    for part in (F.col("source") < "src1", (F.col("source") >= "src1") & (F.col("lang") == "en"), (F.col("source") >= "src1") & (F.col("lang") != "en")):
+        index.ingest(docs.where(part).select("doc_id", "text"))
+    index.remove(table(spark, d, "labels").where("toxic = 1"))
+    index.merge(max(n for n, _ in index.state().segments.values()))
+    return index.top_k("Idiot clown, thing! idiot", 10).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 # Texts
 
 
@@ -542,6 +562,20 @@ def store_add_update_delete(spark, d):
     return store.read().select("id", "lang", "source")
 
 
+@query("""WITH d AS (SELECT doc_id AS id, lang, source, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM documents WHERE text IS NOT NULL AND trim(text) <> '')
+SELECT id, 'removed' AS change, source FROM d WHERE toxic OR (lang = 'de' AND source <> 'x')
+UNION ALL SELECT id, 'added' AS change, 'x' AS source FROM d WHERE NOT toxic AND lang = 'de' AND source <> 'x'""")
+def store_versions(spark, d):
+    """What a delete and an update changed, by comparing two versions of the table."""
+    store = _stored(spark, "versions", metadata(lang="varchar", source="varchar"))
+    store.add(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source"))
+    before = store.table.snapshot().version
+    store.delete_many(table(spark, d, "labels").where("toxic = 1"), "doc_id")
+    store.update({"source": F.lit("x")}, Term("lang", "de"))
+    found = store.table.changes(before, store.table.snapshot().version)
+    return found.select(F.col("id").cast("bigint").alias("id"), "change", "source")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents WHERE doc_id % 7 = 3 AND trim(text) <> ''")
 def store_get_many(spark, d):
     store, docs = _stored(spark, "get", metadata(lang="varchar")), table(spark, d, "documents")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval
 from lodestone.operators.chunking import RecursiveSplitter, Splitter, split_documents
-from lodestone.operators.filters import Filter, Terms
+from lodestone.operators.filters import Filter, Terms, where
+from lodestone.operators.segments import SegmentIndex
 from lodestone.plans.chains import Step, lines_of
 from lodestone.store import Added, DocumentTable, VectorTable
 
@@ -24,7 +25,7 @@ class Retriever(Protocol):
 
     def retrieve(self, query: Sequence[float], k: int = 0, by: Filter | None = None) -> DataFrame: ...
 
-    def remove(self, ids: Sequence[str]) -> int: ...
+    def remove(self, which: Sequence[str] | Filter) -> int: ...
 
 
 def chunk_children(splitter: Splitter) -> Step:
@@ -84,7 +85,30 @@ class MultiVectorRetriever:
     def retrieve(self, query: Sequence[float], k: int = 0, by: Filter | None = None) -> DataFrame:
         return retrieval.ranked_parents(self.vectors.search(query, k, by), self.documents.read())
 
-    def remove(self, ids: Sequence[str]) -> int:
-        """Documents and all their children; gives the number of documents."""
-        self.vectors.delete_where(Terms("parent_doc_id", list(ids)))
-        return self.documents.delete(ids)
+    def remove(self, which: Sequence[str] | Filter) -> int:
+        """Documents, by ids or by a filter on them, and all their children; gives the number of documents."""
+        gone = where(self.documents.read(), Terms("id", list(which)) if isinstance(which, Sequence) else which).select("id")
+        self.vectors.delete_many(gone, "id", "parent_doc_id")
+        return self.documents.delete_many(gone)
+
+
+class KeywordRetriever:
+    """Documents found by their words, over an index that follows the table: English stems and no stop words, unless told otherwise."""
+
+    def __init__(self, documents: DocumentTable, index: SegmentIndex) -> None:
+        self.documents, self.index = documents, index
+
+    def ingest(self, docs: DataFrame) -> Added:
+        added = self.documents.add(docs)
+        self.index.ingest(self.documents.get_many(added.ids))
+        return added
+
+    def retrieve(self, query: str, k: int = 10, by: Filter | None = None) -> DataFrame:
+        rows = where(self.documents.read(), by)
+        found = self.index.top_k(query, k, rows if by is not None else None)
+        return rows.join(F.broadcast(found), "id").orderBy(F.desc("score"), "id").limit(k)
+
+    def remove(self, by: Filter) -> int:
+        gone = where(self.documents.read(), by).select("id")
+        self.index.remove(gone)
+        return self.documents.delete_many(gone)

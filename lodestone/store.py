@@ -87,11 +87,11 @@ class DocumentTable:
             raise ValueError("no ids to delete")
         return self._delete(F.col("id").isin(list(ids)))
 
-    def delete_many(self, ids: DataFrame, column: str = "id") -> int:
-        """For ids in a table of any size."""
-        gone = cut_lineage(ids.select(F.col(column).cast("string").alias("id")).distinct(), "ids")
+    def delete_many(self, ids: DataFrame, column: str = "id", of: str = "id") -> int:
+        """For ids in a table of any size, which the column ``of`` of this one holds."""
+        gone = cut_lineage(ids.select(F.col(column).cast("string").alias(of)).distinct(), "ids")
         try:
-            return self.table.rewrite(lambda df: df.join(gone, "id", "left_semi"), lambda df: df.join(gone, "id", "left_anti"), "delete")
+            return self.table.rewrite(lambda df: df.join(gone, of, "left_semi"), lambda df: df.join(gone, of, "left_anti"), "delete")
         finally:
             discard(gone)
 
