@@ -1,17 +1,17 @@
 """Byte-pair and unigram tokenizers over text columns.
 
-Training counts in Spark: distinct pieces with their frequencies are a table, and each round's pair counts
-are one aggregation over it. Encoding is a vectorised function whose merge ranks travel with it; the ids of
+Training counts in Spark: distinct pieces with their frequencies are a table, a round's pair counts are one
+aggregation over it, and a round takes all merges that can't touch one another. Encoding is a vectorised function whose merge ranks travel with it; the ids of
 pieces are remembered, so that each is merged once in a worker.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, count
 
 import pyarrow as pa
 import regex
@@ -210,16 +210,8 @@ def _joined(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, vocab_size: int, *, text: str = "text", order: str | None = None, pattern: str = GPT2_PATTERN, specials: dict[str, int] | None = None) -> BytePairs:
-    """Learns ``vocab_size - 256`` merges; each takes the commonest pair, of equal ones that seen first.
-
-    The table holds each distinct piece once, with its frequency and the place where it was first seen
-    (by ``order``, else in no defined order). Every round is one aggregation of pair counts in Spark, and a
-    column operation that joins the pair; the table is written anew each round, so a lost executor costs no
-    earlier one.
-    """
-    if vocab_size < 256:
-        raise ValueError("a vocabulary has 256 bytes at least")
+def _piece_table(docs: DataFrame, text: str, order: str | None, pattern: str) -> DataFrame:
+    """Each distinct piece of two bytes or more once: ``n``, ``o`` and ``i``, where it was seen first, and ``ids``."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(column: pa.Array) -> pa.Array:
@@ -229,36 +221,117 @@ def train(docs: DataFrame, vocab_size: int, *, text: str = "text", order: str |
     def byte_ids(column: pa.Array) -> pa.Array:
         return pa.array([list(t.as_py().encode()) for t in column], pa.list_(pa.int32()))
 
-    place = F.col(order) if order else F.monotonically_increasing_id()
-    pieces = docs.select(place.alias("o"), F.posexplode(cut(F.col(text))).alias("i", "piece"))
-    table = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("o", "i")).alias("seen")).select("n", "seen", byte_ids(F.col("piece")).alias("ids"))
-    table = cut_lineage(table.where(F.size("ids") > 1), "pieces")
+    place = (F.col(order) if order else F.monotonically_increasing_id()).cast("bigint")
+    pieces = docs.select(place.alias("o"), F.posexplode(cut(F.col(text))).alias("i", "piece")).where(F.octet_length("piece") > 1)
+    table = pieces.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("o", "i")).alias("seen"))
+    return table.select("n", "seen.o", "seen.i", byte_ids(F.col("piece")).alias("ids"))
+
+
+def _with_merges(ids: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    if len(ranks) == 1:
+        (pair, new), = ranks.items()
+        return _joined(ids, pair, new)
+    return _merged(ids, lambda a, b: ranks.get((a, b)), lambda a, b, rank: rank)
+
+
+def _pair_counter(ranks: dict[tuple[int, int], int]):
+    """Pieces to pairs, after merges, summed up in each task: how often, and where first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(a, b, n, *seen) for (a, b), (n, seen) in sums.items()]
+            sums.clear()
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "b", "n", "o", "i", "at"])
+
+        for batch in batches:
+            for n, o, i, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                ids = _with_merges(ids, ranks) if ranks else ids
+                for at in range(len(ids) - 1):
+                    one = sums.setdefault((ids[at], ids[at + 1]), [0, (o, i, at)])
+                    one[0] += n
+                    if (o, i, at) < one[1]:
+                        one[1] = (o, i, at)
+            if len(sums) > 500_000:
+                yield out()
+        if sums:
+            yield out()
+
+    return run
+
+
+def apart(pairs: Sequence[tuple[int, int, int]], whole: bool, most: int) -> list[tuple[int, int]]:
+    """The first of ``pairs`` (a, b, count), in order of training, that can be merged at once with the same result as one after the other.
+
+    A merge of (a, b) changes counts of pairs that end in a or begin with b, and makes pairs that occur no more often than
+    one of these did. So pairs are taken as long as none touches an earlier one and all that an earlier one can change
+    or make stay rarer. ``whole`` tells that no pair is missing behind the last.
+    """
+    taken: list[tuple[int, int]] = []
+    begins: set[int] = set()
+    ends: set[int] = set()
+    for place, (a, b, n) in enumerate(pairs[:most]):
+        if taken:
+            rivals = any(m == n and (y in begins or x in ends) for x, y, m in pairs[place + 1 :] if m == n)
+            if a == b or a in ends or b in begins or rivals or (not whole and n == pairs[-1][2]):
+                break
+        taken.append((a, b))
+        begins.add(a)
+        ends.add(b)
+        if a == b:
+            break
+    return taken
+
+
+def train(
+    docs: DataFrame, vocab_size: int, *, text: str = "text", order: str | None = None, pattern: str = GPT2_PATTERN, specials: dict[str, int] | None = None, listed: int = 500,
+    rounds: int = 12,
+) -> BytePairs:
+    """Learns ``vocab_size - 256`` merges; each takes the commonest pair, of equal ones that seen first.
+
+    The table holds each distinct piece once, with its frequency and the place where it was first seen
+    (by ``order``, a whole number, else in no defined order). A job counts the pairs, summed up in the tasks, and gives the
+    driver the ``listed`` commonest; all merges that can't touch one another (``apart``) are taken from one job. Merges are
+    applied to the pieces as they are read, and the table is written anew every ``rounds`` jobs, so a lost executor costs no
+    earlier one.
+    """
+    if vocab_size < 256:
+        raise ValueError("a vocabulary has 256 bytes at least")
+    table = cut_lineage(_piece_table(docs, text, order, pattern), "pieces")
     merges: list[tuple[int, int]] = []
-    for new in range(256, vocab_size):
-        pairs = table.select("n", "seen", F.posexplode(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))).alias("at", "p"))
-        counts = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"), F.min(F.struct("seen", "at")).alias("seen"))
-        top = counts.orderBy(F.desc("n"), "seen").limit(1).collect()
+    fresh: dict[tuple[int, int], int] = {}
+    for job in count():
+        if len(merges) == vocab_size - 256:
+            break
+        if fresh and job % rounds == 0:
+            after = cut_lineage(table.mapInArrow(_merger(fresh), "n bigint, o bigint, i int, ids array<int>"), "pieces")
+            discard(table)
+            table, fresh = after, {}
+        pairs = table.mapInArrow(_pair_counter(fresh), "a int, b int, n bigint, o bigint, i int, at int")
+        sums = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("o", "i", "at")).alias("seen"))
+        top = [(r["a"], r["b"], r["n"]) for r in sums.orderBy(F.desc("n"), "seen").limit(listed).collect()]
         if not top:
             break
-        a, b = top[0]["a"], top[0]["b"]
-        merges.append((a, b))
-        fresh = table.select("n", "seen", _replace(F.col("ids"), a, b, new).alias("ids")).where(F.size("ids") > 1)
-        fresh = cut_lineage(fresh, "pieces")
-        discard(table)
-        table = fresh
+        for pair in apart(top, len(top) < listed, vocab_size - 256 - len(merges)):
+            fresh[pair] = 256 + len(merges)
+            merges.append(pair)
     discard(table)
     return BytePairs(tuple(merges), pattern, specials or {})
 
 
-def _replace(ids, a: int, b: int, new: int):
-    """Joins each (a, b), from left to right, as a fold over the array."""
-    none = F.array().cast("array<int>")
+def _merger(ranks: dict[tuple[int, int], int]):
+    """Pieces after merges; those that have become one token are left out."""
 
-    def step(out, x):
-        meets = (x == b) & (F.size(out) > 0) & (F.try_element_at(out, F.when(F.size(out) > 0, F.lit(-1)).otherwise(F.lit(1))) == a)
-        return F.when(meets, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.lit(new)))).otherwise(F.concat(out, F.array(x)))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_with_merges(x, ranks) for x in batch.column(3).to_pylist()]
+            kept = pa.array([len(x) > 1 for x in ids])
+            merged = pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(ids, pa.list_(pa.int32()))], ["n", "o", "i", "ids"])
+            yield merged.filter(kept)
 
-    return F.when(F.array_contains(ids, a) & F.array_contains(ids, b), F.aggregate(ids, none, step)).otherwise(ids)
+    return run
 
 
 def encoder(tokenizer: BytePairs, allowed: str | frozenset[str] = "none"):

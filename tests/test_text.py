@@ -71,6 +71,26 @@ def test_training_equals_plain_counting(spark):
     assert all(got.decode(got.encode(t)) == t for t in texts)
 
 
+def test_merges_of_one_job_equal_merges_one_by_one(spark, small, monkeypatch):
+    """A vocabulary of 512, and of 700 with few pairs listed and tables written often, over whole texts."""
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").select("text").limit(25).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "o int, text string").repartition(3)
+    want = plain_train(texts, 700, tokenizing.GPT4_PATTERN)
+    jobs = []
+    whole = tokenizing._pair_counter
+    monkeypatch.setattr(tokenizing, "_pair_counter", lambda ranks: jobs.append(len(ranks)) or whole(ranks))
+    assert tokenizing.train(df, 512, order="o", pattern=tokenizing.GPT4_PATTERN).merges == want[:256]
+    assert len(jobs) < 256 / 3
+    assert tokenizing.train(df, 700, order="o", pattern=tokenizing.GPT4_PATTERN, listed=40, rounds=5).merges == want
+
+
+def test_pairs_that_can_be_merged_at_once():
+    assert tokenizing.apart([(1, 2, 9), (3, 4, 8), (1, 5, 7), (2, 6, 6)], True, 9) == [(1, 2), (3, 4), (1, 5)]  # 2 is an end
+    assert tokenizing.apart([(1, 2, 9), (3, 4, 7), (5, 1, 7)], True, 9) == [(1, 2)]  # (5, 12) may be as common as (3, 4)
+    assert tokenizing.apart([(1, 1, 9), (3, 4, 7)], True, 9) == [(1, 1)] and tokenizing.apart([(3, 4, 9), (1, 1, 7)], True, 9) == [(3, 4)]
+    assert tokenizing.apart([(1, 2, 9), (3, 4, 7), (5, 6, 7)], False, 9) == [(1, 2)] and tokenizing.apart([(1, 2, 9), (3, 4, 7)], True, 1) == [(1, 2)]
+
+
 def test_specials():
     t = tokenizing.BytePairs(((104, 105),), tokenizing.GPT4_PATTERN, {"<|end|>": 999})
     assert t.encode("hi<|end|>", "all") == [256, 999] and 999 not in t.encode("hi<|end|>", "none")
