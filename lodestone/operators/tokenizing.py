@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import chain, count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,9 @@ class BytePairs:
                 out += chain.from_iterable(self._pieces[piece] for piece in regex.findall(self.pattern, part))
         return out
 
+    def piece(self, piece: str) -> list[int]:
+        return self._pieces[piece]
+
     def decode(self, ids: Sequence[int]) -> str:
         return _decoded(self.vocabulary(), ids)
 
@@ -120,6 +125,9 @@ class Ranks:
         """Ids of a text in which special tokens are ordinary text."""
         return list(chain.from_iterable(self._pieces[piece] for piece in regex.findall(self.pattern, text)))
 
+    def piece(self, piece: str) -> list[int]:
+        return self._pieces[piece]
+
     def decode(self, ids: Sequence[int]) -> str:
         return _decoded({rank: token for token, rank in self.ranks.items()}, ids)
 
@@ -344,6 +352,27 @@ def encoder(tokenizer: BytePairs, allowed: str | frozenset[str] = "none"):
     return encoded
 
 
+def encode_distinct(docs: DataFrame, tokenizer: BytePairs | Ranks, *, text: str = "text", key: str = "id") -> DataFrame:
+    """``key, ids`` of texts, each batch of them with its distinct pieces merged once; null texts have no ids.
+
+    Pieces are numbered in the batch, the ids of each are found once and taken by number, so no list is made text by text.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(column: pa.Array) -> pa.Array:
+        numbers: dict[str, int] = {}
+        which, sizes = [], [0]
+        for t in column.to_pylist():
+            which += [numbers.setdefault(p, len(numbers)) for p in regex.findall(tokenizer.pattern, t or "")]
+            sizes.append(len(which))
+        ids = pa.array([tokenizer.piece(p) for p in numbers], pa.list_(pa.int32()))
+        taken = ids.take(pa.array(which, pa.int32()))
+        ends = np.append(0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(ends[np.array(sizes)].astype(np.int32)), taken.flatten())
+
+    return docs.select(key, encoded(F.col(text)).alias("ids"))
+
+
 def decoder(tokenizer: BytePairs | Ranks):
     """A vectorised function from ids to text; an unknown id fails."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import formatted, trimmed
 from lodestone.operators.aggregates import ordered
-from lodestone.plans.lineage import cut_lineage
+from lodestone.plans.lineage import cut_lineage, discard, running
 
 Step = Callable[[DataFrame], DataFrame]
 Answer = Callable[[Column], Column]
@@ -106,26 +106,68 @@ def rag(questions: DataFrame, retrieve: Step, answer: Answer, rephrase: Answer |
     return found.withColumn("answer", answer(prompt("Context:\n{c}\nQuestion: {q}\nAnswer:", c=F.col("context"), q=F.col("asked"))))
 
 
-def summaries(texts: DataFrame, summarise: Answer, most_chars: int, *, by: str = "file_source", text: str = "text", order: str = "page_no") -> DataFrame:
+def packs(texts: DataFrame, limit: int, *, by: str = "file_source", order: str = "page_no", size: Column | None = None, text: str = "text") -> DataFrame:
+    """``texts`` with ``pack``, from 1 in each group: a pack ends before the text that makes it ``limit`` bytes or more.
+
+    A text at least is in a pack. Where a pack begins tells where the next one does, so every text points to the first of the next pack
+    as if it began one, and the pointers are doubled in each round: after n rounds the first 2 ** n packs of all groups are known. Sums run
+    over ranges of rows and pointers are found in stretches of 64 limits, so a group of any size is many tasks' work. ``size`` is a whole
+    number, 0 or more, by default the bytes of ``text``; null counts as 0.
+    """
+    if limit < 1:
+        raise ValueError("a limit is 1 at least")
+    length = F.coalesce(F.octet_length(text) if size is None else size, F.lit(0)).cast("bigint")
+    rows = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("row"), F.col(by).alias("g"), F.col(order).alias("o"), length.alias("s"))
+    rows = cut_lineage(running(rows, ["g", "o"], F.col("s"), number="k", total="c"), "packs")
+    ends = cut_lineage(rows.groupBy("g").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("c").alias("all")), "packs-groups")
+    wide = F.lit(64 * limit)
+    at = rows.select("g", "k", (F.col("c") - F.col("s")).alias("before"))
+    at = at.withColumn("own", F.floor(F.col("before") / wide))
+    # The first texts of a stretch are also seen from the one before it.
+    seen = F.when(F.col("before") % wide < limit, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))
+    near = Window.partitionBy("g", "stretch").orderBy("before").rangeBetween(0, limit - 1)
+    at = at.withColumn("stretch", F.explode(seen)).withColumn("far", F.max("k").over(near)).where(F.col("stretch") == F.col("own"))
+    at = at.join(ends.withColumnRenamed("g", "eg"), F.col("g").eqNullSafe(F.col("eg"))).select("k", "far", "before", "last", "all")
+    over = (F.col("far") < F.col("last")) | (F.col("all") >= F.col("before") + limit)
+    jump = at.select("k", F.greatest(F.col("k") + 1, F.when(over, F.col("far")).otherwise(F.col("last") + 1)).alias("to"), "last").where(F.col("to") <= F.col("last"))
+    jump = cut_lineage(jump.select("k", "to"), "packs-jump")
+    written = [cut_lineage(ends.select(F.col("first").alias("k")), "packs-starts")]
+    starts = written[0]
+    while True:
+        more = cut_lineage(starts.join(jump, "k").select(F.col("to").alias("k")), "packs-starts")
+        written.append(more)
+        if more.isEmpty():
+            break
+        starts = starts.union(more)
+        after = cut_lineage(jump.join(jump.select(F.col("k").alias("to"), F.col("to").alias("then")), "to").select("k", F.col("then").alias("to")), "packs-jump")
+        discard(jump)
+        jump = after
+    begins = cut_lineage(rows.select("k").join(starts.withColumn("b", F.lit(1)), "k", "left"), "packs-begins")
+    counted = running(begins, ["k"], F.coalesce("b", F.lit(0)), number="_k", total="p").select("k", "p")
+    base = counted.join(ends.select(F.col("first").alias("k"), F.col("g").alias("bg")), "k").select("bg", F.col("p").alias("base"))
+    out = rows.join(counted, "k").join(base, F.col("g").eqNullSafe(F.col("bg")))
+    out = cut_lineage(out.select("row", (F.col("p") - F.col("base") + 1).alias("pack")), "packed")
+    discard(rows, ends, jump, begins, *written)
+    return out.select(*(F.col("row")[c].alias(c) for c in texts.columns if c.lower() != "pack"), "pack")
+
+
+def summaries(texts: DataFrame, summarise: Answer, limit: int, *, by: str = "file_source", text: str = "text", order: str = "page_no") -> DataFrame:
     """``by, summary``: a tree of summaries for each group.
 
-    Each level summarises texts, then joins neighbours into packs of about ``most_chars`` characters by
-    their running length, until a group is one text. A level is one pass over all groups together, written
-    before the next; rows shrink from level to level. A text at least ends in a pack of its own, and packs
-    of one are joined in pairs, so every level gets shorter.
+    Each level summarises every text, joins neighbours into ``packs`` of less than ``limit`` bytes of summaries, and summarises each pack,
+    until a group is one text. A level is a pass over all groups together, written before the next. Where
+    summaries are so long that no pack of a group holds two, the level joins them in pairs, so every level gets shorter.
     """
-    here = texts.select(F.col(by).alias("g"), F.col(order).cast("bigint").alias("o"), summarise(F.col(text)).alias("t"))
-    here = cut_lineage(here)
+    here = cut_lineage(texts.select(F.col(by).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t")))
     while True:
-        running = Window.partitionBy("g").orderBy("o")
-        before = F.coalesce(F.sum(F.length("t")).over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        size, rank = F.count("*").over(Window.partitionBy("g")), F.row_number().over(running)
-        whole = F.sum(F.length("t")).over(Window.partitionBy("g"))
-        spread = F.least(F.floor(before / most_chars), F.floor((rank - 1) / 2))
-        pack = F.when(whole <= most_chars, F.lit(0)).otherwise(spread).cast("bigint")
-        packed = here.withColumns({"p": pack, "n": size})
-        joined = packed.groupBy("g", F.col("p").alias("o"), "n").agg(F.array_join(ordered(F.col("t"), F.col("o")), "\n").alias("t"), F.count("*").alias("m"))
-        here = cut_lineage(joined.select("g", "o", F.when(F.col("m") > 1, summarise(F.col("t"))).otherwise(F.col("t")).alias("t")))
+        each = packs(here.select("g", "o", summarise(F.col("t")).alias("t")), limit, by="g", order="o", text="t")
+        sizes = each.groupBy("g").agg(F.count("*").alias("n"), F.max("pack").alias("most")).withColumnRenamed("g", "sg")
+        alone = (F.col("n") > 1) & (F.col("n") == F.col("most"))
+        each = each.join(sizes, F.col("g").eqNullSafe(F.col("sg"))).select("g", "o", "t", F.when(alone, F.floor((F.col("pack") + 1) / 2)).otherwise(F.col("pack")).alias("p"))
+        joined = each.groupBy("g", "p").agg(F.array_join(ordered(F.col("t"), F.col("o")), "\n").alias("t"))
+        after = cut_lineage(joined.select("g", F.col("p").alias("o"), summarise(F.col("t")).alias("t")))
+        discard(here)
+        here = after
         if here.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             return here.select(F.col("g").alias(by), F.col("t").alias("summary"))
 

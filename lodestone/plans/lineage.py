@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,21 @@ def numbered(df: DataFrame, order: str | None, name: str) -> DataFrame:
         before += r["n"]
     shift = df.sparkSession.createDataFrame(list(first.items()), "_part int, _shift bigint")
     return rows.join(F.broadcast(shift), "_part").withColumn(name, F.col("_place") + F.col("_shift") + 1).drop("_part", "_place", "_shift")
+
+
+def running(df: DataFrame, order: Sequence[str], value: Column, *, number: str, total: str) -> DataFrame:
+    """``df`` with dense row numbers from 1 by ``order`` and the sum of ``value`` up to each row, itself included.
+
+    As ``numbered``: rows are dealt by ranges, sums run inside a range, and one row a range reaches the driver. Ties come in
+    one order for both. The rows are written once.
+    """
+    dealt = df.withColumn("_value", value).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut_lineage(dealt.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "running")
+    shifts, n, s = [], 0, 0
+    for r in sorted(rows.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_value").alias("s"), F.min("_place").alias("low")).collect(), key=lambda r: r["_part"]):
+        shifts.append((r["_part"], n - r["low"] + 1, s))
+        n, s = n + r["n"], s + (r["s"] or 0)
+    shift = df.sparkSession.createDataFrame(shifts, "_part int, _n bigint, _s bigint")
+    inside = F.sum("_value").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("_inside", inside).join(F.broadcast(shift), "_part")
+    return out.withColumns({number: F.col("_place") + F.col("_n"), total: F.col("_inside") + F.col("_s")}).drop("_part", "_place", "_value", "_inside", "_n", "_s")

@@ -345,6 +345,14 @@ def combine_turns(spark, d):
     return aggregates.combine_documents(table(spark, d, "conversations"), by=["conv_id"], order="turn").select("conv_id", tx.digest(F.col("context"), "md5").alias("context_md5"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT source, doc_id, coalesce(strlen(text), 0) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+p AS (SELECT source, doc_id, k, s AS held, 1::BIGINT AS pack FROM t WHERE k = 1
+UNION ALL SELECT t.source, t.doc_id, t.k, CASE WHEN p.held + t.s >= 5000 THEN t.s ELSE p.held + t.s END, CASE WHEN p.held + t.s >= 5000 THEN p.pack + 1 ELSE p.pack END FROM p JOIN t ON t.source = p.source AND t.k = p.k + 1)
+SELECT source, doc_id, pack FROM p""")
+def greedy_packs(spark, d):
+    return chains.packs(table(spark, d, "documents"), 5000, by="source", order="doc_id").select("source", "doc_id", "pack")
+
+
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat_history FROM conversations GROUP BY conv_id")
 def combine_messages(spark, d):
     return aggregates.combine_messages(table(spark, d, "conversations"), by=["conv_id"])
@@ -414,15 +422,30 @@ def chunk_recursive(spark, d):
     return _chunks(spark, d, chunking.RecursiveSplitter(size=400, overlap=40))
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes, true AS same FROM documents")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '([\p{L}\p{N}])''t', concat('\1''', chr(1)), 'g') AS cut FROM documents),
+h AS (SELECT doc_id, regexp_replace(lower(hex(encode(cut))), '(..)', '\1 ', 'g') AS h FROM t),
+m AS (SELECT doc_id, string_split(trim(regexp_replace(replace(replace(replace(replace(replace(h, '74 68 ', '100 '), '100 65 ', '101 '), '69 6e ', '102 '), '61 6e ', '103 '), '103 64 ', '104 '), '\b01 ', '74 ', 'g')), ' ') AS x FROM h)
+SELECT doc_id, CAST(len(x) AS INTEGER) AS n_ids, md5(array_to_string(x, ' ')) AS ids_md5 FROM m WHERE x <> ['']""")
 def bpe_encode(spark, d):
-    from lodestone.operators.tokenizing import BytePairs, decoder, encoder
+    """All ids of every text, as hexadecimal numbers; a contraction's t is a piece by itself. Distinct pieces of a batch are encoded once."""
+    from lodestone.operators.tokenizing import BytePairs, encode_distinct
 
     # Merges of common English byte pairs: t+h, th+e, i+n, a+n, an+d.
     tokenizer = BytePairs(((116, 104), (256, 101), (105, 110), (97, 110), (259, 100)))
-    rows = table(spark, d, "documents").select("doc_id", "text", encoder(tokenizer)(F.col("text")).alias("ids"))
-    rows = rows.select("doc_id", "text", decoder(tokenizer)(F.col("ids")).alias("back"))
-    return rows.select("doc_id", F.octet_length("back").alias("n_bytes"), (F.col("back") == F.col("text")).alias("same"))
+    rows = encode_distinct(table(spark, d, "documents").where("text <> ''"), tokenizer, key="doc_id")
+    digits = F.transform("ids", lambda i: F.when(i < 16, F.concat(F.lit("0"), F.lower(F.hex(i)))).otherwise(F.lower(F.hex(i))))
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), tx.digest(F.array_join(digits, " "), "md5").alias("ids_md5"))
+
+
+@query()
+def bpe_train(spark, d):
+    """Merges learnt of all documents, with the bytes that they stand for."""
+    from lodestone.operators.tokenizing import train
+
+    learnt = train(table(spark, d, "documents"), 256 + 64, order="doc_id")
+    words = learnt.vocabulary()
+    rows = [(i, a, b, words[256 + i].hex()) for i, (a, b) in enumerate(learnt.merges)]
+    return spark.createDataFrame(rows, "rank int, a int, b int, token string")
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '([\p{L}\p{N}])''t', '\1''T', 'g') AS cut FROM documents)

@@ -175,6 +175,40 @@ def test_summaries(spark):
     assert got.keys() == {"f", "g"} and got["g"] == "z" and got["f"][0] == "a"
 
 
+def plain_packs(sizes, limit):
+    out, held, pack = [], 0, 1
+    for i, n in enumerate(sizes):
+        if i and held + n >= limit:
+            held, pack = 0, pack + 1
+        held += n
+        out.append(pack)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100])
+def test_packs_equal_a_greedy_loop(spark, limit):
+    rng = np.random.default_rng(limit)
+    sizes = {"a": rng.integers(0, 6, 900), "b": rng.integers(0, 250, 60), "c": np.zeros(9, int), "d": [limit], "e": [3 * limit] * 5 + [0, 0, limit - 1, 0, 1], None: [1, limit]}
+    rows = [(g, i, "x" * int(n), "own") for g, ns in sizes.items() for i, n in enumerate(ns)]
+    out = chains.packs(spark.createDataFrame(rows, "g string, o int, text string, s string").repartition(3), limit, by="g", order="o")
+    assert out.columns == ["g", "o", "text", "s", "pack"]
+    got = {}
+    for r in out.orderBy("o").collect():
+        got.setdefault(r["g"], []).append(r["pack"])
+    assert got == {g: plain_packs([int(n) for n in ns], limit) for g, ns in sizes.items()}
+
+
+def test_no_packs(spark):
+    assert chains.packs(spark.createDataFrame([], "g string, o int, text string"), 5, by="g", order="o").isEmpty()
+
+
+def test_summaries_of_long_texts_end(spark):
+    """Texts of the limit and more, which no pack takes two of, are joined in pairs."""
+    df = spark.createDataFrame([("f", i, chr(97 + i) * 9) for i in range(5)], "file_source string, page_no int, text string")
+    got = chains.summaries(df, lambda t: F.regexp_replace(t, "\n", ""), 5).first()
+    assert got["summary"] == "".join(chr(97 + i) * 9 for i in range(5))
+
+
 def test_entities(spark):
     files = spark.createDataFrame([(1, "completed"), (1, "failed"), (2, "in_progress"), (3, "completed"), (4, "cancelled"), (4, "failed")], "batch_id int, status string")
     assert {r["batch_id"]: r["status"] for r in entities.batch_status(files).collect()} == {1: "failed", 2: "in_progress", 3: "completed", 4: "cancelled"}
