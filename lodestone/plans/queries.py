@@ -773,3 +773,34 @@ def stream_ingest(spark, d):
     schema = table(spark, d, "documents").schema
     jobs.ingest(spark, _files(d, "documents"), f"{path}/out", f"{path}/log", lines, schema=schema, key="doc_id").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("parent_doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT user_id, ts, CASE event_type WHEN 'click' THEN 'in_progress' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'cancelled' ELSE 'completed' END AS status FROM events WHERE event_type <> 'signup' OR user_id % 3 = 0),
+b AS (SELECT user_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled,
+  count(*) FILTER (status = 'in_progress') AS open, max(ts) AS last_ts FROM f GROUP BY user_id),
+w AS (SELECT epoch_ms(max(ts)) - 3600000 AS ms FROM f)
+SELECT CAST(user_id AS VARCHAR) AS batch_id, CASE WHEN cancelled > 0 THEN 'cancelled' WHEN failed + open > 0 THEN 'failed' ELSE 'completed' END AS status, total, completed, failed + open AS failed, cancelled, open > 0 AS stale
+FROM b, w WHERE open = 0 OR epoch_ms(last_ts) + 7200000 < ms""")
+def stream_settled(spark, d):
+    """Each user's events as the files of a batch, clicks never ended; batches settle by their files or by the timer."""
+    path = scratch(spark, "stream")
+    status = F.when(F.col("event_type") == "click", "in_progress").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "cancelled").otherwise("completed")
+    kept = (F.col("event_type") != "signup") | (F.col("user_id") % 3 == 0)
+    totals = table(spark, d, "events").where(kept).groupBy("user_id").agg(F.count("*").alias("n_files"))
+    rows = _stream(spark, d, "events").where(kept).join(totals, "user_id")
+    rows = rows.select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("file_id"), status.alias("status"), "ts", "n_files")
+    jobs.settle_batches(rows, f"{path}/out", f"{path}/log", stale="2 hours", late="1 hour").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("batch_id", "status", "total", "completed", "failed", "cancelled", "stale")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS parent_doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
+def stream_distinct(spark, d):
+    """The whole table comes twice, in different batches; each document gives its chunks once."""
+    path = scratch(spark, "stream")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    for _ in range(2):
+        docs.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    lines = chunking.CharacterSplitter(size=0, overlap=0, separator="\n")
+    when = F.timestamp_seconds(F.col("doc_id") + 1_000_000_000)
+    jobs.ingest(spark, f"{path}/in", f"{path}/out", f"{path}/log", lines, schema=docs.schema, key="doc_id", ts=when, late="100000 days", files_a_batch=1).awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("parent_doc_id").agg(F.count("*").alias("n"))
