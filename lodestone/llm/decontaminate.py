@@ -4,7 +4,8 @@ Items are cut into windows of ``window`` words; the automaton holds each distinc
 document is scanned once, whatever the number of items. Matches are found in the normalised text and
 mapped to word numbers and to character offsets of the original.
 
-The item texts are broadcast, so their size is measured first: beyond ``block_bytes`` they are dealt
+The item texts are broadcast, and a worker's automaton takes some 370 bytes for each byte of them, as every word stands in many
+windows. So their size is measured first: beyond ``block_bytes``, 1 MB, which is below 0.4 GB a worker, they are dealt
 into blocks by hash and the documents, written once with numbers, are scanned once for each block; only
 numbers and hits are carried on. Nothing about the documents is ever gathered.
 """
@@ -133,7 +134,7 @@ def find_leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 1 << 20,
     offsets: bool = False,
 ) -> DataFrame:
     """Adds to each document what it shares with the benchmark items.

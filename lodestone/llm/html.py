@@ -8,7 +8,9 @@ element; elsewhere a list, table or section takes along the text that stands dir
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles count in
 neither pass; they are told by tag, role, class and id, inline elements too. A header inside an article is
-the article's own. A form that holds most of a page's text is none.
+the article's own. A form that holds most of a page's text is none. A container that only its class or id tells is
+none either if an article or main that isn't named so itself lies in it, as layouts are often called by what stands beside them; nor
+if without such containers the page has no text at all.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ _FORM = re.compile(r"<form\b", re.I)
 #: Characters of a tag that are looked at before all quotes of the page are; containers that are told apart below one another; characters of a path.
 _NEAR, _DEEP, _LONG = 400, 200, 400
 _CLEAN, _NOISE_OUTSIDE, _NOISY = 0, 1, 2
-_kinds: dict[tuple[str, str], tuple[str, int]] = {}
+_kinds: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
 
 @dataclass
@@ -76,8 +78,11 @@ class Block:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def kind(tag: str, attributes: str) -> tuple[str, int]:
-    """An element's step in a generalised path, and whether it is noise, or noise outside an article. Numbers in names become #."""
+def kind(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """An element's step in a generalised path, with all its classes, whether it is noise, or noise outside an article, and whether only its name says so.
+
+    Numbers in names become #. An article or main is no noise, but its name may say so.
+    """
     key = tag, attributes
     found = _kinds.get(key)
     if found is None:
@@ -88,8 +93,8 @@ def kind(tag: str, attributes: str) -> tuple[str, int]:
         noise = noise or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
         named = [n for n in names + ident if _NOISE.match(n) and not _LAYOUT.search(n)]
         level = _NOISY if noise or any(not _TITLE.match(n) for n in named) else _NOISE_OUTSIDE if named or tag == "header" else _CLEAN
-        step = tag + "".join(f".{re.sub(r'[0-9]+', '#', n)}" for n in sorted(set(names))[:4])
-        found = step, _CLEAN if tag in _NEVER_NOISE else level
+        step = tag + "".join(f".{re.sub(r'[0-9]+', '#', n)}" for n in sorted(set(names)))
+        found = step, _CLEAN if tag in _NEVER_NOISE else level, bool(named or tag == "header") and not noise
         if len(_kinds) > 20_000:
             _kinds.clear()
         if len(attributes) < 400:
@@ -123,12 +128,19 @@ def _lower_end(path: str, step: str) -> str:
 
 def read(html: str) -> tuple[list[str], list[Block]]:
     """The paths of a page's containers, by number, and its blocks in order, noise left out."""
+    first = _Reader(html, None)
+    paths, blocks = first.run()
+    layouts = first.holders
+    if first.n_named and not layouts and all(b.linked >= sum(map(len, b.parts)) for b in blocks):
+        layouts = set(range(first.n_named))
+    if layouts:
+        paths, blocks = _Reader(html, None, layouts).run()
     if not _FORM.search(html):
-        return _Reader(html, None).run()
+        return paths, blocks
     sizes: dict[int, int] = {}
-    for b in _Reader(html, None).run()[1]:
+    for b in blocks:
         sizes[b.form] = sizes.get(b.form, 0) + len(b.text())
-    return _Reader(html, {n for n, size in sizes.items() if n >= 0 and 2 * size > sum(sizes.values())}).run()
+    return _Reader(html, {n for n, size in sizes.items() if n >= 0 and 2 * size > sum(sizes.values())}, layouts).run()
 
 
 @dataclass(frozen=True)
@@ -141,17 +153,21 @@ class _Open:
     article: bool = False
     inside: tuple[int, ...] = ()
     form: int = -1
+    named: int = -1  # the number of the innermost container that only its name makes noise
 
 
 class _Reader:
-    """One pass over a page. Only the ``forms`` of these numbers, in order, are no noise, or with None all.
+    """One pass over a page. Only the ``forms`` of these numbers, in order, are no noise, or with None all; and ``layouts``, of the containers that only names make noise.
 
     Each tag is looked at once and the time grows with the page's length, broken markup included. Containers
     nested deeper than _DEEP count as the one around them.
     """
 
-    def __init__(self, html: str, forms: set[int] | None) -> None:
-        self.html, self.forms = html, forms
+    def __init__(self, html: str, forms: set[int] | None, layouts: frozenset[int] | set[int] = frozenset()) -> None:
+        self.html, self.forms, self.layouts = html, forms, layouts
+        self.n_named = 0
+        self.around: list[int] = []  # by number of such a container: the next one outwards
+        self.holders: set[int] = set()  # those around an article or main of another name
         self.paths: list[str] = []
         self.blocks: list[Block] = []
         self.stack = [_Open()]
@@ -240,9 +256,18 @@ class _Reader:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
                     break
         above = stack[-1]
-        step, level = kind(tag, attributes)
-        form = above.form
+        step, level, by_name = kind(tag, attributes)
+        form, named = above.form, above.named
         noise = level == _NOISY or (level == _NOISE_OUTSIDE and not above.article)
+        if noise and by_name:
+            self.around.append(named)
+            named, self.n_named = self.n_named, self.n_named + 1
+            noise = named not in self.layouts
+        if tag in ("article", "main") and not by_name:
+            outer = named
+            while outer >= 0 and outer not in self.holders:
+                self.holders.add(outer)
+                outer = self.around[outer]
         if tag == "form":
             if form < 0:
                 form, self.n_forms = self.n_forms, self.n_forms + 1
@@ -254,7 +279,7 @@ class _Reader:
             if not noisy:
                 inside = (*inside, len(self.paths))
                 self.paths.append(path)
-        stack.append(_Open(tag, path, noisy, above.article or tag in ("article", "main"), inside, form))
+        stack.append(_Open(tag, path, noisy, above.article or tag in ("article", "main"), inside, form, named))
         self.open[tag] += 1
         self.settle()
 

@@ -95,3 +95,42 @@ def test_quoted_ends():
     assert html.extract("<p title='a > b' class=\"x\">text</p>", None) == "text"
     assert html.extract("<p title='" + "long " * 200 + "> still'>text</p>", None) == "text"
     assert html.extract("<p title='open>text</p><p>more</p>", None) == "text\nmore"
+
+
+LAYOUTS = (
+    "class='site sidebar-right'", "class='layout sidebar-right'", "class='site nav-open'", "class='page header-fixed'", "class='row ad'", "class='search-results'", "class='widget-content'",
+    "class='story-header'", "class='page-notice'", "class='content related-post'", "class='post-toc'", "id='sidebar-layout'",
+)
+
+
+def test_layouts_named_by_what_stands_beside(spark):
+    """An article or main in a container whose name says noise; real noise beside it and around comments stays out."""
+    noise = "<div class='sidebar'><p>A long line beside the text, and more of it.</p></div><div class='comments'><article class='comment-body'><p>A reader says so.</p></article></div><div class='ad'><p>Buy it now.</p></div>"
+    pages, want = [], {}
+    for n, layout in enumerate(LAYOUTS):
+        for m, tag in enumerate(("article", "main", "article class='post'")):
+            body = f"<{tag}><h1>Title {n}</h1><p>One {m}.</p><p>Two.</p></{tag.split()[0]}>"
+            for k, page in enumerate((f"<div {layout}>{body}</div>{noise}", f"<div {layout}>{noise}<div class='inner'>{body}</div></div>", f"<div {layout}><div {layout}>{body}{noise}</div></div>")):
+                pages.append((n * 100 + m * 10 + k, f"http://host{n}.example/{m}{k}", f"<html><body><nav><a href='/'>Home</a></nav>{page}<footer>Foot</footer></body></html>"))
+                want[n * 100 + m * 10 + k] = f"Title {n}\nOne {m}.\nTwo."
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_no_page_becomes_empty_by_a_name():
+    assert html.extract("<body><div class='widget'><p>All the text that the page has.</p></div><nav><a href='/'>Home</a></nav></body>", None) == "All the text that the page has."
+    assert html.extract("<body><div class='widget'><p>Beside it.</p></div><div><p>Text.</p></div></body>", None) == "Text."
+
+
+def test_names_and_consensus_disagree(spark):
+    """The host's pages agree on a container that is named after an advert beside it; one page has a longer box of a clean name."""
+    page = lambda a, b: f"<body><div class='row ad'><main><p>{a}</p></main></div><div class='box'><p>{b}</p></div></body>"
+    pages = [(i, "http://h.example/x", page("text " * 30, "more " * 4)) for i in range(5)] + [(9, "http://h.example/y", page("short text", "more " * 60))]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got[9] == "short text" and got[0] == ("text " * 30).strip()
+
+
+def test_all_classes_of_a_step_count():
+    """Containers that differ in a fifth class are different ones."""
+    page = "<body><div class='a b c d main'><p>The text of the page, long enough.</p></div><div class='a b c d wide'><p>Junk</p></div></body>"
+    assert html.extract(page, None) == "The text of the page, long enough."
