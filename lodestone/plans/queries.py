@@ -8,17 +8,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import context
 from lodestone.functions import text as tx
 from lodestone.functions import vector as vx
-from lodestone.operators import aggregates, bm25, chunking, entities, filters, retrieval, search, validate
+from lodestone.operators import aggregates, bm25, changes, chunking, entities, filters, retrieval, search, validate
 from lodestone.operators.filters import Bool, Find, Range, Sorter, Term, Terms
 from lodestone.operators.segments import SegmentIndex
 from lodestone.plans import chains
 from lodestone.plans.lineage import scratch
+from lodestone.plans.tap import tap
+from lodestone.snapshots import SnapshotTable
 from lodestone.sources import ingest
 from lodestone.store import DocumentTable, VectorTable
 from lodestone.streaming import jobs
@@ -333,10 +336,16 @@ def bm25_segments(spark, d):
 # Texts
 
 
-@query("SELECT source, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS context_md5 FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5 GROUP BY source")
+_PACKS = """WITH RECURSIVE t AS (SELECT source, doc_id, text, coalesce(strlen(text), 0) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+p AS (SELECT source, doc_id, text, k, s AS held, 1::BIGINT AS pack FROM t WHERE k = 1
+UNION ALL SELECT t.source, t.doc_id, t.text, t.k, CASE WHEN p.held + t.s >= 5000 THEN t.s ELSE p.held + t.s END, CASE WHEN p.held + t.s >= 5000 THEN p.pack + 1 ELSE p.pack END FROM p JOIN t ON t.source = p.source AND t.k = p.k + 1) """
+
+
+@query(_PACKS + "SELECT source, pack, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS context_md5 FROM p GROUP BY source, pack")
 def combine_docs(spark, d):
-    first = retrieval.first_of(table(spark, d, "documents").select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], 5)
-    return aggregates.combine_documents(first, by=["source"]).select("source", tx.digest(F.col("context"), "md5").alias("context_md5"))
+    """All documents of each source as contexts of less than 5,000 bytes each, or one longer document."""
+    packed = chains.packs(table(spark, d, "documents").select("source", "doc_id", "text"), 5000, by="source", order="doc_id")
+    return aggregates.combine_documents(packed, by=["source", "pack"], order="doc_id").select("source", "pack", tx.digest(F.col("context"), "md5").alias("context_md5"))
 
 
 @query("SELECT conv_id, md5(string_agg(text || chr(10), '' ORDER BY turn)) AS context_md5 FROM conversations GROUP BY conv_id")
@@ -345,10 +354,7 @@ def combine_turns(spark, d):
     return aggregates.combine_documents(table(spark, d, "conversations"), by=["conv_id"], order="turn").select("conv_id", tx.digest(F.col("context"), "md5").alias("context_md5"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT source, doc_id, coalesce(strlen(text), 0) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-p AS (SELECT source, doc_id, k, s AS held, 1::BIGINT AS pack FROM t WHERE k = 1
-UNION ALL SELECT t.source, t.doc_id, t.k, CASE WHEN p.held + t.s >= 5000 THEN t.s ELSE p.held + t.s END, CASE WHEN p.held + t.s >= 5000 THEN p.pack + 1 ELSE p.pack END FROM p JOIN t ON t.source = p.source AND t.k = p.k + 1)
-SELECT source, doc_id, pack FROM p""")
+@query(_PACKS + "SELECT source, doc_id, pack FROM p")
 def greedy_packs(spark, d):
     return chains.packs(table(spark, d, "documents"), 5000, by="source", order="doc_id").select("source", "doc_id", "pack")
 
@@ -642,10 +648,10 @@ def guided_search(spark, d):
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id DESC) AS rank FROM documents)
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a WHERE rank <= 300 UNION ALL SELECT * FROM b WHERE rank <= 300) GROUP BY doc_id""")
 def fused_ranks(spark, d):
-    from lodestone.plans.lineage import numbered
-
     docs = table(spark, d, "documents").select("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id")).alias("down"), F.struct(F.col("n_chars"), -F.col("doc_id")).alias("up"))
-    found = retrieval.fused([numbered(docs, by, "rank").where("rank <= 300") for by in ("down", "up")], key="doc_id")
+    # The best 300 of each order, and then their places among them.
+    best = lambda by: docs.orderBy(by).limit(300).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)))
+    found = retrieval.fused([best(by) for by in ("down", "up")], key="doc_id")
     return found.select("doc_id", F.round("score", 9).alias("score"))
 
 
@@ -804,3 +810,68 @@ def stream_distinct(spark, d):
     when = F.timestamp_seconds(F.col("doc_id") + 1_000_000_000)
     jobs.ingest(spark, f"{path}/in", f"{path}/out", f"{path}/log", lines, schema=docs.schema, key="doc_id", ts=when, late="100000 days", files_a_batch=1).awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("parent_doc_id").agg(F.count("*").alias("n"))
+
+
+# JSON contexts, figures on the way, change sets, a vault
+
+
+@query("""SELECT event_id, CAST(props::JSON->>'$.k' AS INTEGER) AS k, '{"k":' || (props::JSON->>'$.k') || ',"type":"' || event_type || '"}' AS dumped, CAST(len(props::JSON->'$.a') AS INTEGER) AS missing FROM events""")
+def json_contexts(spark, d):
+    c = context.create(F.col("props"))
+    rows = table(spark, d, "events").select("event_id", c.alias("c"), "event_type")
+    return rows.select(
+        "event_id", context.required(F.col("c"), "$.k", "int").alias("k"), context.dumped(context.with_values(F.col("c"), type=F.col("event_type"))).alias("dumped"),
+        context.value(F.col("c"), "$.a", "int").alias("missing"),
+    )
+
+
+@query("""SELECT event_id FROM events WHERE (user_id % 3 <> 0 OR CAST(props::JSON->>'$.k' AS INTEGER) >= 50) AND (user_id % 2 <> 0 OR event_type = 'click')""")
+def optional_predicates(spark, d):
+    """Predicates that only some requests make: each event's request is a context by its user."""
+    asked = F.concat(
+        F.lit("{"), F.concat_ws(",", F.when(F.col("user_id") % 3 == 0, F.lit('"least": 50')), F.when(F.col("user_id") % 2 == 0, F.lit('"type": "click"')).otherwise(F.lit('"type": " "'))), F.lit("}")
+    )
+    rows = table(spark, d, "events").select("event_id", "event_type", context.create(F.col("props")).alias("c"), context.create(asked).alias("asked"))
+    k = context.value(F.col("c"), "$.k", "int")
+    by = context.optional(F.col("asked"), "$.least", "int", lambda x: k >= x) & context.optional(F.col("asked"), "$.type", "string", lambda x: F.col("event_type") == x)
+    return rows.where(by).select("event_id")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (label > 0) AS kept, count(*) FILTER (label <= 0) AS refused, count(*) FILTER (label > 0 AND embedding[1] > 0) AS positive FROM embeddings")
+def tap_search(spark, d):
+    """Figures of a search's scan, taken by the search itself."""
+    rows, scanned = tap(table(spark, d, "embeddings"), kept=F.col("label") > 0, refused=F.col("label") <= 0)
+    rows, left = tap(filters.where(rows, Range("label", 0)), positive=F.col("embedding")[0] > 0)
+    search.top_k(rows, PROBE, 10, vector="embedding", key="vec_id").write.format("noop").mode("overwrite").save()
+    figures = scanned.get | {"positive": left.get["positive"]}
+    names = ["rows", "kept", "refused", "positive"]
+    return spark.createDataFrame([tuple(figures[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
+@query("""WITH n AS (SELECT o_custkey AS k, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 0), -1) AS gone FROM orders GROUP BY 1),
+a AS (SELECT k, gone, bool_or(o_orderkey > gone AND o_orderkey % 5 = 0) AS born, max_by('c' || o_orderkey, o_orderkey) FILTER (o_orderkey > gone AND o_orderkey % 2 = 0) AS name FROM n JOIN orders ON o_custkey = k GROUP BY k, gone)
+SELECT c_custkey, CASE WHEN gone < 0 THEN coalesce(name, c_name) ELSE name END AS c_name, CASE WHEN gone < 0 OR gone IS NULL THEN c_mktsegment END AS c_mktsegment
+FROM customer LEFT JOIN a ON k = c_custkey WHERE gone IS NULL OR gone < 0 OR born""")
+def change_sets(spark, d):
+    """Each order is a change of its customer: deletes, inserts and renamings, in order of the order's number, as one commit of a table."""
+    orders = table(spark, d, "orders")
+    n = F.col("o_orderkey")
+    deletes = (F.col("o_orderstatus") == "F") & (n % 3 == 0)
+    op = F.when(deletes, "delete").when(n % 5 == 0, "insert").otherwise("update")
+    made = orders.select(F.col("o_custkey").alias("c_custkey"), op.alias("op"), n.alias("version"), F.when(~deletes & (n % 2 == 0), F.concat(F.lit("c"), n.cast("string"))).alias("c_name"))
+    kept = SnapshotTable(spark, scratch(spark, "changes"), table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").schema)
+    kept.append(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    changes.commit(kept, made, key="c_custkey")
+    return kept.read()
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE text IS NOT NULL")
+def vault_contents(spark, d):
+    """Every text is a file of the vault, fetched in one commit; contents whose digests fit."""
+    from lodestone.sources import vault
+
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("body"))
+    entries = docs.select("name", F.lit("sha256").alias("algorithm"), F.sha2("body", 256).alias("checksum"), F.create_map(F.lit("kind"), F.lit("text")).alias("metadata"))
+    kept = vault.FileVault(spark, scratch(spark, "vault"))
+    kept.get(entries, lambda r: r.join(docs.withColumnRenamed("body", "content"), "name"))
+    return kept.table.read().where(vault.digest_of(F.col("content"), F.col("algorithm")) == F.col("checksum")).select(F.col("name").cast("bigint").alias("doc_id"), "length")

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval
 from lodestone.operators.chunking import RecursiveSplitter, Splitter, split_documents
-from lodestone.operators.filters import Filter, Terms, where
+from lodestone.operators.filters import Filter, Term, Terms, where
 from lodestone.operators.segments import SegmentIndex
 from lodestone.plans.chains import Step, lines_of
-from lodestone.store import Added, DocumentTable, VectorTable
+from lodestone.store import Added, DocumentTable, Registry, VectorTable
 
 
 class Retriever(Protocol):
@@ -112,3 +112,62 @@ class KeywordRetriever:
         gone = where(self.documents.read(), by).select("id")
         self.index.remove(gone)
         return self.documents.delete_many(gone)
+
+
+class RetrieverOperator:
+    """Retrievers by instance: one vector table each, and one document table for all, told apart by ``vs_id``.
+
+    Documents are kept whole, or as parents of ``parent_size`` characters; what is searched are their children of ``child_size``
+    in ``length``, which counts characters or tokens.
+    """
+
+    def __init__(
+        self, registry: Registry, documents: DocumentTable, embed: Callable[[Column], Column], dimension: int, *, parent_size: int = 0, child_size: int = 800, child_overlap: int = 400,
+        length: Callable[[str], int] = len,
+    ) -> None:
+        missing = {"parent_doc_id", "vs_id"} - set(documents.fields.fieldNames())
+        if missing:
+            raise ValueError(f"the documents have no {', '.join(sorted(missing))}")
+        if not 0 <= child_overlap <= child_size or child_size < 1 or 0 < parent_size <= child_size:
+            raise ValueError("children are longer than what they share, and parents longer than children")
+        self.registry, self.documents, self.embed, self.dimension = registry, documents, embed, dimension
+        self.parent_size, self.children = parent_size, chunk_children(RecursiveSplitter(size=child_size, overlap=child_overlap, length=length))
+
+    def provision(self, instance: str) -> VectorTable:
+        return self.registry.create(instance, self.embed, self.dimension, self.documents.fields)
+
+    def cleanup(self, instance: str) -> bool:
+        """Deletes an instance's documents and its vectors; whether there was such an instance."""
+        self.documents.delete_where(Term("vs_id", instance))
+        return self.registry.remove(instance)
+
+    def writer(self, instance: str) -> MultiVectorRetriever:
+        """The retriever that takes documents in."""
+        vectors = self.registry.load(instance, self.embed, self.dimension)
+        if vectors is None:
+            raise ValueError(f"no instance {instance}")
+        return _Tenant(self.documents, vectors, self.children, instance, self.parent_size)
+
+    def reader(self, instances: Sequence[str], score: Column) -> Callable[..., DataFrame]:
+        """``search(query, k)`` over several instances: the documents of one as they come, of more all those found, reranked by ``score``."""
+        if not instances:
+            raise ValueError("no instances")
+        each = [self.writer(i) for i in instances]
+        return lambda query, k=10: retrieval.multi_path([r.retrieve(query, k) for r in each], score, k)
+
+
+class _Tenant(MultiVectorRetriever):
+    """Of the shared documents those of one instance."""
+
+    def __init__(self, documents: DocumentTable, vectors: VectorTable, children: Step, instance: str, parent_size: int) -> None:
+        super().__init__(documents, vectors, children)
+        self.instance, self.parent_size = instance, parent_size
+
+    def ingest(self, docs: DataFrame) -> Added:
+        if self.parent_size:
+            docs = split_documents(docs, RecursiveSplitter(size=self.parent_size, overlap=0))
+        return super().ingest(docs.withColumn("vs_id", F.lit(self.instance)))
+
+    def retrieve(self, query: Sequence[float], k: int = 0, by: Filter | None = None) -> DataFrame:
+        own = where(self.documents.read(), Term("vs_id", self.instance))
+        return retrieval.ranked_parents(self.vectors.search(query, k, by), own)

@@ -120,11 +120,28 @@ def reader_for(name: str, *, strict: bool = False) -> Callable[..., DataFrame] |
     return found
 
 
-def directory(spark: SparkSession, path: str, *, recursive: bool = True, pattern: str | None = None, types: Sequence[str] = ("txt", "md", "docx")) -> DataFrame:
-    """Documents of all files below ``path`` whose full path matches ``pattern`` somewhere.
+def _mapped_rows(spark: SparkSession, path: str, mapping: str, **options: str) -> DataFrame:
+    """The mapped text columns of Parquet files of any other columns, numbered inside each file; ``file_source`` is the file."""
+    columns = column_mapping(mapping)
+    rows = spark.read.options(**options).parquet(path)
+    texts = F.concat(*(F.col(f"`{rows.columns[i]}`").cast("string") for i, kind, _, _ in columns if kind == "text"))
+    found = rows.select(texts.alias("text"), F.struct(F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i")).alias("o"))
+    found = numbered(found, "o", "_n").select("text", F.col("o.p").alias("p"), "_n")
+    first = found.groupBy("p").agg(F.min("_n").alias("_first"))
+    return preset(found.join(first, "p"), F.col("_n") - F.col("_first") + 1, F.col("p"))
+
+
+def directory(spark: SparkSession, path: str, *, recursive: bool = True, pattern: str | None = None, types: Sequence[str] = ("txt", "md", "docx"), mapping: str = "0:t") -> DataFrame:
+    """Documents of all files below ``path`` whose full path matches ``pattern`` somewhere; rows of Parquet files by ``mapping``.
 
     Each reader scans its own types, found by Spark's listing; no names reach the driver's Python.
     """
+    if "parquet" in (t.lower() for t in types):
+        rows = _mapped_rows(spark, path, mapping, recursiveFileLookup=str(recursive).lower(), pathGlobFilter="*.[pP][aA][rR][qQ][uU][eE][tT]")
+        rest = [t for t in types if t.lower() != "parquet"]
+        if rest:
+            rows = rows.unionByName(directory(spark, path, recursive=recursive, types=rest))
+        return rows.where(F.col("file_source").rlike(pattern)) if pattern else rows
     groups: dict[Callable, list[str]] = {}
     for t in types:
         groups.setdefault(reader_for(t, strict=True), []).append("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in t))
