@@ -116,19 +116,62 @@ def combined_messages(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
 
 
+def uuid() -> Column:
+    """A random UUID for each row; store it before it is read twice."""
+    return F.uuid()
+
+
+def random_integer(low: int, high: int, seed: int | None = None) -> Column:
+    """A whole number from ``low`` to ``high``, both included."""
+    if low > high:
+        raise ValueError(f"{low} is above {high}")
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("bigint")
+
+
+def random_text(length: int, letters: str = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", seed: int | None = None) -> Column:
+    """``length`` letters, each drawn alone."""
+    draw = lambda i: F.substring(F.lit(letters), F.floor(F.rand(None if seed is None else seed + i) * len(letters)).cast("int") + 1, 1)
+    return F.concat(*(draw(i) for i in range(length))) if length else F.lit("")
+
+
+def sql_quoted(text: Column) -> Column:
+    """A text as an SQL literal: quotes doubled, between quotes."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 _ARITHMETIC = re.compile(r"^[\d\s.+\-*/%^(),a-z_]*$")
 _MATHS = frozenset("abs ceil floor sqrt exp ln log10 pow sin cos tan round least greatest".split())
 
 
+def _operand(text: str, step: int) -> str:
+    """The number, bracket or call that ``text`` ends with (step -1) or begins with (1), white space at that side included."""
+    bare = text.rstrip() if step < 0 else text.lstrip()
+    gap, depth, size = len(text) - len(bare), 0, 0
+    opens, closes = (")", "(") if step < 0 else ("(", ")")
+    if step > 0 and bare[:1] in ("-", "+"):
+        size = 1
+    while size < len(bare):
+        c = bare[size] if step > 0 else bare[-1 - size]
+        if c == closes and not depth:
+            break
+        if not depth and not (c.isalnum() or c in "._" or c == opens):
+            break
+        depth += (c == opens) - (c == closes)
+        size += 1
+    size += gap
+    return text[:size] if step > 0 else text[len(text) - size :]
+
+
 def arithmetic(expression: str) -> Column:
     """A column for an arithmetic expression of numbers, ``+ - * / % ^ **`` and a few functions; anything else is refused."""
     text = expression.lower().strip()
     if not text or not _ARITHMETIC.match(text) or set(re.findall(r"[a-z_]+", text)) - _MATHS:
         raise ValueError(f"not an arithmetic expression: {expression!r}")
-    atom = r"(?:\d+\.?\d*|\([^()]*\))"
     text = text.replace("**", "^")
-    while "^" in text:
-        text, n = re.subn(rf"({atom})\s*\^\s*({atom})", r"pow(\1, \2)", text, count=1)
-        if not n:
+    while "^" in text:  # the last power first, so that powers bind to the right
+        at = text.rindex("^")
+        left, right = _operand(text[:at], -1), _operand(text[at + 1 :], 1)
+        if not left.strip() or not right.strip():
             raise ValueError(f"can't read the power in {expression!r}")
+        text = f"{text[: at - len(left)]}pow({left}, {right}){text[at + 1 + len(right) :]}"
     return F.expr(re.sub(r"(?<![\w.])(\d+)(?![\w.])", r"\1.0D", text))

@@ -8,6 +8,7 @@ pieces are remembered, so that each is merged once in a worker.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
@@ -396,6 +397,36 @@ def load_ranks(path: str, pattern: str = GPT2_PATTERN) -> Ranks:
         return Ranks({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}, pattern)
 
 
+def _byte_names() -> dict[str, int]:
+    """The printable character that stands for each byte in a GPT-2 vocabulary: itself where it is one, else the next beyond 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def load_merges(spark: SparkSession, merges: str, ids: str, pattern: str = GPT2_PATTERN) -> Ranks:
+    """A GPT-2 vocabulary of a file of merges and a JSON file of ids, read by Spark; an error where the two don't agree.
+
+    Ids below 256 are bytes in the order of their printable characters, then one for each merge, then specials, which are left out.
+    """
+    named = _byte_names()
+    lines = [r["value"] for r in spark.read.text(merges, wholetext=True).collect()][0].split("\n")
+    pairs = [tuple(x.split(" ")) for x in lines if x.strip() and not x.startswith("#version")]
+    if any(len(p) != 2 for p in pairs):
+        raise ValueError(f"a line of {merges} isn't a pair")
+    bytes_of = lambda token: bytes(named[c] for c in token)
+    ranks = {bytes([b]): i for i, b in enumerate(named.values())}
+    for left, right in pairs:
+        if bytes_of(left) not in ranks or bytes_of(right) not in ranks:
+            raise ValueError(f"{left} {right} merges what isn't there yet")
+        ranks[bytes_of(left) + bytes_of(right)] = len(ranks)
+    found = json.loads(spark.read.text(ids, wholetext=True).first()["value"])
+    plain = {bytes_of(t): i for t, i in found.items() if not (t.startswith("<|") and t.endswith("|>"))}
+    if plain != ranks:
+        raise ValueError(f"{merges} and {ids} differ in {len(set(plain.items()) ^ set(ranks.items()))} tokens")
+    return Ranks(ranks, pattern)
+
+
 def load_pieces(path: str) -> Pieces:
     """A piece model file as a tokenizer; the scores of merging models are whole numbers."""
     import sentencepiece

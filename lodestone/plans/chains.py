@@ -48,6 +48,11 @@ def split_branch(condition: Column, then: Step, otherwise: Step) -> Step:
     return lambda df: df.where(sure).transform(then).unionByName(df.where(~sure).transform(otherwise), allowMissingColumns=True)
 
 
+def typed_chain(read: Callable[[DataFrame], dict[str, Column]], template: str, answer: Answer, write: Callable[[Column], Column], *, name: str = "output") -> Step:
+    """Adds an answer: ``read`` gives the prompt's values from a row's columns, ``write`` makes a typed value of the model's text."""
+    return lambda df: df.withColumn(name, write(answer(prompt(template, **read(df)))))
+
+
 def prompt(template: str, **values: Column) -> Column:
     return formatted(template, **values)
 

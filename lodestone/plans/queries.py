@@ -500,16 +500,28 @@ def chat_memory_window(spark, d):
     return chains.chat_memory(table(spark, d, "conversations"), 3).select("conv_id", "turn", "history")
 
 
-@query("""WITH q AS (SELECT conv_id, turn, text, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history, role FROM conversations),
-f AS (SELECT doc_id % 40 AS shelf, string_agg(text || chr(10), '' ORDER BY doc_id) AS context FROM documents WHERE lang = 'en' AND text IS NOT NULL GROUP BY 1)
+def _letters(text: str) -> str:
+    """A vector of how often each letter a to z stands in a text, as SQL."""
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace(replace({text}, '{c}', ''), '{c.upper()}', '')) AS DOUBLE)" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history, role FROM conversations),
+u AS (SELECT *, {_letters('text')} AS v FROM q WHERE role = 'user'),
+e AS (SELECT doc_id, text, {_letters('text')} AS v FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+s AS (SELECT u.conv_id, u.turn, e.doc_id, e.text, {_cos('u.v', 'e.v')} AS s FROM u, e WHERE list_sum(u.v) > 0 AND list_sum(e.v) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s),
+f AS (SELECT conv_id, turn, string_agg(text || chr(10), '' ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY conv_id, turn)
 SELECT conv_id, turn, CASE WHEN history = '' THEN text ELSE md5('Chat history:' || chr(10) || history || chr(10) || 'Follow-up question: ' || text || chr(10) || 'Standalone question:') END AS asked,
-md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || 'Question: ' || asked || chr(10) || 'Answer:') AS answer FROM q LEFT JOIN f ON conv_id % 40 = shelf WHERE role = 'user'""")
+md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || 'Question: ' || asked || chr(10) || 'Answer:') AS answer FROM u LEFT JOIN f USING (conv_id, turn)""")
 def rag_prompt(spark, d):
-    """Each question is answered from the English documents of its conversation's shelf."""
+    """Each question is answered from the three English documents most like it, found by vector search for all questions at once."""
+    letters = lambda t: F.array(*((F.length(t) - F.length(F.translate(t, c + c.upper(), ""))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
     asked = chains.chat_memory(table(spark, d, "conversations"), 3).where("role = 'user'").withColumnRenamed("text", "question")
-    docs = filters.where(table(spark, d, "documents").where("text is not null"), Term("lang", "en")).withColumn("shelf", F.col("doc_id") % 40)
-    shelves = aggregates.combine_documents(docs, by=["shelf"], order="doc_id")
-    retrieve = lambda df: df.join(shelves, F.col("conv_id") % 40 == F.col("shelf"), "left")
+    asked = asked.withColumn("q", F.concat_ws("/", "conv_id", "turn"))
+    docs = filters.where(table(spark, d, "documents").where("text is not null"), Term("lang", "en")).select("doc_id", "text")
+    best = search.top_k_batch(docs.select("doc_id", letters(F.col("text")).alias("vector")), asked.select(F.col("q").alias("query_id"), letters(F.col("question")).alias("vector")), 3, key="doc_id")
+    contexts = aggregates.combine_documents(best.join(docs, "doc_id"), by=["query_id"], order="rank")
+    retrieve = lambda df: df.join(contexts, F.col("q") == F.col("query_id"), "left")
     found = chains.rag(asked, retrieve, lambda p: tx.digest(p, "md5"), lambda p: tx.digest(p, "md5"), history="history")
     return found.select("conv_id", "turn", "asked", "answer")
 

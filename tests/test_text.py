@@ -234,3 +234,47 @@ def test_urls_and_patterns(spark):
     assert one(spark, u)[0].asDict() == {"scheme": "http", "host": "host.example", "port": 8080, "path": "/a/b", "query": "x=1&y=2"}
     assert one(spark, tx.url_parts(F.lit("no url")), tx.url_of(F.lit("http"), F.lit("h"), F.lit("/p"), F.lit(None), F.lit("a=1"))) == (None, "http://h/p?a=1")
     assert one(spark, tx.query_string(a=F.lit("x y"), b=F.lit(None), c=F.lit(3)), tx.regex_escaped(F.lit("a.b(c)[d]\\"))) == ("a=x+y&c=3", r"a\.b\(c\)\[d\]" + "\\\\")
+
+
+def test_powers_bind_to_the_right(spark):
+    from lodestone.functions import text as tx
+
+    for given, want in (("2**3**2", 512), ("2 * (3 + 4) ** 2 - sqrt(16)", 94), ("(1+1)^(1+2)", 8), ("2^-1", 0.5), ("sqrt(16)^2", 16), ("2^abs(-3)", 8), ("10 - 2^2^0", 8)):
+        assert spark.range(1).select(tx.arithmetic(given)).first()[0] == want, given
+    for bad in ("2^", "^2", "2**", "drop table", ""):
+        with pytest.raises(ValueError):
+            tx.arithmetic(bad)
+
+
+def test_random_and_quoted(spark):
+    from lodestone.functions import text as tx
+
+    rows = spark.range(300).select(tx.uuid().alias("u"), tx.random_integer(3, 5).alias("i"), tx.random_text(6, "ab", 1).alias("t"), tx.sql_quoted(F.lit("it's")).alias("q")).collect()
+    assert len({r["u"] for r in rows}) == 300 and {r["i"] for r in rows} == {3, 4, 5} and all(len(r["t"]) == 6 and set(r["t"]) <= set("ab") for r in rows) and len({r["t"] for r in rows}) > 30
+    assert rows[0]["q"] == "'it''s'"
+
+
+def test_gpt2_files(spark, tmp_path):
+    """A vocabulary of merges learnt here, written as the two files and read again; files that don't agree are refused."""
+    import json
+
+    texts = ["low lower lowest newer newest wide wider naïve 日本"] * 3
+    learnt = tokenizing.train(spark.createDataFrame(list(enumerate(texts)), "o int, text string"), 256 + 12, order="o")
+    words, shown = learnt.vocabulary(), {b: c for c, b in tokenizing._byte_names().items()}
+    name = lambda x: "".join(shown[b] for b in x)
+    (tmp_path / "m").write_text("#version: 0.2\n" + "\n".join(f"{name(words[a])} {name(words[b])}" for a, b in learnt.merges) + "\n")
+    ids = {c: i for i, c in enumerate(tokenizing._byte_names())} | {name(words[256 + i]): 256 + i for i in range(12)} | {"<|endoftext|>": 268}
+    (tmp_path / "v").write_text(json.dumps(ids))
+    ranks = tokenizing.load_merges(spark, str(tmp_path / "m"), str(tmp_path / "v"))
+    for t in [*texts, "lowest of all\n\x00 é"]:
+        assert [ranks.decode([i]) for i in ranks.encode(t)] == [learnt.decode([i]) for i in learnt.encode(t)] and ranks.decode(ranks.encode(t)) == t
+    (tmp_path / "v").write_text(json.dumps(ids | {"lo": 5}))
+    with pytest.raises(ValueError):
+        tokenizing.load_merges(spark, str(tmp_path / "m"), str(tmp_path / "v"))
+
+
+def test_typed_chain(spark):
+    from lodestone.plans import chains
+
+    step = chains.typed_chain(lambda df: {"a": df["x"], "b": df["y"]}, "{a}+{b}", lambda p: F.concat(F.lit('the answer: {"sum": "'), p, F.lit('"}')), lambda t: chains.parsed(t, "sum string"))
+    assert step(spark.createDataFrame([(1, 2)], "x int, y int")).first()["output"]["sum"] == "1+2"
