@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -31,9 +33,22 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+_owned: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing else uses, in the application's own folder, which goes when the application ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_delete, at.getFileSystem(spark._jsc.hadoopConfiguration()), at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(fs, at) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        fs.delete(at, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
