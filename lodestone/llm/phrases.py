@@ -64,7 +64,7 @@ def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Sums:
     """Phrases of ``n`` words and how often they occur, of consecutive texts of one task, given out when there are many."""
 
-    def __init__(self, n: int, grown: Grown | None, most: int = 1_200_000) -> None:
+    def __init__(self, n: int, grown: Grown | None, most: int = 500_000) -> None:
         self.n, self.grown, self.most = n, grown, most
         self.langs: dict[str, int] = {}
         self.held: list[tuple[np.ndarray, pa.Array]] = []
@@ -148,8 +148,9 @@ def _counter(n: int, shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums(n, shared.value if shared is not None else None)
         for batch in batches:
-            for at, text in parts(batch.column(1), 4 << 20):
+            for at, text in parts(batch.column(1), 2 << 20):
                 yield from sums.add(batch.column(0).slice(at, len(text)), text)
+            released()
         yield from sums.out()
 
     return run
