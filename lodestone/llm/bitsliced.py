@@ -101,7 +101,7 @@ def _indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blank = dict.fromkeys(_FOUND.names)
     for batch in batches:
         keys = batch.column(0).to_numpy()
-        for first, text in parts(batch.column(1), 4 << 20):
+        for first, text in parts(batch.column(1), 2 << 20):
             terms, row, term, tf = counted(text)
             held = np.bincount(term, minlength=len(terms))
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(terms), _FOUND.field(i).type) for i in range(4)), terms.cast(pa.string()), pa.array(held)], schema=_FOUND)
@@ -248,7 +248,7 @@ def _reaching(shared, floors: np.ndarray):
 def exact(q: Asked, text: pa.Array, wanted: list[list[int]]) -> list[list[tuple[int, int]]]:
     """For each text (item, score) of the items wanted of it, those above zero."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(text))]
-    for first, some in parts(text, 4 << 20):
+    for first, some in parts(text, 2 << 20):
         terms, row, term, tf = counted(some)
         own = np.array([q.terms.get(t, -1) for t in terms.cast(pa.binary()).to_pylist()], np.int64)
         edge = np.searchsorted(row, np.arange(len(some) + 1))
