@@ -160,10 +160,10 @@ def summaries(texts: DataFrame, summarise: Answer, limit: int, *, by: str = "fil
     """``by, summary``: a tree of summaries for each group.
 
     Each level summarises every text, joins neighbours into ``packs`` of less than ``limit`` bytes of summaries, and summarises each pack,
-    until a group is one text. A level is a pass over all groups together, written before the next. Where
+    until a group is one text. A level is a pass over all groups that aren't, written before the next. Where
     summaries are so long that no pack of a group holds two, the level joins them in pairs, so every level gets shorter.
     """
-    here = cut_lineage(texts.select(F.col(by).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t")))
+    here, done = cut_lineage(texts.select(F.col(by).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t"))), None
     while True:
         each = packs(here.select("g", "o", summarise(F.col("t")).alias("t")), limit, by="g", order="o", text="t")
         sizes = each.groupBy("g").agg(F.count("*").alias("n"), F.max("pack").alias("most")).withColumnRenamed("g", "sg")
@@ -171,10 +171,14 @@ def summaries(texts: DataFrame, summarise: Answer, limit: int, *, by: str = "fil
         each = each.join(sizes, F.col("g").eqNullSafe(F.col("sg"))).select("g", "o", "t", F.when(alone, F.floor((F.col("pack") + 1) / 2)).otherwise(F.col("pack")).alias("p"))
         joined = each.groupBy("g", "p").agg(F.array_join(ordered(F.col("t"), F.col("o")), "\n").alias("t"))
         after = cut_lineage(joined.select("g", F.col("p").alias("o"), summarise(F.col("t")).alias("t")))
+        left = after.groupBy("g").agg(F.count("*").alias("n")).withColumnRenamed("g", "sg")
+        after = cut_lineage(after.join(left, F.col("g").eqNullSafe(F.col("sg"))).select("g", "o", "t", "n"))
+        ended = after.where("n = 1").select(F.col("g").alias(by), F.col("t").alias("summary"))
+        done = ended if done is None else done.union(ended)
         discard(here)
-        here = after
-        if here.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return here.select(F.col("g").alias(by), F.col("t").alias("summary"))
+        here = cut_lineage(after.where("n > 1").drop("n"))
+        if here.isEmpty():
+            return done
 
 
 def ready_tasks(tasks: DataFrame, *, key: str = "index", needs: str = "dependencies", done: str = "done") -> DataFrame:

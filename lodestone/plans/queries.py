@@ -359,6 +359,14 @@ def greedy_packs(spark, d):
     return chains.packs(table(spark, d, "documents"), 5000, by="source", order="doc_id").select("source", "doc_id", "pack")
 
 
+@query("""WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS o, text AS t, count(*) OVER (PARTITION BY conv_id) AS n, 0 AS level FROM conversations
+UNION ALL SELECT conv_id, (o - 1) // 3 + 1 AS o, md5(string_agg(md5(t), chr(10) ORDER BY o)) AS t, any_value((n + 2) // 3) AS n, 1 AS level FROM l WHERE n > 1 OR level = 0 GROUP BY conv_id, (o - 1) // 3 + 1)
+SELECT conv_id, t AS summary FROM l WHERE level = 1 AND n = 1""")
+def summary_tree(spark, d):
+    """Every conversation as a tree of digests in place of summaries, 32 bytes each, so that a pack of less than 100 takes three."""
+    return chains.summaries(table(spark, d, "conversations"), lambda t: F.md5(t.cast("binary")), 100, by="conv_id", order="turn")
+
+
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat_history FROM conversations GROUP BY conv_id")
 def combine_messages(spark, d):
     return aggregates.combine_messages(table(spark, d, "conversations"), by=["conv_id"])
