@@ -67,7 +67,7 @@ def build(
 ) -> Index:
     """Null texts have no words and length 0. Counting is summed in the tasks before it is shuffled.
 
-    The index is written below ``path``, by default below the shared folder. More ``folders`` let a query
+    The index is written below ``path``, by default in the folder that goes when the application ends. More ``folders`` let a query
     read less of a large index. A folder's rows are dealt to as many tasks as there are shuffle partitions,
     so that no common term is one task's alone.
     """
