@@ -23,3 +23,9 @@ def test_changes_of_customers_without_orders(spark, small, tmp_path):
     orders = f"select o_orderkey, o_custkey, o_orderstatus {some} union all select o_orderkey + 1000000, o_custkey + 1000000, o_orderstatus {some} union all select 5, null, 'O'"
     got, want = compared(spark, "change_sets", tmp_path, customer=f"from '{small}/customer.parquet'", orders=orders)
     assert got == want and any(r[1] is None and r[2] is not None for r in got)
+
+
+def test_alike_up_to_rounding_and_many_copies(spark, small, tmp_path):
+    docs = "select 100000 - i as doc_id, repeat(substr('then which other ', 1 + i % 3, 5 + i % 7), 1 + i % 50) as text, 'en' as lang from range(3000) t(i) union all select 200000, null, 'en'"
+    got, want = compared(spark, "rag_prompt", tmp_path, documents=docs, conversations=f"from '{small}/conversations.parquet' where conv_id < 5")
+    assert len(got) > 5 and got == want
