@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.stem import stem, stems
 from lodestone.functions.text import ACCENTED, PLAIN, strip_accents
@@ -31,13 +35,54 @@ ENGLISH = frozenset(
 )
 
 
+def _spaced(text: Column, ignore: str) -> Column:
+    """Words without accents, in lower case, with spaces between them."""
+    return F.regexp_replace(F.lower(strip_accents(text)), ignore, " ")
+
+
 def tokens(text: Column, stopwords: frozenset[str] = frozenset(), ignore: str = IGNORE, stemming: bool = False) -> Column:
     """Words without accents, in lower case, no stop words, as stems if asked for; what ``ignore`` matches separates them."""
-    words = F.split(F.regexp_replace(F.lower(strip_accents(text)), ignore, " "), " ")
+    words = F.split(_spaced(text, ignore), " ")
     words = F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords) if stopwords else w != "")
     return stems(words) if stemming else words
 
 
+_ACCENTS, _LETTERS, _IGNORED = str.maketrans(ACCENTED, PLAIN), re.compile("[a-z]+"), re.compile(IGNORE)
+
+
+def _plain_words(text: str) -> list[str]:
+    """The words of a text that ``IGNORE`` leaves."""
+    text = text.lower() if text.isascii() else text.translate(_ACCENTS).lower()
+    return _IGNORED.sub(" ", text).split(" ") if "\\" in text else _LETTERS.findall(text)
+
+
+def counted(text: Column, stopwords: frozenset[str] = frozenset(), ignore: str = IGNORE, stemming: bool = False) -> Column:
+    """``length, terms, tfs``: how many words ``tokens`` gives of a text, the distinct ones, and how often each is there; of a null text none."""
+
+    @F.arrow_udf(T.StructType().add("length", "long").add("terms", T.ArrayType(T.StringType())).add("tfs", T.ArrayType(T.IntegerType())))
+    def counts(column: pa.Array) -> pa.Array:
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        lengths, terms, tfs, ends = [], array("i"), array("i"), [0]
+        for t in column:
+            found = Counter(_plain_words(t.as_py() or "") if ignore == IGNORE else (t.as_py() or "").split(" "))
+            for w in ("", *stopwords) if len(stopwords) < len(found) else [w for w in found if not w or w in stopwords]:
+                found.pop(w, None)
+            if stemming:
+                plain, found = found, Counter()
+                for w, n in plain.items():
+                    found[stem(w)] += n
+            terms.extend(map(numbers.__getitem__, found))
+            tfs.extend(found.values())
+            lengths.append(found.total())
+            ends.append(len(terms))
+        at, words = pa.array(ends, pa.int32()), pa.array(list(numbers), pa.string())
+        lists = [pa.ListArray.from_arrays(at, words.take(pa.array(terms, pa.int32()))), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))]
+        return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), *lists], ["length", "terms", "tfs"])
+
+    return counts(text if ignore == IGNORE else _spaced(text, ignore))
+
+
 def query_tokens(query: str, stopwords: frozenset[str] = frozenset(), ignore: str = IGNORE, stemming: bool = False) -> list[str]:
     """The distinct words of a query, as ``tokens`` makes them, in order."""
     plain = query.translate(str.maketrans(ACCENTED, PLAIN)).lower()
@@ -65,18 +110,18 @@ def build(
     docs: DataFrame, *, text: str = "text", key: str = "id", stopwords: frozenset[str] = frozenset(), ignore: str = IGNORE, stemming: bool = False,
     folders: int = 16, path: str | None = None,
 ) -> Index:
-    """Null texts have no words and length 0. Counting is summed in the tasks before it is shuffled.
+    """Null texts have no words and length 0. A text's words are counted where it is read, so nothing is shuffled.
 
     The index is written below ``path``, by default in the folder that goes when the application ends. More ``folders`` let a query
-    read less of a large index. A folder's rows are dealt to as many tasks as there are shuffle partitions,
+    read less of a large index. A folder's rows are dealt to as many tasks as read the documents,
     so that no common term is one task's alone.
     """
     spark = docs.sparkSession
     path = (path or scratch(spark, "bm25")).rstrip("/")
-    words = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit("")), stopwords, ignore, stemming).alias("w"))
-    words = cut_lineage(words.withColumn("length", F.size("w").cast("bigint")), "bm25-words")
+    words = docs.select(F.col(key).alias("id"), counted(F.col(text), stopwords, ignore, stemming).alias("w"))
+    words = cut_lineage(words.select("id", "w.length", F.arrays_zip("w.terms", "w.tfs").alias("w")), "bm25-words")
     words.select("id", "length").write.parquet(f"{path}/lengths")
-    terms = words.select("id", "length", F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    terms = words.select("id", "length", F.explode("w").alias("w")).select("id", "length", F.col("w.terms").alias("term"), F.col("w.tfs").cast("bigint").alias("tf"))
     terms = terms.withColumn("folder", _folder(F.col("term"), folders))
     terms.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/terms")
     discard(words)

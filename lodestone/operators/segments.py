@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.bm25 import ENGLISH, IGNORE, query_tokens, tokens
+from lodestone.operators.bm25 import ENGLISH, IGNORE, counted, query_tokens
 from lodestone.plans.lineage import cut_lineage, discard
 from lodestone.snapshots import Conflict, SnapshotTable
 
@@ -155,14 +155,9 @@ class SegmentIndex:
 
     def ingest(self, docs: DataFrame) -> int:
         """Takes in documents with new ids; gives their number. Null texts count as documents without words."""
-        words = tokens(F.coalesce(F.col(self.text), F.lit("")), self.stopwords, self.ignore, self.stemming)
+        words = counted(F.col(self.text), self.stopwords, self.ignore, self.stemming)
         rows = docs.select(F.col(self.key).cast(self.id_type).alias("id"), words.alias("w"))
-        # Counts are lengths of runs of the sorted words.
-        starts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | (F.element_at("s", i) != F.element_at("s", F.greatest(i - 1, F.lit(1)))))
-        rows = rows.select("id", F.size("w").cast("bigint").alias("length"), F.array_sort("w").alias("s"))
-        rows = rows.withColumn("at", F.when(F.size("s") > 0, starts).otherwise(F.array().cast("array<int>")))
-        ends = F.transform("at", lambda x, i: F.coalesce(F.get("at", i + 1), F.size("s") + 1) - x)
-        return self._write(rows.select("id", "length", F.map_from_arrays(F.transform("at", lambda i: F.element_at("s", i)), ends).alias("words")), [], None)
+        return self._write(rows.select("id", "w.length", F.map_from_arrays("w.terms", "w.tfs").alias("words")), [], None)
 
     def _write(self, rows: DataFrame, replaced: list[str], base: State | None) -> int:
         segment = uuid.uuid4().hex

@@ -1,7 +1,11 @@
 """Queries over tables that the given ones don't hold the like of, against their SQL, and operators over larger batches."""
 
+from collections import Counter
+
 import duckdb
+from pyspark.sql import functions as F
 
+from lodestone.operators import bm25
 from lodestone.plans.queries import QUERIES, SQL
 from tests.test_queries import plain
 
@@ -29,3 +33,15 @@ def test_alike_up_to_rounding_and_many_copies(spark, small, tmp_path):
     docs = "select 100000 - i as doc_id, repeat(substr('then which other ', 1 + i % 3, 5 + i % 7), 1 + i % 50) as text, 'en' as lang from range(3000) t(i) union all select 200000, null, 'en'"
     got, want = compared(spark, "rag_prompt", tmp_path, documents=docs, conversations=f"from '{small}/conversations.parquet' where conv_id < 5")
     assert len(got) > 5 and got == want
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    texts = ["Élan élan, a\\nb x_y", "İstanbul KKelvin ẞ ﬁ", "", None, "the other the thé", "\\\\a \\\r b", "running runs \U0001f600ran"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for stopwords, ignore, stemming in ((frozenset(), bm25.IGNORE, False), (bm25.ENGLISH, bm25.IGNORE, True), (frozenset({"a"}), "[^a-z0-9é]+", False)):
+        own = bm25.tokens(F.coalesce("text", F.lit("")), stopwords, ignore, stemming)
+        rows = docs.select("id", own.alias("w"), bm25.counted(F.col("text"), stopwords, ignore, stemming).alias("c"))
+        for r in rows.collect():
+            assert r["c"]["length"] == len(r["w"]) and dict(zip(r["c"]["terms"], r["c"]["tfs"], strict=True)) == Counter(r["w"]), r
+    plan = docs.select(bm25.counted(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
