@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,3 +179,13 @@ def arithmetic(expression: str) -> Column:
             raise ValueError(f"can't read the power in {expression!r}")
         text = f"{text[: at - len(left)]}pow({left}, {right}){text[at + 1 + len(right) :]}"
     return F.expr(re.sub(r"(?<![\w.])(\d+)(?![\w.])", r"\1.0D", text))
+
+
+def in_stretches(batches: Iterator[pa.Array], make: Callable[[pa.Array], pa.Array], most: int = 1 << 20) -> Iterator[pa.Array]:
+    """``make`` of Arrow columns, for each stretch of about ``most`` bytes of text: what is made of one stretch alone is held at once."""
+    for column in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        starts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist()] if len(column) else []
+        for a, b in zip(starts, [*starts[1:], len(column)], strict=True) if starts else ():
+            yield make(column[a:b])
+        pa.default_memory_pool().release_unused()

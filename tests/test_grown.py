@@ -3,10 +3,12 @@
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25
+from lodestone.operators import bm25, chunking, tokenizing
 from lodestone.plans.queries import QUERIES, SQL
+from lodestone.streaming import jobs
 from tests.test_queries import plain
 
 
@@ -45,3 +47,28 @@ def test_words_are_counted_where_texts_are_read(spark):
             assert r["c"]["length"] == len(r["w"]) and dict(zip(r["c"]["terms"], r["c"]["tfs"], strict=True)) == Counter(r["w"]), r
     plan = docs.select(bm25.counted(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_texts_go_through_python_in_stretches():
+    texts = pa.array(["and the line\nanother", None, "", "x" * 3_000_000, *["the end\n" * 1000] * 500])
+    splitter = chunking.CharacterSplitter(size=800, overlap=100, separator="\n")
+    for f in (chunking.chunks_of(splitter), chunking.chunks_of(chunking.RecursiveSplitter(400, 40)), tokenizing.encoder(tokenizing.BytePairs(((116, 104),)))):
+        parts = list(f.func(iter([texts, texts[:0], texts[:2]])))
+        assert sum(map(len, parts)) == len(texts) + 2 and max(map(len, parts)) < 200
+    each = [r for part in chunking.chunks_of(splitter).func(iter([texts])) for r in part.to_pylist()]
+    assert [[c["text"] for c in r] for r in each] == [splitter.split(t or "") for t in texts.to_pylist()]
+
+
+def test_streams_of_several_files(spark, small, tmp_path, monkeypatch):
+    spark.read.parquet(f"{small}/documents.parquet").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, ingest = [], jobs.ingest
+
+    def spy(spark, source, *args, **options):
+        seen.append((len(spark.read.parquet(source).inputFiles()), options["files_a_batch"]))
+        return ingest(spark, source, *args, **options)
+
+    monkeypatch.setattr(jobs, "ingest", spy)
+    got = {tuple(r) for r in QUERIES["stream_distinct"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{small}/documents.parquet'")
+    assert got == set(con.execute(SQL["stream_distinct"]).fetchall()) and seen[0][0] > 2 and seen[0][1] <= seen[0][0] // 2
