@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.text import in_stretches
 from lodestone.plans.lineage import cut_lineage, discard
 
 # The published patterns that cut text before merging.
@@ -223,12 +224,12 @@ def _piece_table(docs: DataFrame, text: str, order: str | None, pattern: str) ->
     """Each distinct piece of two bytes or more once: ``n``, ``o`` and ``i``, where it was seen first, and ``ids``."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def cut(column: pa.Array) -> pa.Array:
-        return pa.array([regex.findall(pattern, t.as_py() or "") for t in column], pa.list_(pa.string()))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_stretches(batches, lambda some: pa.array([regex.findall(pattern, t.as_py() or "") for t in some], pa.list_(pa.string())))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def byte_ids(column: pa.Array) -> pa.Array:
-        return pa.array([list(t.as_py().encode()) for t in column], pa.list_(pa.int32()))
+    def byte_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_stretches(batches, lambda some: pa.array([list(t.as_py().encode()) for t in some], pa.list_(pa.int32())))
 
     place = (F.col(order) if order else F.monotonically_increasing_id()).cast("bigint")
     pieces = docs.select(place.alias("o"), F.posexplode(cut(F.col(text))).alias("i", "piece")).where(F.octet_length("piece") > 1)
@@ -347,8 +348,8 @@ def encoder(tokenizer: BytePairs, allowed: str | frozenset[str] = "none"):
     """A vectorised function from text to ids."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(text: pa.Array) -> pa.Array:
-        return pa.array([tokenizer.encode(t.as_py() or "", allowed) for t in text], pa.list_(pa.int32()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_stretches(batches, lambda some: pa.array([tokenizer.encode(t.as_py() or "", allowed) for t in some], pa.list_(pa.int32())))
 
     return encoded
 
@@ -359,8 +360,7 @@ def encode_distinct(docs: DataFrame, tokenizer: BytePairs | Ranks, *, text: str
     Pieces are numbered in the batch, the ids of each are found once and taken by number, so no list is made text by text.
     """
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(column: pa.Array) -> pa.Array:
+    def some(column: pa.Array) -> pa.Array:
         numbers: dict[str, int] = {}
         which, sizes = [], [0]
         for t in column.to_pylist():
@@ -371,6 +371,10 @@ def encode_distinct(docs: DataFrame, tokenizer: BytePairs | Ranks, *, text: str
         ends = np.append(0, np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False)))
         return pa.ListArray.from_arrays(pa.array(ends[np.array(sizes)].astype(np.int32)), taken.flatten())
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_stretches(batches, some)
+
     return docs.select(key, encoded(F.col(text)).alias("ids"))
 
 
@@ -439,8 +443,8 @@ def load_pieces(path: str) -> Pieces:
 
 def _encoder_of(encode: Callable[[str], list[int]]):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(text: pa.Array) -> pa.Array:
-        return pa.array([encode(t.as_py() or "") for t in text], pa.list_(pa.int32()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_stretches(batches, lambda some: pa.array([encode(t.as_py() or "") for t in some], pa.list_(pa.int32())))
 
     return encoded
 
