@@ -16,7 +16,7 @@ A leader may have only a part of a passage that others share whole, and two lead
 chains fall short, but they lie side by side. So where chains that fell short make a stretch of a passage's length, with passages
 beside them, these stretches, and nothing else, are texts of another pass with an order of leaders of its own,
 in which documents with the parts alone no longer are; and so on as long as a pass finds words that were in no passage
-before, and leaves half the words to look at or fewer, so that all passes together cost little more than the first two.
+before.
 """
 
 from __future__ import annotations
@@ -552,7 +552,7 @@ def repeated_passages(
     node = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.struct(F.col(doc_id).alias("i"), F.lit(0).alias("o"), node.alias("n")).alias("id"), F.col(text).alias("t"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    out, now, held, before, written = None, texts, None, None, []
+    out, now, before, written = None, texts, None, []
     for turn in count(1):
         rows = _pass(now, size, k, window, least_words, least_alike, crowd, bucket)
         if before is not None and _new(rows, before, 2 * k).isEmpty():
@@ -565,9 +565,9 @@ def repeated_passages(
         spans = stored(spans.where(F.exists("s", lambda x: x["short"])).select("n", _stretches(least_words, 2 * k)(F.col("s")).alias("s")).where(F.size("s") > 0), "stretches")
         words = spans.agg(F.sum(F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])).alias("w"), F.sum(16 + 8 * F.size("s")).alias("size")).first()
         written.append(spans)
-        if not words["w"] or (held is not None and 2 * words["w"] > held):
+        if not words["w"]:
             break
-        held, size = words["w"], 8 * words["w"]
+        size = 8 * words["w"]
         small = F.broadcast(spans) if words["size"] <= 32 << 20 else spans
         parts = texts.join(small, texts["node"] == spans["n"]).dropDuplicates(["node"])
         parts = parts.select("node", F.col("id.i").alias("i"), F.explode(_cut_out(2 * k)(F.col("t"), F.col("s"))).alias("x"))

@@ -247,3 +247,14 @@ def test_given_documents_against_every_pair(spark, small):
     assert sum(len(got.get(i, set()) & x) for i, x in want.items()) >= 0.97 * sum(map(len, want.values()))
     assert sum(len(x - want.get(i, set())) for i, x in got.items()) <= 0.03 * sum(map(len, got.values()))
     assert len(want) - len(set(got) & set(want)) <= 0.03 * len(want)
+
+
+def test_pairs_that_share_halves_with_others(spark):
+    """Each two documents share 60 words, whose halves twelve others hold too: the words to look at don't halve from pass to pass, and every pair is found."""
+    new = iter(range(10**9))
+    text = lambda n: [f"w{next(new)}" for _ in range(n)]
+    first, last = [text(30) for _ in range(8)], [text(30) for _ in range(8)]
+    pairs = [(a, (a + k) % 8) for a in range(8) for k in range(7)]
+    docs = [(2 * i + j, " ".join(text(50) + first[a] + last[b] + text(50))) for i, (a, b) in enumerate(pairs) for j in range(2)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r["doc_id"] // 2 for r in rows} == set(range(56)) and all(r["doc_id"] // 2 == r["other_id"] // 2 for r in rows)
