@@ -2,7 +2,8 @@
 
 Runs of ``k`` words are hashed, and of every ``window`` consecutive runs the least hash is a seed. A seed
 that several documents share is matched with the document that has the least key among them, its leader,
-so a passage that thousands share costs one match for each of them and not one for each pair. Where a seed
+so a passage that thousands share costs one match for each of them and not one for each pair. Texts are read once
+and go on as hashes of their words, four bytes each. Where a seed
 is crowded in a stretch of a task's texts, that is done there first, and the stretch's leader alone goes on:
 a seed that a third of all texts hold moves once for each stretch. Seeds move sorted and in bulk, dealt by
 hash into as many buckets as keep each small.
@@ -16,14 +17,15 @@ A leader may have only a part of a passage that others share whole, and two lead
 chains fall short, but they lie side by side. So where chains that fell short make a stretch of a passage's length, with passages
 beside them, these stretches, and nothing else, are texts of another pass with an order of leaders of its own,
 in which documents with the parts alone no longer are; and so on as long as a pass finds words that were in no passage
-before.
+before. As these are few words, there each document is matched with several leaders of a seed, so that few passes do.
 """
 
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.bytewords import SPACED
 from lodestone.llm.common import discard, released, stored
-from lodestone.llm.neardup import _C, _hashes, mixed, words_of
+from lodestone.llm.neardup import _C, mixed
 
 GAP = 0.1
 #: Words whose runs are hashed at once.
 STRETCH = 1 << 19
 
 
+#: A random number for each byte; a word's hash is their sum, each times a power of _C by its place in the word.
+_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _C)
+_POWERS = np.multiply.accumulate(np.full(1 << 20, _C))
+_INVERSE = np.multiply.accumulate(np.full(1 << 20, pow(int(_C), -1, 1 << 64), np.uint64))
+
+
+def _powers(known: np.ndarray, n: int) -> np.ndarray:
+    return known[:n] if n <= len(known) else np.multiply.accumulate(np.full(n, known[0]))
+
+
+def hashes_in(data: bytes, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 bytes, the same in every process, and where the words begin."""
+    b = np.frombuffer(data + b" ", np.uint8)
+    word = np.zeros(len(b) + 1, bool)
+    word[1:] = SPACED[b]
+    edges = np.flatnonzero(word[1:] != word[:-1])  # a word's first byte, and the byte after its last one
+    start = edges[::2]
+    out = np.zeros(len(start), np.uint64)
+    for i in range(0, len(start), block):
+        cut = edges[2 * i : 2 * (i + block)]
+        first, n = cut[0], int(cut[-1] - cut[0]) + 1
+        sums = np.add.reduceat(_OF_BYTE[b[first : first + n]] * _powers(_POWERS, n), cut - first)[::2]
+        at = cut[::2] - first
+        out[i : i + block] = mixed(sums * _powers(_INVERSE, int(at[-1]) + 1)[at])
+    return out, start
+
+
+def _folded(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass")
+
+
 def word_hashes(text: str) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return hashes_in(_folded(text))[0]
 
 
 def seeds(h: np.ndarray, k: int = 8, window: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -60,16 +93,22 @@ def all_seeds(h: np.ndarray, sizes: np.ndarray, k: int, window: int) -> tuple[np
         g[: len(h) - i] = g[: len(h) - i] * _C + h[i:]
     g = mixed(g)
     place = np.arange(len(h)) - first
-    picked = []
+    picked = np.zeros(len(g), bool)
     if len(g) >= window:
-        # A window stands at each place from which so many runs are left; argmin takes the first of equal ones.
-        at = np.flatnonzero(place + window <= runs)
-        picked.append(at + np.lib.stride_tricks.sliding_window_view(g, window)[at].argmin(1))
+        # A window stands at each place from which so many runs are left; the first of equal ones is its least.
+        n = len(g) - window + 1
+        least, which = g[:n].copy(), np.zeros(n, np.int64)
+        for i in range(1, window):
+            less = g[i : n + i] < least
+            np.copyto(which, i, where=less)
+            np.copyto(least, g[i : n + i], where=less)
+        at = np.flatnonzero((place + window <= runs)[:n])
+        picked[at + which[at]] = True
     # Texts with fewer runs have one window, of all of them.
     for i in np.flatnonzero((sizes >= k) & (sizes - k + 1 < window)):
         a = starts[i]
-        picked.append(np.array([a + g[a : a + sizes[i] - k + 1].argmin()]))
-    at = np.unique(np.concatenate(picked)).astype(np.int64) if picked else np.zeros(0, np.int64)
+        picked[a + g[a : a + sizes[i] - k + 1].argmin()] = True
+    at = np.flatnonzero(picked)
     return g[at].view(np.int64), text[at], place[at]
 
 
@@ -81,9 +120,9 @@ class Fenwick:
 
     def put(self, i: int, value: tuple[float, int]) -> None:
         i += 1
-        while i < len(self.tree):
-            if value > self.tree[i]:
-                self.tree[i] = value
+        tree, n = self.tree, len(self.tree)
+        while i < n and value > tree[i]:  # the next ones hold all that this one does
+            tree[i] = value
             i += i & -i
 
     def best(self, n: int) -> tuple[float, int]:
@@ -141,8 +180,11 @@ def _between(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _reach(a: np.ndarray, b: np.ndarray, slack: int) -> tuple[int, int]:
-    """How far two texts go on alike from their starts, and how many words agree; stops ``slack`` misses below the best."""
+def _reach(a: np.ndarray, b: np.ndarray, slack: int, last: bool = False) -> tuple[int, int]:
+    """How far two texts go on alike from their starts, and how many words agree; stops ``slack`` misses below the best.
+
+    The end is where most agrees, or the ``last`` word there that does.
+    """
     n = min(len(a), len(b))
     if not n:
         return 0, 0
@@ -151,9 +193,9 @@ def _reach(a: np.ndarray, b: np.ndarray, slack: int) -> tuple[int, int]:
     best = np.maximum.accumulate(np.maximum(score, 0))
     over = np.flatnonzero(best - score > 2 * slack)
     n = int(over[0]) if len(over) else n
-    if not n or score[:n].max() <= 0:
+    if not n or not same[:n].any() or not last and score[:n].max() <= 0:
         return 0, 0
-    far = int(score[:n].argmax()) + 1
+    far = int(np.flatnonzero(same[:n])[-1] if last else score[:n].argmax()) + 1
     return far, int(same[:far].sum())
 
 
@@ -223,10 +265,18 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int = 8
         return int(p[i]) - back, int(p[j] + n[j]) + fore, int(q[i]) - back, int(q[j] + n[j]) + fore, alike
 
     # The whole chain first: most are one passage.
-    mine, other = (int(x[-1] + n[-1] - x[0] + before[0, 0] + after[-1, 0]) for x in (p, q))
-    alike = int(agreed[-1] + before[0, 1] + after[-1, 1])
-    if min(mine, other) >= least_words and alike >= least_alike * max(mine, other):
-        return [row((mine, 0, len(n) - 1, int(before[0, 0]), int(after[-1, 0]), alike))]
+    def whole(back: tuple[int, int], fore: tuple[int, int]) -> tuple | None:
+        mine, other = (int(x[-1] + n[-1] - x[0] + back[0] + fore[0]) for x in (p, q))
+        alike = int(agreed[-1] + back[1] + fore[1])
+        return (mine, 0, len(n) - 1, int(back[0]), int(fore[0]), alike) if min(mine, other) >= least_words and alike >= least_alike * max(mine, other) else None
+
+    found = whole(before[0], after[-1])
+    if not found and agreed[-1] + before[0, 1] + after[-1, 1] >= least_alike * least_words // 2:
+        # Edits near its ends may leave a passage too short; it may go on behind them.
+        back, fore = _reach(a[: p[0]][::-1], b[: q[0]][::-1], slack, True), _reach(a[p[-1] + n[-1] :], b[q[-1] + n[-1] :], slack, True)
+        found = whole(before[0], fore) or whole(back, after[-1]) or whole(back, fore)
+    if found:
+        return [row(found)]
     for i, (s, e, t, u) in enumerate(gaps):
         after[i] = _reach(a[s:e], b[t:u], slack)
         far = int(after[i, 0])
@@ -241,27 +291,32 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int = 8
     return sorted(out)
 
 
-def _packed(words: np.ndarray) -> bytes:
-    """32 bits of each word's hash: enough to compare the words of two given texts, where two others agree once in four billion."""
-    return (words >> np.uint64(32)).astype(np.uint32).tobytes()
+def _packer(least_words: int, most: int = 1 << 20):
+    """Texts to arrays of 32 bits of their words' hashes, with their lengths; texts too short for a passage go.
 
+    Two given words that differ agree once in four billion. ``most`` bytes of text or one longer text are hashed at once.
+    """
 
-def _packer(least_words: int):
-    """Texts to arrays of word hashes; texts too short for a passage go."""
+    def packed(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> pa.RecordBatch:
+        h, start = hashes_in(b" ".join(texts))
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+        sizes = np.diff(ends, prepend=0)
+        kept = np.flatnonzero(sizes >= least_words)
+        words = (h[np.repeat(sizes >= least_words, sizes)] >> np.uint64(32)).astype(np.uint32)
+        offsets = np.concatenate(([0], np.cumsum(sizes[kept] * 4)))
+        words = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(words)])
+        rows = pa.array(kept + first, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes[kept], pa.int64()), words], ["node", "id", "w", "h"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, kept, held = [], [], 0
+            texts, first, held = [], 0, 0
             for i, t in enumerate(batch.column(2)):
-                h = word_hashes(t.as_py() or "")
-                if len(h) >= least_words:
-                    words.append(_packed(h))
-                    kept.append(i)
-                    held += len(words[-1])
-                if held > 8 << 20 or i + 1 == batch.num_rows:
-                    rows = pa.array(kept, pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(words, pa.binary())], ["node", "id", "h"])
-                    words, kept, held = [], [], 0
+                texts.append(_folded(t.as_py()))
+                held += len(texts[-1])
+                if held > most or i + 1 == batch.num_rows:
+                    yield packed(batch, first, texts)
+                    texts, first, held = [], i + 1, 0
             released()
 
     return pack
@@ -279,22 +334,34 @@ def _numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(width, n).T).view(kind).reshape(-1)
 
 
-def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int = 2) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all but the first; and which places these are not.
+def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int = 2, leaders: int = 1) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all against the first ``leaders`` documents; and which places are those of leaders, or not in a crowd.
 
-    Places in both texts are one number, that in the leader below.
+    A leader's place is its first one. Places in both texts are one number, that in the leader below.
     """
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
     held = np.diff(np.append(starts, len(seed)))
     many = np.flatnonzero(np.repeat(held >= crowd, held))
     many = many[np.lexsort((place[many], node[many], seed[many]))]  # of one seed, in order of documents and places
     s, n, p = seed[many], node[many], place[many]
-    leads = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
-    lead = np.repeat(np.flatnonzero(leads), np.diff(np.append(np.flatnonzero(leads), len(s))))
+    one = np.ones(min(1, len(s)), bool)
+    opens = np.concatenate((one, s[1:] != s[:-1]))  # the first place of a seed
+    enters = opens | np.concatenate((one, n[1:] != n[:-1]))  # and of each document with it
+    firsts, of = np.flatnonzero(enters), np.cumsum(enters) - 1
+    group = np.flatnonzero(opens)
+    rank = of - np.repeat(of[group], np.diff(np.append(group, len(s))))  # a document's number in its seed
     goes_on = np.ones(len(seed), bool)
-    goes_on[many[~leads]] = False
-    other = (n != n[lead]) | (p != p[lead])
-    return goes_on, (n[other], n[lead][other], (p[other].astype(np.int64) << 32) | p[lead][other])
+    goes_on[many[~(enters & (rank < leaders))]] = False
+    out = []
+    for i in range(leaders):
+        at = np.flatnonzero(rank >= i)
+        if not len(at):
+            break
+        lead = firsts[of[at] - rank[at] + i]
+        other = at != lead
+        at, lead = at[other], lead[other]
+        out.append((n[at], n[lead], (p[at].astype(np.int64) << 32) | p[lead]))
+    return goes_on, tuple(map(np.concatenate, zip(*out, strict=True))) if out else (n, n, p.astype(np.int64))
 
 
 def _grouped(node: np.ndarray, leader: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -310,17 +377,17 @@ _MATCHES = "node bigint, leader bigint, m array<bigint>, chains array<array<bigi
 _CHAINS = pa.list_(pa.list_(pa.int64()))
 
 
-def _seeder(k: int, window: int, gap: float, least_words: int, buckets: int, crowd: int):
-    """Texts to seeds, in bulk by bucket. A seed with ``crowd`` places in a stretch of texts goes on with its first; the others' chains are made here."""
+def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders: int):
+    """Word hashes to seeds, in bulk by bucket. A seed with ``crowd`` places in a stretch of texts goes on with its leaders; the others' chains are made here."""
 
     def stretch(nodes: list[int], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         of = np.array(nodes, np.int64)
         s, i, p = all_seeds(np.concatenate(words), np.array(list(map(len, words))), k, window)
         # 56 bits: two seeds that are alike by chance cost a look at most, and never make a passage.
         s = (s.view(np.uint64) >> np.uint64(8)).view(np.int64)
-        order = np.argsort(s, kind="stable")
+        order = np.argsort(s)
         s, i, p = s[order], i[order], p[order]
-        goes_on, near = _matched(s, of[i], p, crowd)
+        goes_on, near = _matched(s, of[i], p, crowd, leaders)
         s, i, p = s[goes_on], i[goes_on], p[goes_on]
         bucket = (s.view(np.uint64) >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)  # ascends with the seed
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(s) else np.zeros(0, np.int64)
@@ -333,20 +400,18 @@ def _seeder(k: int, window: int, gap: float, least_words: int, buckets: int, cro
         n = len(edges)
         bulk = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
         yield pa.RecordBatch.from_arrays([*bulk, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, _CHAINS)], _SEEDS_NAMES)
-        kept, leaders, chained = _chained(*_grouped(*near), k, gap)
+        kept, leader, chained = _chained(*_grouped(*near), k, gap)
         n = len(kept)
         spread = pa.array((mixed(kept.view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([spread, *(pa.nulls(n, pa.binary()) for _ in range(4)), pa.array(kept), pa.array(leaders), chained], _SEEDS_NAMES)
+        yield pa.RecordBatch.from_arrays([spread, *(pa.nulls(n, pa.binary()) for _ in range(4)), pa.array(kept), pa.array(leader), chained], _SEEDS_NAMES)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, words, held = [], [], 0
         for batch in batches:
-            for node, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = word_hashes(t.as_py() or "")
-                if len(h) >= least_words:
-                    nodes.append(node)
-                    words.append(h)
-                    held += len(h)
+            for node, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                nodes.append(node)
+                words.append(np.frombuffer(h.as_buffer(), np.uint32))
+                held += len(words[-1])
                 if held >= STRETCH:
                     yield from stretch(nodes, words)
                     nodes, words, held = [], [], 0
@@ -360,22 +425,26 @@ def _seeder(k: int, window: int, gap: float, least_words: int, buckets: int, cro
 _SEEDS_NAMES = [x.split()[0] for x in _SEEDS.split(", ")]
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meeter(leaders: int):
     """Seeds of one bucket to matches, by pair of documents; chains pass."""
-    near = table.filter(pc.is_valid(table.column("chains"))).select(["node", "leader", "chains"])
-    bulk = table.filter(pc.is_valid(table.column("seeds")))
-    s, n, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for row in zip(*(bulk.column(c) for c in ("seeds", "nodes", "texts", "places")), strict=True):
-        steps, nodes, texts, places = (x.as_py() for x in row)
-        s.append(np.cumsum(_numbers(steps, "<u8"), dtype=np.uint64).view(np.int64))
-        n.append(np.frombuffer(nodes, np.int64)[_numbers(texts, "<u4")])
-        p.append(_numbers(places, "<u4").astype(np.int64))
-    s, n, p = np.concatenate(s), np.concatenate(n), np.concatenate(p)
-    order = np.argsort(s, kind="stable")
-    node, leader, starts, m = _grouped(*_matched(s[order], n[order], p[order])[1])
-    met = pa.table([pa.array(node), pa.array(leader), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(m)), pa.nulls(len(node), _CHAINS)], ["node", "leader", "m", "chains"])
-    near = pa.table([near.column("node"), near.column("leader"), pa.nulls(len(near), pa.list_(pa.int64())), near.column("chains")], ["node", "leader", "m", "chains"])
-    return pa.concat_tables([met, near])
+
+    def meet(table: pa.Table) -> pa.Table:
+        near = table.filter(pc.is_valid(table.column("chains"))).select(["node", "leader", "chains"])
+        bulk = table.filter(pc.is_valid(table.column("seeds")))
+        s, n, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row in zip(*(bulk.column(c) for c in ("seeds", "nodes", "texts", "places")), strict=True):
+            steps, nodes, texts, places = (x.as_py() for x in row)
+            s.append(np.cumsum(_numbers(steps, "<u8"), dtype=np.uint64).view(np.int64))
+            n.append(np.frombuffer(nodes, np.int64)[_numbers(texts, "<u4")])
+            p.append(_numbers(places, "<u4").astype(np.int64))
+        s, n, p = np.concatenate(s), np.concatenate(n), np.concatenate(p)
+        order = np.argsort(s)
+        node, leader, starts, m = _grouped(*_matched(s[order], n[order], p[order], 2, leaders)[1])
+        met = pa.table([pa.array(node), pa.array(leader), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(m)), pa.nulls(len(node), _CHAINS)], ["node", "leader", "m", "chains"])
+        near = pa.table([near.column("node"), near.column("leader"), pa.nulls(len(near), pa.list_(pa.int64())), near.column("chains")], ["node", "leader", "m", "chains"])
+        return pa.concat_tables([met, near])
+
+    return meet
 
 
 def _split(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,87 +522,94 @@ def _aligner(k: int, least_words: int, least_alike: float):
     return aligned
 
 
-def _stretches(least_words: int, apart: int):
-    """Spans (start, stop, short) of one text to the stretches (start, stop) of a passage's length that chains which fell short make, with passages beside them."""
+def _inside(spans: list[tuple[int, int]], slack: int):
+    """Whether a span lies in one of ``spans``, up to ``slack`` words at an end."""
+    spans = sorted(spans)
+    starts, far = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def inside(start: int, stop: int) -> bool:
+        i = bisect_right(starts, start + slack)
+        return i > 0 and far[i - 1] >= stop - slack
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
-    def joined(spans: pa.Array) -> pa.Array:
-        out = []
-        for row in spans.to_pylist():
-            done = sorted((x["start"], x["stop"]) for x in row if not x["short"])
+    return inside
+
+
+def _stretches(least_words: int, apart: int):
+    """Spans (start, stop, short) of one text, and passages found before, to the stretches (start, stop) of a passage's length that chains which fell short make, with passages beside them; and whether a passage is new."""
+    found = T.StructType([T.StructField("s", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("new", T.BooleanType())])
+
+    @F.arrow_udf(found)
+    def joined(spans: pa.Array, before: pa.Array) -> pa.Array:
+        out, new = [], []
+        for row, old in zip(spans.to_pylist(), before.to_pylist(), strict=True):
+            done = [(x["start"], x["stop"]) for x in row if not x["short"]]
+            known, looked_at = _inside([(x["start"], x["stop"]) for x in old], apart), _inside(done, apart)
+            new.append(not all(known(*x) for x in done))
             held: list[list[int]] = []
             for x in sorted(row, key=lambda x: (x["start"], x["stop"])):
                 # A chain that fell short inside one passage has been looked at.
-                new = x["short"] and not any(a - apart <= x["start"] and x["stop"] <= b + apart for a, b in done)
+                open_ = x["short"] and not looked_at(x["start"], x["stop"])
                 if held and x["start"] <= held[-1][1] + apart:
-                    held[-1][1], held[-1][2] = max(held[-1][1], x["stop"]), held[-1][2] or new
+                    held[-1][1], held[-1][2] = max(held[-1][1], x["stop"]), held[-1][2] or open_
                 else:
-                    held.append([x["start"], x["stop"], new])
-            out.append([{"start": a, "stop": b} for a, b, new in held if new and b - a >= least_words])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+                    held.append([x["start"], x["stop"], open_])
+            out.append([{"start": a, "stop": b} for a, b, open_ in held if open_ and b - a >= least_words])
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        return pa.StructArray.from_arrays([pa.array(out, kind), pa.array(new, pa.bool_())], ["s", "new"])
 
     return joined
 
 
-def _cut_out(around: int):
-    """The words of stretches, and as many ``around`` them as seeds may leave out at an end, with where they begin."""
-
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("o", T.IntegerType()), T.StructField("t", T.StringType())])))
-    def cut(text: pa.Array, stretches: pa.Array) -> pa.Array:
-        out = []
-        for t, row in zip(text.to_pylist(), stretches.to_pylist(), strict=True):
-            words, first = words_of(t or ""), [max(0, x["start"] - around) for x in row]
-            out.append([{"o": o, "t": b" ".join(words[o : x["stop"] + around]).decode("utf-8", "replace")} for o, x in zip(first, row, strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("o", pa.int32()), ("t", pa.string())])))
-
-    return cut
-
-
 def _sides(rows: DataFrame) -> DataFrame:
     """Spans (n, start, stop, agree) of both texts of each row."""
     return rows.select(F.col("_node").alias("n"), "start", "stop", "agree").union(rows.select("_leader", "other_start", "other_stop", "agree"))
 
 
-def _new(rows: DataFrame, before: DataFrame, slack: int) -> DataFrame:
-    """Passages of a pass that lie in none found before in the same text, up to ``slack`` words at an end."""
-    spans = _sides(rows).where("agree >= 0").select("n", "start", "stop").distinct()
-    old = _sides(before).where("agree >= 0").join(spans.select("n").distinct(), "n", "left_semi").distinct()
-    old = old.groupBy("n").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
-    inside = F.exists("s", lambda x: (x["start"] - slack <= F.col("start")) & (F.col("stop") <= x["stop"] + slack))
-    return spans.join(old, "n", "left").where(~F.coalesce(inside, F.lit(False)))
+def _tasks(words: int) -> int:
+    """How many tasks the Python functions of a pass over so many words take at most: the few words of a later pass are no work for hundreds."""
+    return max(12, -(-words // (1 << 15)))
 
 
-def _pass(texts: DataFrame, size: int, k: int, window: int, least_words: int, least_alike: float, crowd: int, bucket: int) -> DataFrame:
-    """One pass over (node, id, t), with leaders by node: passages, and with -1 words that agree what of chains fell short."""
-    kind = texts.schema["id"].dataType.simpleString()
-    # A word takes six bytes or more, with what ends it, in all but odd texts.
+def _left(rows: DataFrame, before: DataFrame | None, size: int, least_words: int, apart: int) -> DataFrame:
+    """n, s, new: by text, the stretches that a pass leaves for another, and whether it found passages that lie in none found before."""
+    spans = _sides(rows).withColumn("now", F.lit(True))
+    if before is not None:
+        spans = spans.union(_sides(before).where("agree >= 0").withColumn("now", F.lit(False)))
+    span = F.struct("start", "stop", (F.col("agree") < 0).alias("short"))
+    spans = spans.groupBy("n").agg(F.collect_set(F.when(F.col("now"), span)).alias("s"), F.collect_set(F.when(~F.col("now"), F.struct("start", "stop"))).alias("b"))
+    found = spans.where(F.size("s") > 0).coalesce(_tasks(size)).select("n", _stretches(least_words, apart)(F.col("s"), F.col("b")).alias("x"))
+    return stored(found.select("n", "x.s", "x.new").where((F.size("s") > 0) | F.col("new")), "stretches")
+
+
+def _pass(texts: DataFrame, size: int, k: int, window: int, least_words: int, least_alike: float, crowd: int, bucket: int, leaders: int) -> DataFrame:
+    """One pass over (node, id, h) of ``size`` words, with leaders by node: passages, and with -1 words that agree what of chains fell short."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(max(parts, -(-size * 2 // (6 * (window + 1) * bucket))), 1 << 30)
+    buckets = min(max(parts, -(-size * 2 // ((window + 1) * bucket))), 1 << 30)
 
-    rows = texts.select("node", "t").mapInArrow(_seeder(k, window, GAP, least_words, buckets, crowd), _SEEDS)
-    met = stored(rows.groupBy("bucket").applyInArrow(_meet, _MATCHES), "matches")
+    rows = texts.select("node", "h").mapInArrow(_seeder(k, window, GAP, buckets, crowd, leaders), _SEEDS)
+    met = stored(rows.groupBy("bucket").applyInArrow(_meeter(leaders), _MATCHES).coalesce(_tasks(size)), "matches")
     far = met.where("m is not null").groupBy("node", "leader").agg(F.flatten(F.collect_list("m")).alias("m"))
-    far = far.mapInArrow(_chainer(k, GAP), "node bigint, leader bigint, chains array<array<bigint>>")
+    far = far.coalesce(_tasks(size)).mapInArrow(_chainer(k, GAP), "node bigint, leader bigint, chains array<array<bigint>>")
     found = met.where("chains is not null").select("node", "leader", "chains").union(far)
 
     # Alike on both sides, so the words move once for both joins.
-    packs = texts.mapInArrow(_packer(least_words), f"node bigint, id {kind}, h binary").groupBy("node").agg(F.first("id").alias("id"), F.first("h").alias("h"))
+    packs = texts.groupBy("node").agg(F.first("id").alias("id"), F.first("h").alias("h"))
     mine = packs.select("node", F.col("id").alias("own"), F.col("h").alias("a"))
     other = packs.select(F.col("node").alias("leader"), F.col("id").alias("other"), F.col("h").alias("b"))
-    pairs = found.join(mine, "node").join(other, "leader")
+    pairs = found.join(mine, "node").join(other, "leader").coalesce(_tasks(size))
     pairs = pairs.select("own", "other", F.explode(_aligner(k, least_words, least_alike)(F.col("a"), F.col("b"), F.col("chains"))).alias("x"))
     shift = lambda side, *names: [(F.col(f"x.{n}") + F.col(f"{side}.o")).alias(n) for n in names]
     out = pairs.select(
         F.col("own.i").alias("doc_id"), *shift("own", "start", "stop"), F.col("other.i").alias("other_id"), *shift("other", "other_start", "other_stop"), "x.agree",
         F.col("own.n").alias("_node"), F.col("other.n").alias("_leader"),
     )
-    out = stored(out.distinct(), "passages")
+    out = stored(out.distinct().coalesce(_tasks(size)), "passages")
     discard(met)
     return out
 
 
 def repeated_passages(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 4, window: int = 2, least_words: int = 40, least_alike: float = 0.8, crowd: int = 16, bucket: int = 1 << 20,
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 4, window: int = 2, least_words: int = 40, least_alike: float = 0.8, crowd: int = 16, bucket: int = 1 << 20, leaders: int = 16,
 ) -> DataFrame:
     """doc_id, start, stop, other_id, other_start, other_stop, agree: passages that stand in another place too.
 
@@ -547,32 +623,33 @@ def repeated_passages(
     than ``least_words`` words, have no passages; an empty table has none. Other columns don't matter,
     whatever their names. Very long texts are read whole. No seed, however common, is left out: ``window`` +
     k - 1 equal words hold one that both texts have. ``bucket`` is the number of seeds that one task holds at
-    once, about.
+    once, about. ``leaders`` documents of each seed are compared with its others in the passes after the first.
     """
     node = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.struct(F.col(doc_id).alias("i"), F.lit(0).alias("o"), node.alias("n")).alias("id"), F.col(text).alias("t"))
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    out, now, before, written = None, texts, None, []
+    kind = texts.schema["id"].dataType.simpleString()
+    texts = stored(texts.mapInArrow(_packer(least_words), f"node bigint, id {kind}, w bigint, h binary"), "words")
+    size = texts.agg(F.sum("w").alias("w")).first()["w"] or 0
+    out, now, before, written = None, texts, None, [texts]
     for turn in count(1):
-        rows = _pass(now, size, k, window, least_words, least_alike, crowd, bucket)
-        if before is not None and _new(rows, before, 2 * k).isEmpty():
-            break
-        before = rows if before is None else before.union(rows)
+        rows = _pass(now, size, k, window, least_words, least_alike, crowd, bucket, leaders if turn > 1 else 1)
         found = rows.where("agree >= 0").drop("_node", "_leader")
         out = found if out is None else out.union(found)
-        spans = _sides(rows).select("n", "start", "stop", (F.col("agree") < 0).alias("short"))
-        spans = spans.groupBy("n", "start", "stop").agg(F.min("short").alias("short")).groupBy("n").agg(F.collect_list(F.struct("start", "stop", "short")).alias("s"))
-        spans = stored(spans.where(F.exists("s", lambda x: x["short"])).select("n", _stretches(least_words, 2 * k)(F.col("s")).alias("s")).where(F.size("s") > 0), "stretches")
-        words = spans.agg(F.sum(F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])).alias("w"), F.sum(16 + 8 * F.size("s")).alias("size")).first()
-        written.append(spans)
-        if not words["w"]:
+        left = _left(rows, before, size, least_words, 2 * k)
+        written.append(left)
+        before = rows if before is None else before.union(rows)
+        length = F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+        words = left.agg(F.sum(length).alias("w"), F.sum(16 + 8 * F.size("s")).alias("size"), F.max("new").alias("new")).first()
+        if not words["w"] or turn > 1 and not words["new"]:
             break
-        size = 8 * words["w"]
-        small = F.broadcast(spans) if words["size"] <= 32 << 20 else spans
-        parts = texts.join(small, texts["node"] == spans["n"]).dropDuplicates(["node"])
-        parts = parts.select("node", F.col("id.i").alias("i"), F.explode(_cut_out(2 * k)(F.col("t"), F.col("s"))).alias("x"))
-        now = parts.select(F.xxhash64("node", "x.o", F.lit(turn)).alias("node"), F.struct("i", F.col("x.o").alias("o"), F.col("node").alias("n")).alias("id"), F.col("x.t").alias("t"))
-        now = stored(now, "stretch-texts")
+        size = words["w"]
+        spans = left.where(F.size("s") > 0).select("n", F.explode("s").alias("x"))
+        spans = F.broadcast(spans) if words["size"] <= 32 << 20 else spans
+        # With as many words around a stretch as seeds may leave out at an end.
+        parts = texts.join(spans, F.col("node") == F.col("n")).withColumn("o", F.greatest(F.lit(0), F.col("x.start") - 2 * k))
+        parts = parts.select("node", F.col("id.i").alias("i"), "o", F.substr("h", 4 * F.col("o") + 1, 4 * (F.col("x.stop") + 2 * k - F.col("o"))).alias("h")).dropDuplicates(["node", "o"])
+        now = parts.select(F.xxhash64("node", "o", F.lit(turn)).alias("node"), F.struct("i", "o", F.col("node").alias("n")).alias("id"), "h")
+        now = stored(now.coalesce(_tasks(size)), "stretch-words")
         written.append(now)
     out = stored(out.distinct(), "repeated") if turn > 1 else out
     discard(*written)

@@ -258,3 +258,38 @@ def test_pairs_that_share_halves_with_others(spark):
     docs = [(2 * i + j, " ".join(text(50) + first[a] + last[b] + text(50))) for i, (a, b) in enumerate(pairs) for j in range(2)]
     rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).collect()
     assert {r["doc_id"] // 2 for r in rows} == set(range(56)) and all(r["doc_id"] // 2 == r["other_id"] // 2 for r in rows)
+
+
+def test_few_passes_where_halves_are_shared(spark, monkeypatch):
+    """The documents of the test above took six passes, each with one leader a seed; with several leaders the second finds what there is, and one more finds nothing new."""
+    new, turns, one = iter(range(10**9)), [], passages._pass
+    monkeypatch.setattr(passages, "_pass", lambda *a, **b: turns.append(1) or one(*a, **b))
+    text = lambda n: [f"w{next(new)}" for _ in range(n)]
+    first, last = [text(30) for _ in range(8)], [text(30) for _ in range(8)]
+    pairs = [(a, (a + k) % 8) for a in range(8) for k in range(7)]
+    docs = [(2 * i + j, " ".join(text(50) + first[a] + last[b] + text(50))) for i, (a, b) in enumerate(pairs) for j in range(2)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r["doc_id"] // 2 for r in rows} == set(range(56)) and len(turns) <= 3
+
+
+@pytest.mark.parametrize("edits", [(2, 4, 6, 40, 42), (1, 3, 5, 7), (37, 39, 41, 43)])
+def test_edits_near_the_ends_of_a_short_passage(edits):
+    """45 words, of which all but a few agree: a passage, although its ends agree in single words only."""
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 2**32, 105).astype(np.uint32) for _ in range(2))
+    b[30:75] = a[30:75]
+    b[[30 + i for i in edits]] += 1
+    chain = [(p, p) for p in range(30, 72) if (a[p : p + 4] == b[p : p + 4]).all()]
+    [(start, stop, other, _, agree)] = passages.align(a, b, chain, 4)
+    assert 30 <= start == other and stop <= 75 and stop - start >= 40 and agree >= 0.8 * (stop - start)
+
+
+def test_hashes_of_words_by_the_word():
+    """Hashes of many words at once are those of each word alone, whatever is around it and wherever it stands."""
+    words = ["a", "b", "ab", "ba", "aa", "ß", "日本語", "\x00", "a\x00", "x" * 5000, "é" * 300] + [f"w{i}" for i in range(3000)]
+    alone = [passages.hashes_in(w.encode())[0].tolist() for w in words]
+    assert all(len(x) == 1 for x in alone) and len({x[0] for x in alone}) == len(words)
+    for block in (7, 1 << 16):
+        found, start = passages.hashes_in("".join(f" \n{w}\t" for w in words).encode(), block)
+        assert found.tolist() == [x[0] for x in alone] and len(start) == len(words)
+    assert len(passages.word_hashes(" \n ")) == len(passages.word_hashes("")) == 0
