@@ -17,7 +17,9 @@ A leader may have only a part of a passage that others share whole, and two lead
 chains fall short, but they lie side by side. So where chains that fell short make a stretch of a passage's length, with passages
 beside them, these stretches, and nothing else, are texts of another pass with an order of leaders of its own,
 in which documents with the parts alone no longer are; and so on as long as a pass finds words that were in no passage
-before. As these are few words, there each document is matched with several leaders of a seed, so that few passes do.
+before. As these are few words, there each document is matched with several leaders of a seed, and where a seed has few
+places each with all others, so that few passes do. A stretch goes on only where seeds that weren't compared whole may hold
+a passage: elsewhere another order of leaders would compare the same pairs again.
 """
 
 from __future__ import annotations
@@ -334,10 +336,11 @@ def _numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(width, n).T).view(kind).reshape(-1)
 
 
-def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int = 2, leaders: int = 1) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all against the first ``leaders`` documents; and which places are those of leaders, or not in a crowd.
+def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int = 2, leaders: int = 1, whole: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all against the first ``leaders`` documents; which places are those of leaders, or not in a crowd; and which are of seeds whose documents weren't all compared.
 
-    A leader's place is its first one. Places in both texts are one number, that in the leader below.
+    A leader's place is its first one. Where a seed has ``whole`` places at most, every place is compared with all others.
+    Places in both texts are one number, that in the leader below.
     """
     starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
     held = np.diff(np.append(starts, len(seed)))
@@ -349,19 +352,23 @@ def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int =
     enters = opens | np.concatenate((one, n[1:] != n[:-1]))  # and of each document with it
     firsts, of = np.flatnonzero(enters), np.cumsum(enters) - 1
     group = np.flatnonzero(opens)
-    rank = of - np.repeat(of[group], np.diff(np.append(group, len(s))))  # a document's number in its seed
-    goes_on = np.ones(len(seed), bool)
-    goes_on[many[~(enters & (rank < leaders))]] = False
+    sizes = np.diff(np.append(group, len(s)))
+    few = np.repeat(sizes <= whole, sizes)
+    rank = of - np.repeat(of[group], sizes)  # a document's number in its seed
+    number = np.arange(len(s)) - np.repeat(group, sizes)  # a place's
+    goes_on, left = np.ones(len(seed), bool), np.zeros(len(seed), bool)
+    goes_on[many[~(few | enters & (rank < leaders))]] = False
+    left[many] = ~few
     out = []
-    for i in range(leaders):
-        at = np.flatnonzero(rank >= i)
+    for i in range(max(leaders, int(sizes[sizes <= whole].max(initial=0)))):
+        at = np.flatnonzero(np.where(few, number > i, (rank >= i) & (i < leaders)))
         if not len(at):
             break
-        lead = firsts[of[at] - rank[at] + i]
+        lead = np.where(few[at], at - number[at] + i, firsts[np.where(few[at], 0, of[at] - rank[at] + i)])
         other = at != lead
         at, lead = at[other], lead[other]
         out.append((n[at], n[lead], (p[at].astype(np.int64) << 32) | p[lead]))
-    return goes_on, tuple(map(np.concatenate, zip(*out, strict=True))) if out else (n, n, p.astype(np.int64))
+    return goes_on, tuple(map(np.concatenate, zip(*out, strict=True))) if out else (n, n, p.astype(np.int64)), left
 
 
 def _grouped(node: np.ndarray, leader: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -372,13 +379,25 @@ def _grouped(node: np.ndarray, leader: np.ndarray, m: np.ndarray) -> tuple[np.nd
     return node[starts], leader[starts], np.append(starts, len(m)), m
 
 
-_SEEDS = "bucket int, seeds binary, nodes binary, texts binary, places binary, node bigint, leader bigint, chains array<array<bigint>>"
-_MATCHES = "node bigint, leader bigint, m array<bigint>, chains array<array<bigint>>"
-_CHAINS = pa.list_(pa.list_(pa.int64()))
+_SEEDS = "bucket int, seeds binary, nodes binary, texts binary, places binary, node bigint, leader bigint, chains array<array<bigint>>, open array<bigint>"
+_MATCHES = "node bigint, leader bigint, m array<bigint>, chains array<array<bigint>>, open array<bigint>"
+_PLACES = pa.list_(pa.int64())
+_CHAINS = pa.list_(_PLACES)
+#: Marks a place whose seed has documents that did not go on.
+_MORE = 1 << 31
 
 
-def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders: int):
-    """Word hashes to seeds, in bulk by bucket. A seed with ``crowd`` places in a stretch of texts goes on with its leaders; the others' chains are made here."""
+def _open(node: np.ndarray, place: np.ndarray) -> tuple[pa.Array, pa.ListArray]:
+    """Documents, and their places of seeds whose documents weren't all compared."""
+    of, _, starts, at = _grouped(node, np.zeros(len(node), np.int64), place)
+    return pa.array(of), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(at, pa.int64()))
+
+
+def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders: int, whole: int):
+    """Word hashes to seeds, in bulk by bucket. A seed with ``crowd`` places in a stretch of texts goes on with its leaders; the others' chains are made here.
+
+    A place of such a seed is marked if its documents weren't all compared here.
+    """
 
     def stretch(nodes: list[int], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         of = np.array(nodes, np.int64)
@@ -387,8 +406,10 @@ def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders:
         s = (s.view(np.uint64) >> np.uint64(8)).view(np.int64)
         order = np.argsort(s)
         s, i, p = s[order], i[order], p[order]
-        goes_on, near = _matched(s, of[i], p, crowd, leaders)
-        s, i, p = s[goes_on], i[goes_on], p[goes_on]
+        goes_on, near, left = _matched(s, of[i], p, crowd, leaders, whole)
+        stay = left & ~goes_on
+        unmet = _open(of[i[stay]], p[stay]) if whole else None
+        s, i, p = s[goes_on], i[goes_on], p[goes_on] | (np.int64(_MORE) * left[goes_on] if whole else 0)
         bucket = (s.view(np.uint64) >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)  # ascends with the seed
         edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(s) else np.zeros(0, np.int64)
         columns: list[list] = [[], [], [], [], []]
@@ -399,20 +420,25 @@ def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders:
                 column.append(value)
         n = len(edges)
         bulk = [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])]
-        yield pa.RecordBatch.from_arrays([*bulk, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, _CHAINS)], _SEEDS_NAMES)
+        yield pa.RecordBatch.from_arrays([*bulk, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, _CHAINS), pa.nulls(n, _PLACES)], _SEEDS_NAMES)
         kept, leader, chained = _chained(*_grouped(*near), k, gap)
         n = len(kept)
-        spread = pa.array((mixed(kept.view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([spread, *(pa.nulls(n, pa.binary()) for _ in range(4)), pa.array(kept), pa.array(leader), chained], _SEEDS_NAMES)
+        spread = lambda x: pa.array((mixed(x.view(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+        none = lambda n: [pa.nulls(n, pa.binary()) for _ in range(4)]
+        yield pa.RecordBatch.from_arrays([spread(kept), *none(n), pa.array(kept), pa.array(leader), chained, pa.nulls(n, _PLACES)], _SEEDS_NAMES)
+        if unmet:
+            n = len(unmet[0])
+            yield pa.RecordBatch.from_arrays([spread(unmet[0].to_numpy()), *none(n), unmet[0], pa.nulls(n, pa.int64()), pa.nulls(n, _CHAINS), unmet[1]], _SEEDS_NAMES)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, words, held = [], [], 0
+        most = 4 * STRETCH // max(4, leaders)  # each place of a crowd has as many matches as there are leaders
         for batch in batches:
             for node, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 nodes.append(node)
                 words.append(np.frombuffer(h.as_buffer(), np.uint32))
                 held += len(words[-1])
-                if held >= STRETCH:
+                if held >= most:
                     yield from stretch(nodes, words)
                     nodes, words, held = [], [], 0
             released()
@@ -425,11 +451,12 @@ def _seeder(k: int, window: int, gap: float, buckets: int, crowd: int, leaders:
 _SEEDS_NAMES = [x.split()[0] for x in _SEEDS.split(", ")]
 
 
-def _meeter(leaders: int):
-    """Seeds of one bucket to matches, by pair of documents; chains pass."""
+def _meeter(leaders: int, whole: int):
+    """Seeds of one bucket to matches, by pair of documents, and the places of seeds whose documents weren't all compared; chains pass."""
+    names = ["node", "leader", "m", "chains", "open"]
 
     def meet(table: pa.Table) -> pa.Table:
-        near = table.filter(pc.is_valid(table.column("chains"))).select(["node", "leader", "chains"])
+        near = table.filter(pc.is_valid(table.column("node"))).select(["node", "leader", "chains", "open"])
         bulk = table.filter(pc.is_valid(table.column("seeds")))
         s, n, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for row in zip(*(bulk.column(c) for c in ("seeds", "nodes", "texts", "places")), strict=True):
@@ -439,10 +466,18 @@ def _meeter(leaders: int):
             p.append(_numbers(places, "<u4").astype(np.int64))
         s, n, p = np.concatenate(s), np.concatenate(n), np.concatenate(p)
         order = np.argsort(s)
-        node, leader, starts, m = _grouped(*_matched(s[order], n[order], p[order], 2, leaders)[1])
-        met = pa.table([pa.array(node), pa.array(leader), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(m)), pa.nulls(len(node), _CHAINS)], ["node", "leader", "m", "chains"])
-        near = pa.table([near.column("node"), near.column("leader"), pa.nulls(len(near), pa.list_(pa.int64())), near.column("chains")], ["node", "leader", "m", "chains"])
-        return pa.concat_tables([met, near])
+        s, n, p = s[order], n[order], p[order]
+        more, p = p >= _MORE, p % _MORE
+        _, found, left = _matched(s, n, p, 2, leaders, whole)
+        node, leader, starts, m = _grouped(*found)
+        met = pa.table([pa.array(node), pa.array(leader), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(m)), pa.nulls(len(node), _CHAINS), pa.nulls(len(node), _PLACES)], names)
+        near = pa.table([near.column("node"), near.column("leader"), pa.nulls(len(near), _PLACES), near.column("chains"), near.column("open")], names)
+        if not whole:
+            return pa.concat_tables([met, near])
+        left |= np.isin(s, s[more])
+        of, places = _open(n[left], p[left])
+        rest = pa.table([of, pa.nulls(len(of), pa.int64()), pa.nulls(len(of), _PLACES), pa.nulls(len(of), _CHAINS), places], names)
+        return pa.concat_tables([met, near, rest])
 
     return meet
 
@@ -534,14 +569,26 @@ def _inside(spans: list[tuple[int, int]], slack: int):
     return inside
 
 
-def _stretches(least_words: int, apart: int):
-    """Spans (start, stop, short) of one text, and passages found before, to the stretches (start, stop) of a passage's length that chains which fell short make, with passages beside them; and whether a passage is new."""
+def _holds(a: int, b: int, places: np.ndarray, k: int, least_words: int) -> bool:
+    """Whether runs at ``places``, in order, cover half the words of a passage's length somewhere from ``a`` to ``b``."""
+    x = places[np.searchsorted(places, a) : np.searchsorted(places, b)] - a
+    if len(x) * k * 2 < least_words:
+        return False
+    covered = np.zeros(max(b - a, least_words) + k, np.int64)
+    for i in range(k):
+        covered[x + i] = 1
+    total = np.concatenate(([0], np.cumsum(covered)))
+    return 2 * int((total[least_words:] - total[:-least_words]).max()) >= least_words
+
+
+def _stretches(k: int, least_words: int, apart: int):
+    """Spans (start, stop, short) of one text, and passages found before, to the stretches (start, stop) of a passage's length that chains which fell short make, with passages beside them, if open places can hold a passage there; and whether a passage is new. Where no open places are given, every stretch may go on."""
     found = T.StructType([T.StructField("s", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))), T.StructField("new", T.BooleanType())])
 
     @F.arrow_udf(found)
-    def joined(spans: pa.Array, before: pa.Array) -> pa.Array:
+    def joined(spans: pa.Array, before: pa.Array, places: pa.Array) -> pa.Array:
         out, new = [], []
-        for row, old in zip(spans.to_pylist(), before.to_pylist(), strict=True):
+        for row, old, more in zip(spans.to_pylist(), before.to_pylist(), places, strict=True):
             done = [(x["start"], x["stop"]) for x in row if not x["short"]]
             known, looked_at = _inside([(x["start"], x["stop"]) for x in old], apart), _inside(done, apart)
             new.append(not all(known(*x) for x in done))
@@ -553,7 +600,9 @@ def _stretches(least_words: int, apart: int):
                     held[-1][1], held[-1][2] = max(held[-1][1], x["stop"]), held[-1][2] or open_
                 else:
                     held.append([x["start"], x["stop"], open_])
-            out.append([{"start": a, "stop": b} for a, b, open_ in held if open_ and b - a >= least_words])
+            more = np.sort(np.asarray(more.values)) if more.is_valid else None
+            goes_on = lambda a, b, more=more: more is None or _holds(a, b, more, k, least_words)
+            out.append([{"start": a, "stop": b} for a, b, open_ in held if open_ and b - a >= least_words and goes_on(a, b)])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(out, kind), pa.array(new, pa.bool_())], ["s", "new"])
 
@@ -570,27 +619,41 @@ def _tasks(words: int) -> int:
     return max(12, -(-words // (1 << 15)))
 
 
-def _left(rows: DataFrame, before: DataFrame | None, size: int, least_words: int, apart: int) -> DataFrame:
-    """n, s, new: by text, the stretches that a pass leaves for another, and whether it found passages that lie in none found before."""
-    spans = _sides(rows).withColumn("now", F.lit(True))
+def _left(rows: DataFrame, before: DataFrame | None, places: DataFrame | None, size: int, k: int, least_words: int) -> DataFrame:
+    """n, s, new: by text, the stretches that a pass leaves for another, and whether it found passages that lie in none found before.
+
+    ``places`` are those, by text, of seeds whose documents weren't all compared. A passage that is still to be found has hardly
+    other seeds: two that were compared, side by side, would have made a chain, in whatever order of leaders. So where such
+    places don't cover half of a passage's length, another pass has nothing to find.
+    """
+    spans = _sides(rows).withColumn("kind", F.lit("now"))
     if before is not None:
-        spans = spans.union(_sides(before).where("agree >= 0").withColumn("now", F.lit(False)))
-    span = F.struct("start", "stop", (F.col("agree") < 0).alias("short"))
-    spans = spans.groupBy("n").agg(F.collect_set(F.when(F.col("now"), span)).alias("s"), F.collect_set(F.when(~F.col("now"), F.struct("start", "stop"))).alias("b"))
-    found = spans.where(F.size("s") > 0).coalesce(_tasks(size)).select("n", _stretches(least_words, apart)(F.col("s"), F.col("b")).alias("x"))
+        spans = spans.union(_sides(before).where("agree >= 0").withColumn("kind", F.lit("before")))
+    if places is not None:
+        spans = spans.union(places.select("n", F.explode(F.col("open").cast("array<int>")).alias("start"), F.lit(0), F.lit(0), F.lit("open")))
+    kind, span = F.col("kind"), F.struct("start", "stop", (F.col("agree") < 0).alias("short"))
+    sets = [F.collect_set(F.when(kind == "now", span)).alias("s"), F.collect_set(F.when(kind == "before", F.struct("start", "stop"))).alias("b"), F.collect_set(F.when(kind == "open", F.col("start"))).alias("p")]
+    spans = spans.groupBy("n").agg(*sets).where(F.size("s") > 0).coalesce(_tasks(size))
+    more = F.lit(None).cast("array<int>") if places is None else F.col("p")
+    found = spans.select("n", _stretches(k, least_words, 2 * k)(F.col("s"), F.col("b"), more).alias("x"))
     return stored(found.select("n", "x.s", "x.new").where((F.size("s") > 0) | F.col("new")), "stretches")
 
 
-def _pass(texts: DataFrame, size: int, k: int, window: int, least_words: int, least_alike: float, crowd: int, bucket: int, leaders: int) -> DataFrame:
-    """One pass over (node, id, h) of ``size`` words, with leaders by node: passages, and with -1 words that agree what of chains fell short."""
+def _pass(texts: DataFrame, size: int, k: int, window: int, least_words: int, least_alike: float, crowd: int, bucket: int, leaders: int, whole: int) -> tuple[DataFrame, DataFrame | None]:
+    """One pass over (node, id, h) of ``size`` words, with leaders by node: passages, and with -1 words that agree what of chains fell short; and, if ``whole``, by text the places of seeds whose documents weren't all compared."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(max(parts, -(-size * 2 // ((window + 1) * bucket))), 1 << 30)
+    # A place has ``whole`` matches at most, or as many as leaders.
+    buckets = min(max(parts, -(-size * 2 * max(1, whole, leaders) // ((window + 1) * bucket))), 1 << 30)
 
-    rows = texts.select("node", "h").mapInArrow(_seeder(k, window, GAP, buckets, crowd, leaders), _SEEDS)
-    met = stored(rows.groupBy("bucket").applyInArrow(_meeter(leaders), _MATCHES).coalesce(_tasks(size)), "matches")
+    rows = texts.select("node", "h").mapInArrow(_seeder(k, window, GAP, buckets, max(crowd, whole + 1) if whole else crowd, leaders, whole), _SEEDS)
+    met = stored(rows.groupBy("bucket").applyInArrow(_meeter(leaders, whole), _MATCHES).coalesce(_tasks(size)), "matches")
     far = met.where("m is not null").groupBy("node", "leader").agg(F.flatten(F.collect_list("m")).alias("m"))
     far = far.coalesce(_tasks(size)).mapInArrow(_chainer(k, GAP), "node bigint, leader bigint, chains array<array<bigint>>")
     found = met.where("chains is not null").select("node", "leader", "chains").union(far)
+    places = None
+    if whole:
+        shifted = F.transform("open", lambda p: p + F.col("id.o"))
+        places = stored(met.where("open is not null").select("node", "open").join(texts.select("node", "id"), "node").select(F.col("id.n").alias("n"), shifted.alias("open")).coalesce(_tasks(size)), "open")
 
     # Alike on both sides, so the words move once for both joins.
     packs = texts.groupBy("node").agg(F.first("id").alias("id"), F.first("h").alias("h"))
@@ -605,7 +668,7 @@ def _pass(texts: DataFrame, size: int, k: int, window: int, least_words: int, le
     )
     out = stored(out.distinct().coalesce(_tasks(size)), "passages")
     discard(met)
-    return out
+    return out, places
 
 
 def repeated_passages(
@@ -623,7 +686,7 @@ def repeated_passages(
     than ``least_words`` words, have no passages; an empty table has none. Other columns don't matter,
     whatever their names. Very long texts are read whole. No seed, however common, is left out: ``window`` +
     k - 1 equal words hold one that both texts have. ``bucket`` is the number of seeds that one task holds at
-    once, about. ``leaders`` documents of each seed are compared with its others in the passes after the first.
+    once, about. ``leaders`` documents of each seed are compared with its others in the passes after the first, or all if it has three times as many places at most.
     """
     node = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
     texts = docs.select(node.alias("node"), F.struct(F.col(doc_id).alias("i"), F.lit(0).alias("o"), node.alias("n")).alias("id"), F.col(text).alias("t"))
@@ -632,11 +695,12 @@ def repeated_passages(
     size = texts.agg(F.sum("w").alias("w")).first()["w"] or 0
     out, now, before, written = None, texts, None, [texts]
     for turn in count(1):
-        rows = _pass(now, size, k, window, least_words, least_alike, crowd, bucket, leaders if turn > 1 else 1)
+        few = (leaders, 3 * leaders) if turn > 1 else (1, 0)
+        rows, places = _pass(now, size, k, window, least_words, least_alike, crowd, bucket, *few)
         found = rows.where("agree >= 0").drop("_node", "_leader")
         out = found if out is None else out.union(found)
-        left = _left(rows, before, size, least_words, 2 * k)
-        written.append(left)
+        left = _left(rows, before, places, size, k, least_words)
+        written += [left] if places is None else [left, places]
         before = rows if before is None else before.union(rows)
         length = F.aggregate("s", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
         words = left.agg(F.sum(length).alias("w"), F.sum(16 + 8 * F.size("s")).alias("size"), F.max("new").alias("new")).first()

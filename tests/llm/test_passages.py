@@ -272,6 +272,37 @@ def test_few_passes_where_halves_are_shared(spark, monkeypatch):
     assert {r["doc_id"] // 2 for r in rows} == set(range(56)) and len(turns) <= 3
 
 
+def test_no_pass_where_all_pairs_were_compared(spark, monkeypatch):
+    """The second pass compares every two documents above, as no seed has more than 48 of them: a third, which there used to be, has nothing to do."""
+    new, turns, one = iter(range(10**9)), [], passages._pass
+    monkeypatch.setattr(passages, "_pass", lambda *a, **b: turns.append(1) or one(*a, **b))
+    text = lambda n: [f"w{next(new)}" for _ in range(n)]
+    first, last = [text(30) for _ in range(8)], [text(30) for _ in range(8)]
+    pairs = [(a, (a + k) % 8) for a in range(8) for k in range(7)]
+    docs = [(2 * i + j, " ".join(text(50) + first[a] + last[b] + text(50))) for i, (a, b) in enumerate(pairs) for j in range(2)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).collect()
+    assert {r["doc_id"] // 2 for r in rows} == set(range(56)) and len(turns) == 2
+
+
+def test_seeds_of_few_places_are_compared_whole():
+    """Of a seed with few places every pair, of another one the leaders with all, which is told."""
+    seed = np.repeat(np.array([5, 9], np.int64), [4, 6])
+    node, place = np.array([3, 1, 2, 1, 11, 12, 13, 14, 15, 16], np.int64), np.arange(10)
+    goes_on, (of, lead, m), left = passages._matched(seed, node, place, 2, 2, 4)
+    got = sorted(zip(of.tolist(), lead.tolist(), (m >> 32).tolist(), (m & 0xFFFFFFFF).tolist(), strict=True))
+    few = [(1, 1, 3, 1), (2, 1, 2, 1), (2, 1, 2, 3), (3, 1, 0, 1), (3, 1, 0, 3), (3, 2, 0, 2)]
+    many = [(n, a, n - 7, a - 7) for a in (11, 12) for n in range(a + 1, 17)]
+    assert got == sorted(few + many)
+    assert left.tolist() == [False] * 4 + [True] * 6 and goes_on.tolist() == [True] * 6 + [False] * 4
+
+
+def test_where_a_passage_may_still_be():
+    """Runs of four words that cover 20 of 40 words hold one; as many far apart, or fewer, do not."""
+    assert passages._holds(0, 100, np.arange(50, 70, 4), 4, 40) and passages._holds(30, 60, np.arange(30, 50, 4), 4, 40)
+    assert not passages._holds(0, 100, np.arange(50, 66, 4), 4, 40) and not passages._holds(0, 400, np.arange(0, 400, 9)[::3], 4, 40)
+    assert not passages._holds(0, 50, np.arange(50, 90, 4), 4, 40) and not passages._holds(0, 50, np.zeros(0, np.int64), 4, 40)
+
+
 @pytest.mark.parametrize("edits", [(2, 4, 6, 40, 42), (1, 3, 5, 7), (37, 39, 41, 43)])
 def test_edits_near_the_ends_of_a_short_passage(edits):
     """45 words, of which all but a few agree: a passage, although its ends agree in single words only."""
