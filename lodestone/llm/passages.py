@@ -337,7 +337,7 @@ def _numbers(data: bytes, kind: str) -> np.ndarray:
 
 
 def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int = 2, leaders: int = 1, whole: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all against the first ``leaders`` documents; which places are those of leaders, or not in a crowd; and which are of seeds whose documents weren't all compared.
+    """For seeds in ascending order, of those with ``crowd`` places or more: (node, leader, places) of all against the first ``leaders`` documents; which places are those of leaders, or not in a crowd; and, where ``whole`` is given, which are of seeds whose documents weren't all compared.
 
     A leader's place is its first one. Where a seed has ``whole`` places at most, every place is compared with all others.
     Places in both texts are one number, that in the leader below.
@@ -353,18 +353,21 @@ def _matched(seed: np.ndarray, node: np.ndarray, place: np.ndarray, crowd: int =
     firsts, of = np.flatnonzero(enters), np.cumsum(enters) - 1
     group = np.flatnonzero(opens)
     sizes = np.diff(np.append(group, len(s)))
-    few = np.repeat(sizes <= whole, sizes)
     rank = of - np.repeat(of[group], sizes)  # a document's number in its seed
-    number = np.arange(len(s)) - np.repeat(group, sizes)  # a place's
     goes_on, left = np.ones(len(seed), bool), np.zeros(len(seed), bool)
-    goes_on[many[~(few | enters & (rank < leaders))]] = False
-    left[many] = ~few
+    leads = enters & (rank < leaders)
+    if whole:
+        few = np.repeat(sizes <= whole, sizes)
+        number = np.arange(len(s)) - np.repeat(group, sizes)  # a place's
+        leads |= few
+        left[many] = ~few
+    goes_on[many[~leads]] = False
     out = []
     for i in range(max(leaders, int(sizes[sizes <= whole].max(initial=0)))):
-        at = np.flatnonzero(np.where(few, number > i, (rank >= i) & (i < leaders)))
+        at = np.flatnonzero(np.where(few, number > i, (rank >= i) & (i < leaders)) if whole else rank >= i)
         if not len(at):
             break
-        lead = np.where(few[at], at - number[at] + i, firsts[np.where(few[at], 0, of[at] - rank[at] + i)])
+        lead = np.where(few[at], at - number[at] + i, firsts[np.where(few[at], 0, of[at] - rank[at] + i)]) if whole else firsts[of[at] - rank[at] + i]
         other = at != lead
         at, lead = at[other], lead[other]
         out.append((n[at], n[lead], (p[at].astype(np.int64) << 32) | p[lead]))
@@ -465,6 +468,7 @@ def _meeter(leaders: int, whole: int):
             n.append(np.frombuffer(nodes, np.int64)[_numbers(texts, "<u4")])
             p.append(_numbers(places, "<u4").astype(np.int64))
         s, n, p = np.concatenate(s), np.concatenate(n), np.concatenate(p)
+        released()
         order = np.argsort(s)
         s, n, p = s[order], n[order], p[order]
         more, p = p >= _MORE, p % _MORE
